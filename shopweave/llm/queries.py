@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, line_dedup, packing, quality_fm, simhash_bktree
+from . import decontaminate, interpolation_lm, line_dedup, packing, quality_fm, secret_scan, simhash_bktree
+from . import fingerprints as minhash
 from .common import table
 
 
@@ -20,11 +21,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation_lm.interpolated(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_bktree.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -40,7 +53,10 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op5_quality_fm": op5_quality_fm,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_deleted_interpolation": op7_deleted_interpolation,
     "op8_simhash_bktree": op8_simhash_bktree,
     "op9_packing": op9_packing,
     "op10_string_tiling": op10_string_tiling,
