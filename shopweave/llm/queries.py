@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, interpolation_lm, line_dedup, packing, quality_fm, secret_scan, simhash_bktree
+from . import decontaminate, interpolation_lm, license_scan, line_dedup, packing, pii_surrogates, quality_fm, secret_scan, simhash_bktree
 from . import fingerprints as minhash
 from .common import table
 
@@ -21,10 +21,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.pseudonymised(table(spark, sf_dir, "documents"), key="corpus")
+
+
 def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels")))
@@ -53,7 +61,9 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_secret_scan": op3_secret_scan,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_quality_fm": op5_quality_fm,
     "op6_fingerprints": op6_fingerprints,
     "op7_deleted_interpolation": op7_deleted_interpolation,
@@ -62,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_string_tiling": op10_string_tiling,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle()}
