@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # fixed values: what the ingest side reads as available or not
@@ -29,6 +31,11 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def text_or_null(c: Column) -> Column:
     """Trimmed text, null when nothing is left."""
     return F.nullif(F.trim(c), F.lit(""))
@@ -177,14 +184,14 @@ def variant_options(options: Column, positional: Column, title_case: bool = Fals
     """Option map without blanks; where it is empty, "Option n" for the given positional values. title_case as at ingest."""
     name = (lambda k: F.initcap(F.regexp_replace(F.trim(k), r"\s+", " "))) if title_case else F.trim
     entries = F.transform(F.coalesce(F.map_entries(options), F.array()), lambda e: F.struct(name(e["key"]).alias("key"), F.trim(e["value"]).alias("value")))
-    named = last_by_key(F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != "")))
+    named = let(F.filter(entries, lambda e: (e["key"] != "") & (e["value"] != "")), last_by_key)
     if title_case:  # blanks are left out before they are numbered
         given = F.filter(F.transform(positional, lambda x: F.trim(x)), lambda x: x != "")
         numbered = F.transform(given, lambda x, i: F.struct(F.concat(F.lit("Option "), (i + 1).cast("string")).alias("key"), x.alias("value")))
     else:
         numbered = F.transform(positional, lambda x, i: F.struct(F.concat(F.lit("Option "), (i + 1).cast("string")).alias("key"), F.trim(x).alias("value")))
         numbered = F.filter(numbered, lambda e: e["value"] != "")
-    return F.map_from_entries(F.when(F.size(named) > 0, named).otherwise(F.coalesce(numbered, named)))
+    return F.map_from_entries(let(named, lambda n: F.when(F.size(n) > 0, n).otherwise(F.coalesce(numbered, n))))
 
 
 def last_by_key(entries: Column) -> Column:

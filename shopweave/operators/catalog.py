@@ -141,7 +141,8 @@ def available_options(variants: Column) -> Column:
 
 def _named(options: Column, names: Sequence[str]) -> Column:
     """The entries of these names, in their order."""
-    return F.flatten(F.array(*[F.filter(options, lambda o, n=n: (o["name"] == n) & (F.size(o["values"]) > 0)) for n in names]))
+    one = lambda n: F.filter(options, lambda o: (o["name"] == n) & (F.size(o["values"]) > 0))
+    return F.flatten(F.array(*map(one, names)))
 
 
 PREFERRED = ("Shade", "Color")  # fixed values: options shown and recommended first

@@ -23,8 +23,7 @@ def feed_variant_currency(v: Column) -> Column:
 
 def _image(src: Column, store_url: Column) -> Column:
     """An image's URL: absolute as given, else put behind the store's."""
-    link = C.product_link(src, store_url)
-    return normalize_url(F.nullif(link, F.lit("")))
+    return C.let(C.product_link(src, store_url), lambda link: normalize_url(F.nullif(link, F.lit(""))))
 
 
 def map_feed(feed: DataFrame) -> DataFrame:
@@ -32,15 +31,21 @@ def map_feed(feed: DataFrame) -> DataFrame:
     p, base = F.col("product"), F.col("store_url")
     text = lambda name: C.text_or_null(p[name])
     handle = text("handle")
-    url = normalize_url(F.when(handle.isNotNull(), F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/products/"), handle)).otherwise(C.product_link(text("url"), base)))
+    link = F.when(handle.isNotNull(), F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/products/"), handle)).otherwise(C.product_link(text("url"), base))
+    url = C.let(link, normalize_url)
     nodes = F.coalesce(p["variants"], F.array().cast(feed.select("product.variants").dtypes[0][1]))
-    nodes = F.filter(nodes, lambda v: v.isNotNull())
-    given = F.coalesce(p["options"], F.array().cast("array<struct<name:string,values:array<string>>>"))
+    rows = feed.withColumns(
+        {"_nodes": F.filter(nodes, lambda v: v.isNotNull()), "_given": F.coalesce(p["options"], F.array().cast("array<struct<name:string,values:array<string>>>")), "_handle": handle}
+    )
+    nodes, given = F.col("_nodes"), F.col("_given")
     values = lambda v: F.array(*[C.text_or_null(v[f"option{i}"]) for i in (1, 2, 3)])
-    used = F.coalesce(F.array_max(F.transform(nodes, lambda v: F.coalesce(F.array_max(F.transform(values(v), lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0)))), F.lit(0))
-    count = F.greatest(F.size(given), used)
-    numbers = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
-    names = F.transform(numbers, lambda i: F.coalesce(C.text_or_null(F.try_element_at(given, i)["name"]), F.concat(F.lit("Option "), i.cast("string"))))
+    last = lambda v: F.coalesce(*[F.when(C.text_or_null(v[f"option{i}"]).isNotNull(), i) for i in (3, 2, 1)], F.lit(0))
+    used = F.coalesce(F.array_max(F.transform(nodes, last)), F.lit(0))
+    rows = rows.withColumn("_count", F.greatest(F.size(given), used))
+    numbers = F.when(F.col("_count") > 0, F.sequence(F.lit(1), "_count")).otherwise(F.array().cast("array<int>"))
+    numbered = lambda i: F.coalesce(C.text_or_null(F.try_element_at(given, i)["name"]), F.concat(F.lit("Option "), i.cast("string")))
+    rows = rows.withColumn("_names", F.transform(numbers, numbered))
+    names = F.col("_names")
 
     def variant(v: Column) -> Column:
         pairs = F.transform(values(v), lambda x, i: F.struct(F.try_element_at(names, i + 1).alias("key"), x.alias("value")))
@@ -48,9 +53,11 @@ def map_feed(feed: DataFrame) -> DataFrame:
         out = [C.text_or_null(v[c]).alias(c) for c in ("id", "title", "sku", "price", "compare_at_price")]
         out += [feed_variant_currency(v).alias("currency"), feed_variant_available(v).cast("string").alias("available")]
         out += [C.text_or_null(v[f"option{i}"]).alias(f"option{i}") for i in (1, 2, 3)]
-        return F.struct(*out, F.when(F.size(pairs) > 0, F.map_from_entries(C.last_by_key(pairs))).alias("options"))
+        by_name = C.let(pairs, lambda e: F.when(F.size(e) > 0, F.map_from_entries(C.last_by_key(e))))
+        return F.struct(*out, by_name.alias("options"))
 
-    variants = F.transform(nodes, variant)
+    rows = rows.withColumn("_variants", F.transform(nodes, variant))
+    variants = F.col("_variants")
 
     def option(name: Column, i: Column) -> Column:
         of_variants = F.transform(nodes, lambda v: F.try_element_at(values(v), i + 1))
@@ -64,7 +71,7 @@ def map_feed(feed: DataFrame) -> DataFrame:
     images = F.transform(F.coalesce(p["images"], F.array().cast("array<struct<id:string,src:string>>")), lambda i: _image(i["src"], base))
     of_variants = F.transform(nodes, lambda v: _image(F.get_json_object(v["featured_image"], "$.src"), base))
     own_image = F.coalesce(F.get_json_object(p["image"], "$.src"), F.when(~F.startswith(F.ltrim(p["image"]), F.lit("{")), p["image"]))
-    return feed.select(
+    return rows.select(
         "store_slug", "store_url", "pos", text("id").alias("id"), url.alias("url"), text("title").alias("title"), handle.alias("handle"), C.html_to_text(p["body_html"]).alias("description"),
         text("vendor").alias("brand"), text("vendor").alias("vendor"), text("product_type").alias("product_type"),
         F.coalesce(_image(own_image, base), first(images), first(of_variants)).alias("image_url"), C.parse_tags(p["tags"]).alias("tags"),
@@ -90,7 +97,7 @@ def normalize_products(raw: DataFrame) -> DataFrame:
     col = F.col
     text = lambda name: C.text_or_null(col(name))
     link = C.product_link(F.coalesce(text("url"), col("store_url")), col("store_url"))
-    rows = raw.withColumns({"title": text("title"), "url": normalize_url(link), "_raw_handle": text("handle"), "_raw_id": text("id"), "_own": C.to_available(col("availability")), "_price": C.to_cents(col("price"))})
+    rows = raw.withColumns({"title": text("title"), "url": C.let(link, normalize_url), "_raw_handle": text("handle"), "_raw_id": text("id"), "_own": C.to_available(col("availability")), "_price": C.to_cents(col("price"))})
     rows = rows.where("title is not null and url is not null")
     rows = rows.withColumn("variants", F.transform(F.coalesce("variants", F.array().cast(dict(raw.dtypes)["variants"])), normalized_variant))
     prices = F.filter(F.transform("variants", lambda v: v["price_cents"]), lambda x: x.isNotNull())
@@ -104,7 +111,7 @@ def normalize_products(raw: DataFrame) -> DataFrame:
             "available": F.coalesce("_own", F.when(F.size(flags) > 0, F.exists(flags, lambda x: x)), F.lit(True)),
             "currency": F.coalesce(F.upper(text("currency")), F.try_element_at(currencies, F.lit(1))),
             "description": text("description"), "brand": text("brand"), "vendor": F.coalesce(text("vendor"), text("brand")), "product_type": text("product_type"),
-            "image_url": normalize_url(C.product_link(text("image_url"), F.regexp_extract("url", "^https?://[^/?#]+", 0))), "tags": C.clean_list(col("tags")),
+            "image_url": _image(text("image_url"), F.regexp_extract("url", "^https?://[^/?#]+", 0)), "tags": C.clean_list(col("tags")),
             "options": F.filter(F.transform(F.coalesce("options", F.array().cast("array<struct<name:string,values:array<string>>>")), option), lambda o: o["name"] != ""),
             "source": F.coalesce(text("source"), F.lit("html")), "etag": text("etag"), "last_modified": text("last_modified"),
         }

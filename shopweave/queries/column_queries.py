@@ -252,12 +252,12 @@ def c19_product_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "pages").select("page_id", C.product_link(u, F.lit("https://s.example.com//")).alias("link"))
 
 
-SQL_BUDGET = """round(case when {lo} is null and {hi} is null then 1.0 when {hi} is not null and price_min > {hi} then 0.0 when {lo} is not null and price_max < {lo} then 0.0
-  when {hi} is not null then least(1.0, greatest(0.1, 1.0 - price_min::double / greatest(1, {hi}) * 0.5)) else 1.0 end, 6)"""
+SQL_BUDGET = """(case when {lo} is null and {hi} is null then 1.0 when {hi} is not null and price_min > {hi} then 0.0 when {lo} is not null and price_max < {lo} then 0.0
+  when {hi} is not null then least(1.0, greatest(0.1, 1.0 - price_min::double / greatest(1, {hi}) * 0.5)) else 1.0 end)"""
 
 
 @query(f"""with {V.SQL_PRODUCTS}, b as (select *, case when partkey % 3 = 0 then 100000 end as hi, case when partkey % 2 = 0 then 150000 end as lo from products)
-select partkey, {SQL_BUDGET.format(lo='lo', hi='hi')}::double as fit from b""")
+select partkey, round({SQL_BUDGET.format(lo='lo', hi='hi')}::double, 6) as fit from b""")
 def c20_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     hi, lo = F.when(F.col("p_partkey") % 3 == 0, 100000), F.when(F.col("p_partkey") % 2 == 0, 150000)
     return V.products(spark, sf_dir).select(F.col("p_partkey").alias("partkey"), F.round(C.budget_fit(F.col("price_min"), F.col("price_max"), lo, hi), 6).alias("fit"))

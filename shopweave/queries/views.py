@@ -86,7 +86,10 @@ def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return basket_events_of(table(spark, sf_dir, "events"))
+
+
+def basket_events_of(e: DataFrame) -> DataFrame:
     kind, value = F.col("event_type"), F.col("value")
     op = F.when(kind.isin("purchase", "view"), "add").when(kind == "click", "set").when(kind == "signup", "remove").when(value < 5, "clear").otherwise("checkout")
     quantity = F.when(kind == "purchase", 1 + F.floor(value) % 5).when(kind == "view", 1).when(kind == "click", F.floor(value) % 4)
