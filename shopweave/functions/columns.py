@@ -43,7 +43,7 @@ def text_or_null(c: Column) -> Column:
 
 def num_to_cents(c: Column) -> Column:
     """A number in currency units as whole cents, half up, at least 0."""
-    return F.greatest(F.lit(0), F.floor(c * 100 + 0.5)).cast("long")
+    return F.when(c.isNotNull(), F.greatest(F.lit(0), F.floor(c * 100 + 0.5)).cast("long"))
 
 
 def to_cents(c: Column, thousands: bool = False) -> Column:

@@ -27,7 +27,8 @@ def quoted(words: list[str]) -> str:
 
 def sql_cents(x: str) -> str:
     s = f"regexp_replace(regexp_replace({x}, '[^0-9.,-]', '', 'g'), ',([0-9]{{2}})$', '.\\1')"
-    return f"greatest(0, floor(try_cast(nullif(regexp_extract({s}, '^-?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)'), '') as double) * 100 + 0.5))::bigint"
+    number = f"nullif(regexp_extract({s}, '^-?(?:[0-9]+\\.?[0-9]*|\\.[0-9]+)'), '')"
+    return f"case when {number} is not null then greatest(0, floor(try_cast({number} as double) * 100 + 0.5))::bigint end"
 
 
 def sql_slug(x: str) -> str:
