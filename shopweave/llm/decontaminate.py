@@ -31,34 +31,32 @@ def rolling(ids: np.ndarray, n: int) -> np.ndarray:
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
-    """Greedy string tiling of a with b: (start in a, start in b, length), longest first.
+    """Greedy string tiling of a with b: (start in a, start in b, length), the longest unmarked match first.
 
-    Running Karp-Rabin: windows of the search length that are unmarked on both sides
-    are matched by hash, verified and extended; the longest are marked first, none
-    overlaps another; then the search length is halved, down to `least`.
+    Running Karp-Rabin: windows of the search length that are unmarked on both sides are
+    matched by hash, verified and extended; the longest are marked and the rest is
+    searched again. Once no match is left the search length is halved, down to `least`.
     """
     free_a, free_b, out = np.ones(len(a), bool), np.ones(len(b), bool), []
     size = min(len(a), len(b))
     while size >= least:
-        found, longest = [], 0
         at = defaultdict(list)
         for j in _free_windows(free_b, size):
-            at[b[j : j + size].tobytes()].append(j)
-        for i in _free_windows(free_a, size):
+            at[b[j : j + size].tobytes()].append(int(j))
+        found = []
+        for i in map(int, _free_windows(free_a, size)):
             for j in at.get(a[i : i + size].tobytes(), ()):
                 n = size
                 while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
                     n += 1
-                found.append((-n, i, j))
-                longest = max(longest, n)
-        for n, i, j in sorted(found):
-            if free_a[i : i - n].all() and free_b[j : j - n].all():
-                free_a[i : i - n] = free_b[j : j - n] = False
-                out.append((i, j, -n))
-        # a shorter piece of a match that lost ground to another is found at the next length
-        size = max(least, size // 2) if size > least else size - 1 if not found else size
-        if size == least and not longest and not _any_shared(a, b, free_a, free_b, least):
-            break
+                found.append((n, i, j))
+        longest = max(found, default=(0,))[0]
+        for n, i, j in found:
+            if n == longest and free_a[i : i + n].all() and free_b[j : j + n].all():
+                free_a[i : i + n] = free_b[j : j + n] = False
+                out.append((i, j, n))
+        if not found:
+            size = max(least, size // 2) if size > least else 0
     return out
 
 
@@ -68,11 +66,6 @@ def _free_windows(free: np.ndarray, size: int) -> np.ndarray:
     return np.nonzero(run[size:] - run[:-size] == size)[0] if len(free) >= size else np.empty(0, np.int64)
 
 
-def _any_shared(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, size: int) -> bool:
-    seen = {b[j : j + size].tobytes() for j in _free_windows(free_b, size)}
-    return any(a[i : i + size].tobytes() in seen for i in _free_windows(free_a, size))
-
-
 class Tests:
     """A block of test items: vocabulary, tokens, and the seed windows with the items that have them."""
 
