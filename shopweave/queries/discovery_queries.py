@@ -227,6 +227,6 @@ def w3_checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def io3_read_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed files as sitemap bodies; the test tables' own files stand in, of which none is XML."""
-    rows = io.read_sitemaps(spark, f"{sf_dir}/region.parquet").withColumn("store_slug", F.lit("s"))
+    """Landed files as sitemap bodies; the files of the pages table stand in, of which none is XML."""
+    rows = io.read_sitemaps(spark, f"{sf_dir}/pages.parquet").withColumn("store_slug", F.lit("s"))
     return rows.select("store_slug", F.length("body").cast("long").alias("bytes"))
