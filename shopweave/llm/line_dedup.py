@@ -18,30 +18,35 @@ ADD = _R.integers(0, 2**32, BANDS * ROWS, np.uint32)
 FOLD = _R.integers(0, 2**63, ROWS, np.uint64) | np.uint64(1)
 
 
-def band_keys(lines: list[str], k: int = SHINGLE) -> np.ndarray:
-    """64-bit keys (line, band) of the lines' MinHash signatures over k-character shingles; a shorter line is one shingle."""
-    out = np.empty((len(lines), BANDS), np.int64)
+def shingle_hashes(text: str, k: int) -> np.ndarray:
+    """32-bit hashes of all windows of k characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.zeros(len(c) - k + 1, np.uint32)
+    for i in range(k):
+        h *= np.uint32(0x01000193)
+        h ^= c[i : i + len(h)] * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+    h *= np.uint32(0x85EBCA6B)
+    return h ^ (h >> np.uint32(13))
+
+
+def signatures(lines: list[str], k: int = SHINGLE) -> np.ndarray:
+    """(line, slot) MinHash values over k-character shingles; a shorter line is one shingle."""
+    out = np.empty((len(lines), BANDS * ROWS), np.uint32)
     at = 0
     while at < len(lines):
         chosen, size = [], 0
         while at + len(chosen) < len(lines) and (not chosen or size < 1 << 16):
             chosen.append(lines[at + len(chosen)].ljust(k, "\0"))
             size += len(chosen[-1]) + 1
-        out[at : at + len(chosen)] = _keys_of(chosen, k)
+        out[at : at + len(chosen)] = _signed(chosen, k)
         at += len(chosen)
     return out
 
 
-def _keys_of(lines: list[str], k: int) -> np.ndarray:
-    c = np.frombuffer(("\n".join(lines) + "\n" * k).encode("utf-32-le", "surrogatepass"), np.uint32)
-    n = len(c) - k + 1
-    h = np.zeros(n, np.uint32)
-    for i in range(k):
-        h *= np.uint32(0x01000193)
-        h ^= c[i : i + n] * np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
+def _signed(lines: list[str], k: int) -> np.ndarray:
+    h = shingle_hashes("\n".join(lines) + "\n" * k, k)
+    n = len(h)
     sizes = np.array([len(x) for x in lines])
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     spans = np.stack([starts, starts + sizes - k + 1], axis=1).ravel()  # the windows of each line, then those over its end
@@ -50,78 +55,72 @@ def _keys_of(lines: list[str], k: int) -> np.ndarray:
         np.multiply(h, MULTIPLY[j], out=x)
         np.add(x, ADD[j], out=x)
         low[j] = np.minimum.reduceat(x, spans)[::2]
-    rows = (low.reshape(BANDS, ROWS, -1).astype(np.uint64) + np.uint64(1)) * FOLD[None, :, None]
+    return low.T
+
+
+def band_keys(signed: np.ndarray) -> np.ndarray:
+    """(line, band) 64-bit keys: lines with the same slots in a band have the same key."""
+    rows = (signed.reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * FOLD
     rows ^= rows >> np.uint64(29)
-    mixed = rows[:, 0].copy()
+    mixed = rows[:, :, 0].copy()
     for r in range(1, ROWS):
-        mixed = (mixed ^ rows[:, r]) * np.uint64(0x9FB21C651E98DF25)
+        mixed = (mixed ^ rows[:, :, r]) * np.uint64(0x9FB21C651E98DF25)
         mixed ^= mixed >> np.uint64(32)
-    return (mixed.T + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return (mixed + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
 
+def shingle_set(line: str, k: int = SHINGLE) -> set[str]:
+    return {line[i : i + k] for i in range(max(1, len(line) - k + 1))}
 
-def jaccard(a: str, b: str, k: int = SHINGLE) -> float:
-    """Exact Jaccard similarity of the two sets of k-character shingles."""
-    x = {a[i : i + k] for i in range(max(1, len(a) - k + 1))}
-    y = {b[i : i + k] for i in range(max(1, len(b) - k + 1))}
+
+def jaccard(a: str, b: str) -> float:
+    """Exact Jaccard similarity of the two sets of character shingles."""
+    x, y = shingle_set(a), shingle_set(b)
     return len(x & y) / len(x | y)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_key, doc_id, pos, line, line_id) of each line that has a letter, digit or sign. Lines are compared trimmed and in lower case."""
+    """(doc_key, doc_id, pos, line, line_id) of each line that isn't blank. Lines are compared without spaces at their ends."""
     rows = texts(docs, id_col, text_col)
     out = rows.select(row_key().alias("doc_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    out = out.withColumn("line", F.lower(F.trim(F.regexp_replace("line", r"\s+", " "))))
+    out = out.withColumn("line", F.trim("line"))
     return out.where("line <> ''").withColumn("line_id", F.xxhash64("line"))
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) for each distinct line that is linked to another distinct one."""
-    lines = _lines(docs, id_col, text_col)
+    lines = _lines(docs, id_col, text_col).select("line_id", "line")
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.drop_duplicates("line_id")
-            yield pd.DataFrame({"key": band_keys(b["line"].tolist()).ravel(), "id": np.repeat(b["line_id"].to_numpy(), BANDS)})
-
-    buckets = lines.select("line_id", "line").mapInPandas(sign, "key long, id long")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "line-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("line_id")).distinct()
-        text = lines.join(ids, "line_id").groupBy("line_id").agg(F.min("line").alias("line"))
-        text = written(text, "lines")
-        both = pairs.join(text.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
-
-        def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                ok = np.array([jaccard(x, y) >= threshold for x, y in zip(p["x"], p["y"], strict=True)], bool)
-                yield p.loc[ok, ["a", "b"]]
+            yield pd.DataFrame({"key": band_keys(signatures(b["line"].tolist())).ravel(), "id": np.repeat(b["line_id"].to_numpy(), BANDS)})
 
-        return both.mapInPandas(hold, "a long, b long")
+    def fetch(ids: DataFrame) -> DataFrame:
+        return lines.join(ids, lines.line_id == ids.id, "left_semi").groupBy(F.col("line_id").alias("id")).agg(F.min("line").alias("text"))
 
-    return bucketed_components(buckets, verify)
+    buckets = lines.mapInPandas(sign, "key long, id long")
+    return bucketed_components(buckets, fetch, lambda x: np.unique(shingle_hashes(x.ljust(SHINGLE, "\0"), SHINGLE)), threshold, jaccard)
 
 
 def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     """(doc_key, gone): the positions of the lines that don't stay."""
-    lines = _lines(docs, id_col, text_col).select("doc_key", "doc_id", "pos", "line_id")
+    lines = written(_lines(docs, id_col, text_col).select("doc_key", "doc_id", "pos", "line_id"), "line-places")
     labels = line_components(docs, threshold, id_col, text_col)
-    first = F.min(F.struct("doc_id", "doc_key", "pos"))
-    ids = lines.groupBy("line_id").agg(first.alias("first"), F.count(F.lit(1)).alias("n"))
-    ids = ids.join(labels, ids.line_id == labels.node, "left").where("n > 1 or root is not null")
-    ids = written(ids.select("line_id", "first", F.coalesce("root", "line_id").alias("root")), "repeated-lines")
-    keep = ids.groupBy("root").agg(F.min("first").alias("keep"))
-    ids = ids.join(keep, "root").select("line_id", "keep")
-    gone = lines.join(ids, "line_id").where("not (keep.doc_key = doc_key and keep.pos = pos)")
+    twice = lines.groupBy("line_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line_id", F.col("line_id").alias("root"), F.lit(False).alias("linked"))
+    linked = labels.select(F.col("node").alias("line_id"), "root", F.lit(True).alias("linked"))
+    ids = twice.unionByName(linked).groupBy("line_id").agg(F.max_by("root", "linked").alias("root"))
+    places = written(lines.join(ids, "line_id").select("root", "doc_id", "doc_key", "pos"), "repeated-lines")
+    keep = places.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key", "pos")).alias("keep"))
+    gone = places.join(keep, "root").where("not (keep.doc_key = doc_key and keep.pos = pos)")
     return gone.groupBy("doc_key").agg(F.collect_set("pos").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, n_removed) for each row: text without the lines kept elsewhere.
 
-    Lines are compared trimmed, in lower case and with squeezed white space; links
-    join lines whose 8-character shingle sets reach the threshold. Equal lines are one
-    node (64-bit XXH64). Of each component the occurrence with the smallest
+    Lines are compared without spaces at their ends; links join lines whose 8-character
+    shingle sets reach the threshold. Equal lines are one node (64-bit XXH64). Of each component the occurrence with the smallest
     (doc_id, row key, position) stays, wherever it is; blank lines always stay.
     Null texts count as empty and come back empty. Rows that repeat doc_id and text
     are one document: both keep or lose the same lines. Null ids sort first. An empty

@@ -1,18 +1,20 @@
 """Distributed union-find and candidate links within buckets.
 
 Both work on (long, long) rows only. Hot nodes and hot buckets are aggregated
-before they are joined, so no group is ever gathered in one place, and a group
-of m members yields about m rows, never its m * m pairs.
+before they are joined, and a group of m near copies yields about m rows, not its
+m * m pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql import Window as W
 
-from .common import forget, written
+from .common import forget, parts, written
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -51,31 +53,162 @@ def _marked(edges: DataFrame) -> tuple[DataFrame, dict]:
     return written(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "links"), seen.get
 
 
-def bucketed_components(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(key, id) bucket rows -> (node, root) over the verified links of all bucket pairs.
+SKETCH, SLICE = 512, 2048
+_R = np.random.default_rng(4711)
+_A = _R.integers(0, 2**31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _R.integers(0, 2**32, SKETCH, np.uint32)
+_ONES = np.uint64(0x1111111111111111)
 
-    verify takes distinct (a, b) pairs and returns those that link. First each member
-    is held against the smallest id of its bucket; the links found are contracted.
-    Then only members of one bucket that lie in different components are paired, so
-    every pair of a bucket is either connected already or verified: none is lost, and
-    a group of near copies costs one pair per member instead of all its pairs.
+
+def sketches(hashes: list[np.ndarray]) -> list[bytes]:
+    """Of each set of 32-bit hashes the low 4 bits of SKETCH MinHash values, packed."""
+    low = np.zeros((len(hashes), SKETCH), np.uint8)
+    for i, h in enumerate(hashes):
+        for at in range(0, SKETCH, 64):
+            if len(h):
+                low[i, at : at + 64] = (h[None, :] * _A[at : at + 64, None] + _B[at : at + 64, None]).min(axis=1) & np.uint32(15)
+    return [r.tobytes() for r in low[:, ::2] | low[:, 1::2] << np.uint8(4)]
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(row of a, row of b) how many slots of the packed sketches differ."""
+    x = a[:, None, :] ^ b[None, :, :]
+    x |= x >> np.uint64(1)
+    x |= x >> np.uint64(2)
+    x &= _ONES
+    return np.bitwise_count(x).sum(axis=2, dtype=np.int32)
+
+
+def _bucket_pairs(left: DataFrame, threshold: float, best: bool) -> DataFrame:
+    """(a, b, differ) within the buckets of (key, id, root, size, sketch): pairs of different roots that may reach the threshold.
+
+    best: of each id the nearest one of another root alone. A bucket of more than SLICE
+    members is cut into slices, and each two of them are compared in a task of their own.
+    """
+    chance = (1 - threshold) * 15 / 16
+    most = SKETCH * chance + 3.8 * (SKETCH * chance * (1 - chance)) ** 0.5
+    sizes = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("k"))
+    rows = left.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64(F.lit("slice"), "id"), F.col("k")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "size", "sketch")
+
+    def compared(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        ids, root, size, mine = (g[c].to_numpy() for c in ("id", "root", "size", "mine"))
+        sk = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
+        one = np.nonzero(mine == g["i"].iat[0])[0]
+        two = one if g["i"].iat[0] == g["j"].iat[0] else np.nonzero(mine == g["j"].iat[0])[0]
+        col_best = np.full(len(two), SKETCH + 1)
+        col_arg = np.zeros(len(two), np.int64)
+        for at in range(0, len(one), 32):
+            r = one[at : at + 32]
+            d = _differing(sk[r], sk[two])
+            ok = (root[r][:, None] != root[two]) & (d <= most) & (np.minimum(size[r][:, None], size[two]) >= threshold * np.maximum(size[r][:, None], size[two]))
+            if best:
+                d = np.where(ok, d, SKETCH + 1)
+                near = d.argmin(axis=1)
+                hit = d[np.arange(len(r)), near] <= most
+                yield ids[r][hit], ids[two[near]][hit], d[np.arange(len(r)), near][hit]
+                if two is not one:
+                    low = d.min(axis=0)
+                    better = low < col_best
+                    col_best[better], col_arg[better] = low[better], r[d.argmin(axis=0)[better]]
+            else:
+                x, y = np.nonzero(ok if two is not one else ok & (ids[r][:, None] < ids[two]))
+                yield ids[r][x], ids[two[y]], d[x, y]
+        if best and two is not one:
+            hit = col_best <= most
+            yield ids[two][hit], ids[col_arg[hit]], col_best[hit]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            keys = b[["key", "i", "j"]].to_numpy()
+            cuts = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
+            edges = [0, *cuts.tolist()]
+            for s, e in zip(edges, edges[1:], strict=False):
+                if e - s > 1:
+                    yield from (pd.DataFrame({"a": x, "b": y, "differ": d}) for x, y, d in compared(b.iloc[s:e]) if len(x))
+            rest = b.iloc[edges[-1] :]
+        if rest is not None and len(rest) > 1:
+            yield from (pd.DataFrame({"a": x, "b": y, "differ": d}) for x, y, d in compared(rest) if len(x))
+
+    dealt = rows.repartition(parts(left.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInPandas(run, "a long, b long, differ int")
+
+
+def bucketed_components(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], hashes: Callable[[str], np.ndarray], threshold: float, likeness: Callable[[str, str], float]) -> DataFrame:
+    """(key, id) bucket rows -> (node, root) over the links of all bucket pairs, those of at least `threshold` by exact likeness.
+
+    fetch gives (id, text) of (id) rows; it is asked once, for the ids that share a
+    bucket with others. First each id is held against one other: of the busiest member
+    of each of its buckets the busiest. In a few more rounds it is held against the
+    nearest one, by sketches, of another component. At last all pairs that share a
+    bucket and still lie in different components are looked at, so no link is lost,
+    and a group of near copies costs a few pairs per member instead of all its pairs.
+    Sketches of 512 MinHash slots, 4 bits each, turn away pairs that differ in more
+    slots than a pair at the threshold does but once in ten thousand times; set sizes,
+    those that allow no such likeness. hashes gives the distinct 32-bit hashes of a text's set.
     """
     key = W.partitionBy("key")
-    shared = buckets.select("key", "id", F.min("id").over(key).alias("lead"), F.max("id").over(key).alias("top")).where("lead <> top")
-    shared = written(shared.select("key", "id", "lead").distinct(), "buckets")
-    tried = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    first = written(verify(tried), "verified")
-    if first.isEmpty():
-        labels = shared.select(F.col("id").alias("node"), F.col("id").alias("root")).limit(0)
-    else:
-        labels = written(components(first), "labels")
-    named = shared.join(labels, shared.id == labels.node, "left").select("key", "id", "lead", F.coalesce("root", "id").alias("root"))
-    split = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = written(named.join(split, "key").where("id <> lead"), "unsettled")
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") < F.col("y.root")))
-    rest = rest.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    second = written(verify(rest), "verified")
-    if second.isEmpty():
-        return labels
-    return components(first.unionByName(second))
+    shared = buckets.select("key", "id", F.count(F.lit(1)).over(key).alias("n"), F.min("id").over(key).alias("x"), F.max("id").over(key).alias("y")).where("x <> y")
+    shared = written(shared.select("key", "id", "n").distinct(), "buckets")
+    texts = written(fetch(shared.select("id").distinct()), "bucket-texts")
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            ok = np.array([likeness(x, y) >= threshold for x, y in zip(p["x"], p["y"], strict=True)], bool)
+            yield p.loc[ok, ["a", "b"]]
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
+        two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
+        return written(pairs.join(one, "a").join(two, "b").mapInPandas(hold, "a long, b long"), "verified")
+
+    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            sets = [hashes(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "size": [len(x) for x in sets], "sketch": sketches(sets)})
+
+    busy = shared.groupBy("id").agg(F.sum("n").alias("busy"))
+    ranked = shared.join(busy, "id").select("key", "id", F.struct("busy", F.negative("id").alias("first")).alias("rank"))
+    leads = ranked.groupBy("key").agg(F.max("rank").alias("top"))
+    tried = ranked.join(leads, "key").where("top <> rank").groupBy("id").agg(F.max("top").alias("top"))
+    found = verified(tried.select(F.negative("top.first").alias("a"), F.col("id").alias("b")))
+    # a lead's own lead stands for both; what these labels miss is only looked at again
+    own = found.select(F.col("b").alias("id"), F.col("a").alias("lead"))
+    labels = own.join(own.select(F.col("id").alias("lead"), F.col("lead").alias("next")), "lead", "left").select("id", F.coalesce("next", "lead").alias("root"))
+    sketched = None
+    for last in (False, True):
+        labels = written(labels, "labels")
+        named = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+        split = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        left = written(named.join(split, "key").select("key", "id", "root"), "unsettled")
+        if sketched is None:  # the last round has no other ids
+            sketched = written(texts.join(left.select("id").distinct(), "id", "left_semi").mapInPandas(signed, "id long, size long, sketch binary"), "sketches")
+        pairs = _bucket_pairs(left.join(sketched, "id"), threshold, not last)
+        if not last:
+            pairs = pairs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("near")).select("a", F.col("near.b").alias("b"))
+        more = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        found = found.unionByName(more)
+        if not last:
+            labels = _joined(labels, more)
+    return components(found)
+
+
+def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """(id, root) labels after more links: of two linked roots the one with fewer ids takes the other's label."""
+    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    ends = more
+    for c in "ab":
+        named = labels.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
+        ends = ends.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
+        ends = ends.join(sizes.select(F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}")), f"r{c}", "left").withColumn(f"n{c}", F.coalesce(f"n{c}", F.lit(0)))
+    x, y = (F.struct(F.col(f"n{c}").alias("n"), F.col(f"r{c}").alias("r")) for c in "ab")
+    moves = ends.where("ra <> rb").select(F.least(x, y).alias("small"), F.greatest(x, y).alias("large"))
+    moves = written(moves.groupBy(F.col("small.r").alias("root")).agg(F.max("large").alias("to")).select("root", F.col("to.r").alias("to")), "moves")
+    twice = moves.join(moves.select(F.col("root").alias("to"), F.col("to").alias("next")), "to", "left").select("root", F.coalesce("next", "to").alias("to"))
+    twice = written(twice, "moves")
+    kept = labels.join(twice, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    alone = twice.join(labels.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("to").alias("root"))
+    return kept.unionByName(alone)
