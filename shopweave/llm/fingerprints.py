@@ -35,8 +35,8 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
 
 
 def signatures(many: list[str]) -> np.ndarray:
-    """(text, slot) 16-bit MinHash values; a text without a word has ones throughout."""
-    out, at = np.full((len(many), SLOTS), 0xFFFF, np.uint16), 0
+    """(text, slot) MinHash values, the low 8 bits of each; a text without a word has ones throughout."""
+    out, at = np.full((len(many), SLOTS), 0xFF, np.uint8), 0
     while at < len(many):
         own, size = [], 0
         while at + len(own) < len(many) and (not own or size < 1 << 16):
@@ -50,11 +50,16 @@ def signatures(many: list[str]) -> np.ndarray:
             for j in range(SLOTS):
                 np.multiply(h, A[j], out=x)
                 np.add(x, B[j], out=x)
-                out[rows, j] = np.minimum.reduceat(x, starts) & np.uint32(0xFFFF)
+                out[rows, j] = np.minimum.reduceat(x, starts) & np.uint32(0xFF)
         at += len(own)
     return out
 
 
+def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard similarity of fingerprints: the share of equal values beyond what 8 bits match by chance."""
+    return np.clip(((a == b).mean(axis=1) - 1 / 256) / (1 - 1 / 256), 0, 1)
+
+
 def jaccard(a: str, b: str) -> float:
     """Exact Jaccard similarity of the sets of five-word shingles; two texts without a word are alike."""
     x, y = (t.encode().lower().split() for t in (a, b))
@@ -87,7 +92,7 @@ def _ordered(docs: DataFrame, n: int) -> DataFrame:
     follows = [(heads[b], after) for b, after in zip(used, used[1:] + used[:1], strict=True)]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for b in batches:
             z = pd.DataFrame({"bucket": np.searchsorted(edges, b["doc_id"].to_numpy(), "right"), "halo": False, "doc_id": b["doc_id"], "z": [press.compress(t.encode()) for t in b["text"]]})
             yield z
@@ -127,8 +132,8 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     "fingerprint": [m.tobytes() for m in mine],
                     "edited_fingerprint": [m.tobytes() for m in changed],
                     "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
-                    "near_edited": (mine == changed).mean(axis=1),
-                    "near_next": (mine == following).mean(axis=1),
+                    "near_edited": likeness(mine, changed),
+                    "near_next": likeness(mine, following),
                 }
             )
 
@@ -149,33 +154,23 @@ def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def near_copies(signed: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, root) of distinct texts that reach the threshold: bands of their fingerprints joined, then exact Jaccard."""
-    band = [F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + 2 * ROWS * i, 2 * ROWS)) for i in range(BANDS)]
+    band = [F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + ROWS * i, ROWS)) for i in range(BANDS)]
     distinct = signed.groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"))
     buckets = distinct.select(F.col("text_key").alias("id"), F.explode(F.array(*band)).alias("key"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "document-pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-
-        text = texts(docs, id_col, text_col).select(F.xxhash64("text").alias("key"), "text").join(ids, "key")
-        text = written(text.groupBy("key").agg(F.first("text").alias("text")), "document-texts")
-        both = pairs.join(text.select(F.col("key").alias("a"), F.col("text").alias("x")), "a").join(text.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-
-        def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in batches:
-                ok = np.array([jaccard(x, y) >= threshold for x, y in zip(p["x"], p["y"], strict=True)], bool)
-                yield p.loc[ok, ["a", "b"]]
-
-        return both.mapInPandas(hold, "a long, b long")
+    def fetch(ids: DataFrame) -> DataFrame:
+        rows = texts(docs, id_col, text_col).select(F.xxhash64("text").alias("id"), "text").join(ids, "id")
+        return rows.groupBy("id").agg(F.first("text").alias("text"))
 
-    return bucketed_components(buckets, verify)
+    return bucketed_components(buckets, fetch, lambda t: np.unique(shingles(t.encode().lower().split())), threshold, jaccard)
 
 
 def fingerprints(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, component_id) for each row.
 
-    A fingerprint is 128 MinHash values of 16 bits over five-word shingles (words lower
-    case, split at ASCII white space); likeness is the share of equal values. The next
+    A fingerprint is 128 MinHash values of 8 bits over five-word shingles (words lower
+    case, split at ASCII white space); likeness is the share of equal values, less
+    what matches by chance. The next
     document is that of the next smaller doc_id, after the last the first; rows that
     repeat an id follow each other in an order of their bytes, null ids come last.
     component_id is the smallest doc_id reachable over exact Jaccard links of at least
