@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ LENGTH, END_ID, CHUNK_TOKENS = 4096, 2, 1 << 22
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 
 
-SIGNS = ".,!?;:#$%&*()|-=+@/"
+SIGNS = b".,!?;:#$%&*()|-=+@/"
 #: How the vocabulary's merge model spells bytes: printable ones as themselves, the others from U+0100 on.
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELT = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in set(_SHOWN))}
@@ -36,35 +37,33 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.model, self.keep, self.known, self.late = self.whole.model, keep, {}, {}
         self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.kind = np.uint16 if self.whole.get_vocab_size() < 1 << 16 else np.uint32
-
-    def word(self, word: bytes) -> list[int]:
-        text = word.decode()
-        stem = text.rstrip(SIGNS)
-        signs = text[len(stem) :]
-        if stem and not stem.isascii():
-            low = stem.lower()
-            if not stem.isalpha() or len(low) != len(stem):
-                return self.whole.encode(text, add_special_tokens=False).ids
-            stem = low.encode().decode("latin-1").translate(SPELT)
-        elif stem and not stem.isalpha():
-            return self.whole.encode(text, add_special_tokens=False).ids
-        return [t.id for part in (stem, signs) if part for t in self.model.tokenize(part)]
-
-    def missing(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of the words, as bytes, with those not met before."""
-        known, late, out = self.known, self.late, {}
-        for w in words:
-            if (ids := known.get(w)) is None and (ids := late.get(w)) is None:
-                ids = np.array(self.word(w), self.kind).tobytes()
-                if len(known) < self.keep:
-                    known[w] = ids
-                else:
-                    if len(late) >= self.keep // 4:
-                        late.clear()
-                    late[w] = ids
-            out[w] = ids
-        return out
+        self.kind = "H" if self.whole.get_vocab_size() < 1 << 16 else "I"
+
+    def word(self, word: bytes) -> bytes:
+        """The ids of one word. Its letters and the signs behind them are looked up by themselves: other words share them."""
+        stem = word.rstrip(SIGNS)
+        text = stem.decode()
+        plain = text.isalpha() and (text.isascii() or len(text.lower()) == len(text))
+        if stem and not plain:
+            return array(self.kind, self.whole.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if stem and stem != word:
+            return self.of(stem) + self.of(word[len(stem) :])
+        if not word.isascii():
+            text = text.lower().encode().decode("latin-1").translate(SPELT)
+        return array(self.kind, [t.id for t in self.model.tokenize(text or word.decode())]).tobytes()
+
+    def of(self, word: bytes) -> bytes:
+        """The ids of a word, as bytes; met words are kept."""
+        known, late = self.known, self.late
+        if (ids := known.get(word)) is None and (ids := late.get(word)) is None:
+            ids = self.word(word)
+            if len(known) < self.keep:
+                known[word] = ids
+            else:
+                if len(late) >= self.keep // 4:
+                    late.clear()
+                late[word] = ids
+        return ids
 
     def __call__(self, text: str) -> np.ndarray:
         raw = text.encode()
@@ -74,7 +73,7 @@ class WordTokenizer:
         try:
             ids = b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            ids = b"".join(map(self.missing(words).__getitem__, words))
+            ids = b"".join(map(self.of, words))
         return np.frombuffer(ids, self.kind).astype(np.uint32)
 
 
