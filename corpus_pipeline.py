@@ -23,9 +23,8 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies (operator 8)."""
-    found = simhash_bktree.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """One row, that of the smallest id, of each group of near copies (operator 8)."""
+    return simhash_bktree.one_of_each(docs).select(docs.columns)
 
 
 def without_tests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

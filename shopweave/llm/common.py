@@ -37,14 +37,14 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) alone, a null text as the empty one: other columns can't clash."""
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text) and the columns to carry alone, a null text as the empty one: other columns can't clash."""
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *carry)
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """A 64-bit key of a row: rows that repeat both id and text share it, null ids are ids."""
-    return F.xxhash64(F.lit("row"), F.col(id_col).isNull(), F.coalesce(F.col(id_col), F.lit(0)), F.col(text_col))
+    """A 64-bit key of a row: rows that repeat both id and text share it, null ids are ids, null texts empty ones."""
+    return F.xxhash64(F.lit("row"), F.col(id_col).isNull(), F.coalesce(F.col(id_col), F.lit(0)), F.coalesce(F.col(text_col), F.lit("")))
 
 
 def parts(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import guarded, restored, texts
+from .common import guarded, restored, row_key, texts
 
 SEED, COVERAGE, BLOCK_TOKENS = 5, 0.5, 2_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
@@ -125,7 +125,7 @@ class Tests:
                     yield self.names[k], share, len(found), max(t[2] for t in found)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, item_id, coverage, n_tiles, longest) for each document that covers a test item.
 
     Words are letter, digit and underscore runs in lower case. The seeds are the
@@ -139,13 +139,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     scan of the documents for each block, so what is sent has a fixed bound and the
     documents are never shuffled. Items without a word match nothing; null texts count
     as empty; empty tables give an empty result; items that repeat are matched each.
+    `carry` names whole-number columns of docs that come along in the result.
     """
     spark = docs.sparkSession
     tests = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
     size = tests.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
     blocks = int(size // block_tokens) + 1
-    rows = guarded(texts(docs, id_col, text_col))
-    kinds = "doc_id long, no_id boolean, item_id long, coverage double, n_tiles int, longest int"
+    rows = guarded(texts(docs, id_col, text_col, carry))
+    names = ["doc_id", "no_id", *carry]
+    kinds = ", ".join(["doc_id long, no_id boolean", *[f"{c} long" for c in carry], "item_id long, coverage double, n_tiles int, longest int"])
     found = []
     for block in range(blocks):
         own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -154,14 +156,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             all_tests = Tests(sent.value, seed)
             for b in batches:
-                out = [(d, no, *m) for d, no, t in zip(b["doc_id"], b["no_id"], b["text"], strict=True) for m in all_tests.matches(t, coverage)]
-                yield pd.DataFrame(out, columns=["doc_id", "no_id", "item_id", "coverage", "n_tiles", "longest"])
+                out = [(*own, *m) for *own, t in zip(*[b[c] for c in names], b["text"], strict=True) for m in all_tests.matches(t, coverage)]
+                yield pd.DataFrame(out, columns=[*names, "item_id", "coverage", "n_tiles", "longest"])
 
         found.append(restored(rows.mapInPandas(run, kinds)))
     return reduce(DataFrame.unionByName, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED) -> DataFrame:
-    """The rows of docs (all columns) that cover no test item; rows of a null doc_id stay only if none of those does."""
-    bad = contaminated(docs, benchmark, coverage, seed).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs (all columns) that cover no test item; each row counts for itself, whatever ids it shares."""
+    keyed = docs.withColumn("_key", row_key())
+    bad = contaminated(keyed, benchmark, coverage, seed, carry=("_key",)).select(F.col("_key").alias("_bad")).distinct()
+    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")

@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import guarded, parts, restored, texts, written
+from .common import guarded, parts, restored, row_key, texts, written
 from .links import components
 
 BITS, SHINGLE, RADIUS = 64, 4, 4
@@ -30,16 +30,16 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(rows), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the whole-number columns to carry: fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "no_id": b["no_id"], "fp": fp})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "no_id": b["no_id"], "fp": fp, **{c: b[c] for c in carry}})
 
-    rows = guarded(texts(docs, id_col, text_col))
-    return restored(rows.mapInPandas(run, "doc_id long, no_id boolean, fp long"))
+    rows = guarded(texts(docs, id_col, text_col, carry))
+    return restored(rows.mapInPandas(run, ", ".join(["doc_id long, no_id boolean, fp long", *[f"{c} long" for c in carry]])))
 
 
 class BKTree:
@@ -139,9 +139,36 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     empty table gives an empty result; repeated rows stay and share a component. Null
     ids are never a component's id unless it has no other.
     """
-    spark = docs.sparkSession
     rows = written(fingerprints(docs, id_col, text_col), "simhash")
     codes = rows.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    labels = _labels(rows, radius, tree_codes)
+    named = codes.join(labels, codes.fp == labels.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    found = named.join(lows, "root").select("fp", "component_id")
+    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, tree_codes: int = 4096) -> DataFrame:
+    """The rows of docs (all columns), exactly one of each component of near copies.
+
+    The one of the smallest id stays, null ids last, then that of the smallest row key
+    (id and text). Rows are numbered, so rows that repeat both are told apart as well
+    and neither a shared id nor a repeated row gathers rows in one task: fingerprints
+    and components are reduced to their first row before anything is joined.
+    """
+    numbered = written(docs.withColumns({"_n": F.monotonically_increasing_id(), "_key": row_key()}), "numbered")
+    rows = written(fingerprints(numbered, carry=("_n", "_key")), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "_n")).alias("first")
+    codes = rows.groupBy("fp").agg(first)
+    labels = _labels(rows, radius, tree_codes)
+    named = codes.join(labels, codes.fp == labels.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    stay = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._n").alias("_n"))
+    return numbered.join(stay, "_n", "left_semi").drop("_n", "_key")
+
+
+def _labels(rows: DataFrame, radius: int, tree_codes: int) -> DataFrame:
+    """(node, root): the component of each fingerprint of rows that is linked to another."""
+    spark = rows.sparkSession
     n = rows.select("fp").distinct().count()
     masks = block_masks(blocks_for(max(n, 1), radius), radius)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
@@ -166,8 +193,4 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
 
     sorted_ = keyed.repartition(parts(spark), "shard", "i", "j").sortWithinPartitions("shard", "i", "j")
     links = sorted_.mapInPandas(run, "a long, b long")
-    labels = components(links)
-    named = codes.join(labels, codes.fp == labels.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = named.join(lows, "root").select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", "fp", "component_id")
+    return components(links)
