@@ -9,6 +9,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +24,12 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Runs that line breaks cut, which may be written as escapes and be followed by an indent or quote marks.
+_BREAK = r"(?:\r\n|\r|\n|\\r\\n|\\n)[ \t>]*"
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
+_BREAKS = re.compile(_BREAK)
+#: How base64 of compressed data starts: gzip, zlib, bzip2 and xz.
+_PACKED64 = ("H4s", "eA", "eF", "eJ", "eN", "Qlpo", "/Td6")
 #: First bytes of gzip, zlib, bzip2 and xz data.
 _PACKED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00")
 
@@ -45,14 +52,24 @@ def base_spans(text: str) -> list[Span]:
 class Layer:
     """A decoded text and, for each of its characters, where it comes from in the document (None: the document itself)."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, whole: tuple[int, int] | None = None, cut: bool = False, sure: bool = True):
         self.text, self.starts, self.ends = text, starts, ends
+        # the one place that all characters come from; whether text stands before this one; whether it is no guess
+        self.whole, self.cut, self.sure = whole, cut, sure
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
+        if self.whole is not None:
+            return self.whole
         return (start, end) if self.starts is None else (min(self.starts[start:end]), max(self.ends[start:end]))
 
     def replaced(self, parts: list[tuple[int, int, str, list[tuple[int, int]]]]) -> Layer:
         """This layer with stretches (start, end, text, source of each character) put in."""
+        if self.whole is not None:
+            text, at = [], 0
+            for s, e, new, _ in parts:
+                text += [self.text[at:s], new]
+                at = e
+            return Layer("".join([*text, self.text[at:]]), whole=self.whole, cut=self.cut, sure=self.sure)
         text, starts, ends, at = [], [], [], 0
         own_s = self.starts if self.starts is not None else range(len(self.text))
         own_e = self.ends if self.ends is not None else range(1, len(self.text) + 1)
@@ -68,10 +85,12 @@ class Layer:
             at = e
         return Layer("".join(text), starts, ends)
 
-    def isolated(self, start: int, end: int, text: str) -> Layer:
+    def isolated(self, start: int, end: int, text: str, cut: bool = False, sure: bool = True) -> Layer:
         """A text decoded from a whole stretch: each character comes from all of it."""
-        s, e = self.origin(start, end)
-        return Layer(text, [s] * len(text), [e] * len(text))
+        return Layer(text, whole=self.origin(start, end), cut=cut, sure=sure)
+
+
+_LONE_BYTE, _LONE_HALF = re.compile("[\udc80-\udcff]"), re.compile("[\ud800-\udfff]")
 
 
 def _url(layer: Layer) -> Iterator[Layer]:
@@ -80,15 +99,12 @@ def _url(layer: Layer) -> Iterator[Layer]:
     parts = []
     for m in _PERCENT.finditer(layer.text):
         raw = bytes.fromhex(m[0].replace("%", ""))
-        try:
-            new = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        at, sources = m.start(), []
+        new, at, sources = raw.decode(errors="surrogateescape"), m.start(), []
         for c in new:
-            n = 3 * len(c.encode())
+            n = 3 * len(c.encode(errors="surrogateescape"))
             sources.append((at, at + n))
             at += n
+        new = _LONE_BYTE.sub(lambda x: chr(ord(x[0]) - 0xDC00), new)  # a byte that is no UTF-8 stands for itself
         parts.append((m.start(), m.end(), new, sources))
     if parts:
         yield layer.replaced(parts)
@@ -106,7 +122,7 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
             elif x.startswith("\\u{"):
                 new = chr(int(x[3:-1], 16))
             elif x.startswith("\\u"):
-                new = bytes.fromhex(x.replace("\\u", "")).decode("utf-16-be")
+                new = _LONE_HALF.sub("�", bytes.fromhex(x.replace("\\u", "")).decode("utf-16-be", "surrogatepass"))
             else:
                 new = chr(int(x[2:], 16))
             new.encode()
@@ -124,63 +140,172 @@ def _unicode(layer: Layer) -> Iterator[Layer]:
         yield layer.replaced(parts)
 
 
-def _unpacked(data: bytes, limit: int) -> bytes | None:
-    """What compressed data holds, up to the limit; None if it isn't such."""
+def _decompressor(head: bytes):
+    if head.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if head.startswith(b"\xfd7zXZ\x00") else zlib.decompressobj(47)
+
+
+def _unpacked(chunks: Iterator[bytes], step: int = 1 << 20) -> Iterator[bytes]:
+    """What compressed data holds, member after member, in pieces of at most `step`; as far as it can be read, and what follows it."""
+    data = next(chunks, b"")
     try:
-        if data.startswith(b"BZh"):
-            return bz2.BZ2Decompressor().decompress(data, limit)
-        if data.startswith(b"\xfd7zXZ\x00"):
-            return lzma.LZMADecompressor().decompress(data, limit)
-        return zlib.decompressobj(47).decompress(data, limit)
+        while data.startswith(_PACKED):
+            own, done = _decompressor(data), False
+            while not done:
+                out = own.decompress(data, step)
+                if out:
+                    yield out
+                done = own.eof
+                if isinstance(own, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                    data = b"" if done or not own.needs_input else next(chunks, None)
+                else:
+                    data = own.unconsumed_tail or (b"" if done or len(out) == step else next(chunks, None))
+                if data is None:
+                    return
+            data = own.unused_data
+            while len(data) < 6 and (more := next(chunks, None)) is not None:
+                data += more
     except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError):
-        return None
+        return
+    if data:
+        yield data
+    yield from chunks
 
 
-def _base64(layer: Layer, limit: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        if len(body) % 4 == 1:
-            continue
-        data = base64.b64decode(body + "=" * (-len(body) % 4), b"-_" if "-" in body or "_" in body else None)
-        seen = set()
-        while data.startswith(_PACKED) and (h := hashlib.blake2b(data).digest()) not in seen:
-            seen.add(h)
-            if (inner := _unpacked(data, limit)) is None:
-                break
-            data = inner
+def _taken(chunks: Iterator[bytes], most: int) -> bytes:
+    """The next bytes, at least `most` if there are so many."""
+    got, n = [], 0
+    while n < most and (x := next(chunks, None)) is not None:
+        got.append(x)
+        n += len(x)
+    return b"".join(got)
+
+
+def _unfolded(data: bytes, window: int) -> Iterator[tuple[str, bool]]:
+    """(text, whether it is UTF-8): decoded data, unpacked as often as it is packed, in windows of about `window` bytes, each half over the one before.
+
+    UTF-8 where it is such, else Latin-1: any byte is a character, so nothing is thrown away.
+    """
+    chunks, head, seen = iter(()), data, set()
+    while head.startswith(_PACKED) and (h := hashlib.blake2b(head).digest()) not in seen:
+        seen.add(h)
+        inner = _unpacked(chain([head], chunks))
+        if not (first := _taken(inner, window)):
+            break
+        head, chunks = first, inner
+    while True:
+        more = next(chunks, b"")
+        end = len(head)
+        while more and end > len(head) - 3 and head[end - 1] & 0xC0 == 0x80:
+            end -= 1
+        end -= bool(more and head[end - 1] >= 0xC0)
+        text = head[:end]
         try:
-            new = data.decode()
+            yield text.decode(), True
         except UnicodeDecodeError:
-            continue
-        if new and (new.isprintable() or all(c.isprintable() or c in "\t\n\r" for c in new)):
-            yield layer.isolated(m.start(), m.end(), new)
+            yield text.decode("latin-1"), False
+        if not more:
+            return
+        at = end - min(end, window // 2)
+        while at < end and head[at] & 0xC0 == 0x80:
+            at += 1
+        head = head[at:] + more
+        head += _taken(chunks, window - len(head))
+
+
+def _decoded(body: str) -> bytes:
+    """Base64 of either alphabet, as far as it has whole bytes."""
+    body = body.replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
+
+
+def _wrapped(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """(first, end) of the lines to decode together.
+
+    Blocks of lines of one length with a last one that is no longer, as encoders write
+    them; then, as what stands before may not belong to it, all lines from each place
+    in a group of four characters and from each line that starts as packed data does.
+    """
+    i = 0
+    while i < len(lines):
+        j = i + 1
+        while j < len(lines) and len(lines[j]) == len(lines[i]):
+            j += 1
+        end = j + 1 if j < len(lines) and len(lines[j]) < len(lines[i]) else j
+        if end - i > 1:
+            yield i, end
+        i = j
+    places, at = set(), 0
+    for k, x in enumerate(lines[:-1]):
+        if at % 4 not in places or x.startswith(_PACKED64):
+            places.add(at % 4)
+            yield k, len(lines)
+        at += len(x)
+
+
+def _base64(layer: Layer, window: int) -> Iterator[Layer]:
+    for m in _BASE64.finditer(layer.text):
+        body = m[0].rstrip("=")
+        for skip in range(4 if layer.cut and m.start() == 0 else 1):  # a cut run may start within a group
+            for k, (new, sure) in enumerate(_unfolded(_decoded(body[skip:]), window)):
+                yield layer.isolated(m.start(), m.end(), new, k > 0, sure)
+    for m in _WRAPPED.finditer(layer.text):
+        lines, at = [], m.start()
+        for x in _BREAKS.finditer(layer.text, m.start(), m.end()):
+            lines.append((at, layer.text[at : x.start()]))
+            at = x.end()
+        lines.append((at, layer.text[at : m.end()].rstrip("=")))
+        done = set()
+        for i, end in _wrapped([x for _, x in lines]):
+            body = "".join(x for _, x in lines[i:end])
+            if len(body) < 16 or (i, end) in done:
+                continue
+            done.add((i, end))
+            stop = m.end() if end == len(lines) else lines[end - 1][0] + len(lines[end - 1][1])
+            for k, (new, sure) in enumerate(_unfolded(_decoded(body), window)):
+                yield layer.isolated(lines[i][0], stop, new, k > 0, sure)
+
+
+def _is_text(text: str) -> bool:
+    return text.isprintable() or all(c.isprintable() or c in "\t\n\r" for c in text)
 
 
 def scan(text: str, limit: int = 1 << 26) -> tuple[list[Span], list[Span], int]:
     """(base spans, all spans, layers): the worklist runs until no layer gives a text not seen before.
 
     A layer is unwrapped in each way that it can be, and each new text is scanned
-    again. A text seen before at the same place is left out, so cycles end. `limit` is
-    the most bytes that one compressed stretch may unfold to; beyond it the first
-    `limit` bytes are scanned.
+    again, printable or not; the layers counted are those of printable UTF-8 or with a
+    match. A text seen before at the same place is left out, so cycles end. What
+    compressed data unfolds to is scanned whole, in windows of about `limit` bytes that
+    overlap by half. Where that is more than `limit`, a packed stretch inside it of over
+    half of `limit` can fall across two windows.
     """
     base = base_spans(text)
-    spans, work, seen, layers = set(base), [Layer(text)], {(text, (0, len(text)))}, 0
+    spans, seen, layers = set(base), {_name(Layer(text))}, 0
+    under = lambda x: chain(_url(x), _unicode(x), _base64(x, limit))
+    work = [under(Layer(text))]
     while work:
-        layer = work.pop()
-        for new in (*_url(layer), *_unicode(layer), *_base64(layer, limit)):
-            key = (new.text, new.origin(0, len(new.text)) if new.text else (0, 0))
-            if key in seen:
-                continue
-            seen.add(key)
-            layers += 1
-            for s, k, e in base_spans(new.text):
-                a, b = new.origin(s, e)
-                spans.add((a, k, b))
-            work.append(new)
+        if (new := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        if not new.text or (key := _name(new)) in seen:
+            continue
+        seen.add(key)
+        found = base_spans(new.text)
+        layers += bool(found) or (new.sure and _is_text(new.text))
+        for s, k, e in found:
+            a, b = new.origin(s, e)
+            spans.add((a, k, b))
+        work.append(under(new))
     return base, sorted(spans), layers
 
 
+def _name(layer: Layer) -> tuple[bytes, tuple[int, int]]:
+    return hashlib.blake2b(layer.text.encode(errors="surrogatepass"), digest_size=16).digest(), layer.origin(0, len(layer.text)) if layer.text else (0, 0)
+
+
 def written_spans(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
