@@ -47,6 +47,9 @@ ENDINGS = {
     "greek": {"given_m": "ος", "given_f": "να", "given_u": "ις", "surname": "ης", "surname_a": "ου"},
 }
 
+#: So many further attempts keep the length of an email's local part, each one after them adds a letter.
+SAME_LENGTH = 3
+
 
 def _digits(c: Column) -> Column:
     return F.regexp_replace(c, "[^0-9]", "")
@@ -126,8 +129,11 @@ def surrogate(key: str, kind: Column, canon: Column, mention: Column, attempt: C
     tail = F.regexp_extract(domain, r"\.\p{L}+$", 0)
     host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
     by_host = _hash(key, F.lit("host"), F.lower(host))
+    # an email that still collides gets a longer local part: short ones are few at one host
+    more = F.substr(_letters(_hash(key, F.lit("more"), kind, canon, attempt), script_of(local)), F.lit(1), F.greatest(attempt - SAME_LENGTH, F.lit(0)))
+    more = F.when(local.rlike(r"\p{Lu}") & (local == F.upper(local)), F.upper(more)).otherwise(more)
     email = F.concat(
-        _filled(local, stream, F.lit(0), _letters(stream, script_of(local))), F.lit("@"), _filled(host, by_host, F.lit(0), _letters(by_host, script_of(host))), tail
+        _filled(local, stream, F.lit(0), _letters(stream, script_of(local))), more, F.lit("@"), _filled(host, by_host, F.lit(0), _letters(by_host, script_of(host))), tail
     )
     octet = [(F.conv(F.substr(stream, F.lit(1 + 8 * i), F.lit(7)), 16, 10).cast("long") % 254 + 1).cast("string") for i in range(4)]
     phone = _filled(mention, stream, F.length(_digits(mention)) - F.length(canon) + F.when((F.length(canon) > 10) & mention.startswith("+"), 2).otherwise(0))
@@ -158,7 +164,9 @@ def attempts(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first surrogate is another's, or is itself an entity.
 
     Of entities with one surrogate the smallest stays, the others try again, until all
-    surrogates are distinct and none is a canonical form found in the texts.
+    surrogates are distinct and none is a canonical form found in the texts. Emails and
+    names grow with the attempts, so there is room for any number of them; the other
+    kinds keep their length, which leaves over 10**8 values each.
     """
     entities = written(entities.where("kind <> 'as_is'").select("kind", "canon").distinct(), "entities")
     again = written(entities.limit(0).withColumn("attempt", F.lit(0)), "attempts")
