@@ -97,11 +97,15 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FactorisationMachine:
-    """Fits the machine on at most `sample` labelled rows outside held_out(): those of the smallest hash of their id."""
+    """Fits the machine on at most `sample` labelled rows outside held_out(): those of the smallest hash of their id.
+
+    Of the documents that share an id one counts, that of the text of the smallest hash.
+    """
     own = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     own = own.where(~held_out() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = own.orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(sample)
     rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")  # chosen: at most `sample` rows of 12 bytes
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
