@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -13,12 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only where the session names none (tests), one is made."""
+    """The folder of spark.checkpoint.dir, which the driver and all executors share.
+
+    Where a session names none, a folder under its warehouse is taken on a local master; a cluster needs the setting.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,6 +45,11 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *carry)
 
 
+def aside(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, row): id and text (null: empty) beside the whole row as a struct, so no column of docs can clash with an operator's own."""
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), F.struct("*").alias("row"))
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """A 64-bit key of a row: rows that repeat both id and text share it, null ids are ids, null texts empty ones."""
     return F.xxhash64(F.lit("row"), F.col(id_col).isNull(), F.coalesce(F.col(id_col), F.lit(0)), F.coalesce(F.col(text_col), F.lit("")))

@@ -7,13 +7,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import parts, texts, written
-from .links import bucketed_components
+from .links import BAND_SHIFT, FIRST_BAND, SALT, bucketed_links
 
 SLOTS, SHINGLE, BANDS, ROWS, THRESHOLD = 128, 5, 21, 6, 0.8
 _R = np.random.default_rng(90210)
@@ -21,17 +21,28 @@ _R = np.random.default_rng(90210)
 A = _R.integers(0, 2**31, SLOTS, np.uint32) * np.uint32(2) + np.uint32(1)
 B = _R.integers(0, 2**32, SLOTS, np.uint32)
 NO_ID = -(1 << 63)
+#: Characters that are held in a task at a time.
+HELD = 1 << 20
+
+
+def distinct_hashes(text: str) -> np.ndarray:
+    """The set of a text's shingles as sorted 64-bit hashes."""
+    return np.unique(_mixed(text.encode().lower().split(), SHINGLE, wide=True))
 
 
 def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     """32-bit hashes of the k-word shingles; fewer words are one shingle, none is none."""
-    w = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
+    return (_mixed(words, k) >> np.uint64(32)).astype(np.uint32)
+
+
+def _mixed(words: list[bytes], k: int, wide: bool = False) -> np.ndarray:
+    w = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) if wide else np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
     n = max(1, len(w) - k + 1) if len(w) else 0
     h = np.full(n, min(k, len(w)), np.uint64)
     for i in range(min(k, len(w))):
         h = (h ^ w[i : i + n]) * np.uint64(0x9FB21C651E98DF25)
         h ^= h >> np.uint64(29)
-    return (h >> np.uint64(32)).astype(np.uint32)
+    return h
 
 
 def signatures(many: list[str]) -> np.ndarray:
@@ -64,7 +75,8 @@ def jaccard(a: str, b: str) -> float:
     """Exact Jaccard similarity of the sets of five-word shingles; two texts without a word are alike."""
     x, y = (t.encode().lower().split() for t in (a, b))
     x, y = ({tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} for w in (x, y))
-    return len(x & y) / len(x | y)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
 
 
 def edited(text: str, following: str) -> str:
@@ -83,86 +95,87 @@ def _ordered(docs: DataFrame, n: int) -> DataFrame:
     quantiles = ids.stat.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else []
     edges = np.unique(np.array(quantiles, np.float64)).astype(np.int64)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"bucket": np.searchsorted(edges, b["doc_id"].to_numpy(), "right"), "doc_id": b["doc_id"]})
+            yield pa.record_batch({"bucket": np.searchsorted(edges, b.column(0).to_numpy(), "right"), "doc_id": b.column(0)})
 
-    heads = dict(ids.mapInPandas(place, "bucket long, doc_id long").groupBy("bucket").agg(F.max("doc_id")).collect())  # n rows at most
+    heads = dict(ids.mapInArrow(place, "bucket long, doc_id long").groupBy("bucket").agg(F.max("doc_id")).collect())  # n rows at most
     used = sorted(heads)
-    follows = [(heads[b], after) for b, after in zip(used, used[1:] + used[:1], strict=True)]
+    follows: dict[int, list[int]] = {}
+    for bucket, after in zip(used, used[1:] + used[:1], strict=True):
+        follows.setdefault(heads[bucket], []).append(after)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            z = pd.DataFrame({"bucket": np.searchsorted(edges, b["doc_id"].to_numpy(), "right"), "halo": False, "doc_id": b["doc_id"], "z": [press.compress(t.encode()) for t in b["text"]]})
-            yield z
-            for head, after in follows:
-                if (same := z["doc_id"] == head).any():
-                    yield z[same].assign(bucket=after, halo=True)
+            doc = b.column(0).to_numpy()
+            z = [press.compress(t.encode()) for t in b.column(1).to_pylist()]
+            again = [(i, after) for i, d in enumerate(doc.tolist()) if d in follows for after in follows[d]]
+            bucket = np.concatenate([np.searchsorted(edges, doc, "right"), np.array([a for _, a in again], np.int64)])
+            take = np.concatenate([np.arange(len(doc)), np.array([i for i, _ in again], np.int64)])
+            yield pa.record_batch({"bucket": bucket, "halo": np.arange(len(take)) >= len(doc), "doc_id": doc[take], "z": pa.array([z[i] for i in take.tolist()], pa.binary())})
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
-    return rows.mapInPandas(deal, "bucket long, halo boolean, doc_id long, z binary")
+    return rows.mapInArrow(deal, "bucket long, halo boolean, doc_id long, z binary")
 
 
 def compared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, text_key, fingerprint, edited_fingerprint, edited_sha256, near_edited, near_next), in one pass over ordered ranges."""
+    """(doc_id, n_chars, h, l, fingerprint, edited_fingerprint, edited_sha256, near_edited, near_next), in one pass over ordered ranges."""
     rows = texts(docs, id_col, text_col)
     n = parts(docs.sparkSession)
-    dealt = _ordered(rows, n).repartition(n, "bucket").sortWithinPartitions("bucket", "halo", F.desc("doc_id"), "z")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    dealt = _ordered(rows, n).repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "halo", F.desc("doc_id"), "z")
+
+    def made(held: list[tuple[int, bool, int, str]]) -> pa.RecordBatch:
+        """Rows of all held documents but the last, which is only what the one before it is followed by."""
+        at = [k for k, (a, b) in enumerate(zip(held, held[1:], strict=False)) if a[0] == b[0] and not a[1]]
+        own = signatures([h[3] for h in held])
+        new = [edited(held[k][3], held[k + 1][3]) for k in at]
+        mine, following, changed = own[at], own[[k + 1 for k in at]], signatures(new)
+        raw = [held[k][3].encode() for k in at]
+        h, low = (np.fromiter((xxhash.xxh64_intdigest(t, s) for t in raw), np.uint64, len(raw)).view(np.int64) for s in (42, SALT))
+        return pa.record_batch(
+            {
+                "doc_id": pa.array([held[k][2] for k in at], pa.int64()),
+                "n_chars": pa.array([len(held[k][3]) for k in at], pa.int64()),
+                "h": h,
+                "l": low,
+                "fingerprint": pa.array([m.tobytes() for m in mine], pa.binary()),
+                "edited_fingerprint": pa.array([m.tobytes() for m in changed], pa.binary()),
+                "edited_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
+                "near_edited": likeness(mine, changed),
+                "near_next": likeness(mine, following),
+            }
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
         held: list[tuple[int, bool, int, str]] = []
         size = 0
-
-        def out() -> pd.DataFrame:
-            """Rows of all held documents but the last, which is only what the one before it is followed by."""
-            pairs = [(a, b) for a, b in zip(held, held[1:], strict=False) if a[0] == b[0] and not a[1]]
-            own = signatures([h[3] for h in held])
-            at = {id(h): k for k, h in enumerate(held)}
-            new = [edited(a[3], b[3]) for a, b in pairs]
-            changed = signatures(new)
-            mine = own[[at[id(a)] for a, _ in pairs]] if pairs else own[:0]
-            following = own[[at[id(b)] for _, b in pairs]] if pairs else own[:0]
-            return pd.DataFrame(
-                {
-                    "doc_id": [a[2] for a, _ in pairs],
-                    "n_chars": [len(a[3]) for a, _ in pairs],
-                    "text_key": np.array([xxhash.xxh64_intdigest(a[3].encode(), 42) for a, _ in pairs], np.uint64).view(np.int64),
-                    "fingerprint": [m.tobytes() for m in mine],
-                    "edited_fingerprint": [m.tobytes() for m in changed],
-                    "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in new],
-                    "near_edited": likeness(mine, changed),
-                    "near_next": likeness(mine, following),
-                }
-            )
-
         for b in batches:
-            for bucket, halo, doc_id, z in zip(b["bucket"], b["halo"], b["doc_id"], b["z"], strict=True):
+            for bucket, halo, doc_id, z in zip(*(b.column(c).to_pylist() for c in ("bucket", "halo", "doc_id", "z")), strict=True):
                 held.append((bucket, halo, doc_id, open_.decompress(z).decode()))
                 size += len(held[-1][3])
-                if size > 1 << 20 and len(held) > 1:
-                    yield out()
-                    held[:] = held[-1:]
+                if size > HELD and len(held) > 1:
+                    yield made(held)
+                    held = held[-1:]
                     size = len(held[0][3])
         if held:
-            yield out()
+            yield made(held)
 
-    kinds = "doc_id long, n_chars long, text_key long, fingerprint binary, edited_fingerprint binary, edited_sha256 string, near_edited double, near_next double"
-    return dealt.mapInPandas(run, kinds)
+    kinds = "doc_id long, n_chars long, h long, l long, fingerprint binary, edited_fingerprint binary, edited_sha256 string, near_edited double, near_next double"
+    return dealt.mapInArrow(run, kinds)
 
 
 def near_copies(signed: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root) of distinct texts that reach the threshold: bands of their fingerprints joined, then exact Jaccard."""
-    band = [F.xxhash64(F.lit(i), F.substring("fingerprint", 1 + ROWS * i, ROWS)) for i in range(BANDS)]
-    distinct = signed.groupBy("text_key").agg(F.first("fingerprint").alias("fingerprint"))
-    buckets = distinct.select(F.col("text_key").alias("id"), F.explode(F.array(*band)).alias("key"))
+    """(h, l, root, low) of each distinct text: the number of its component, and the smallest doc_id of the text.
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        rows = texts(docs, id_col, text_col).select(F.xxhash64("text").alias("id"), "text").join(ids, "id")
-        return rows.groupBy("id").agg(F.first("text").alias("text"))
-
-    return bucketed_components(buckets, fetch, lambda t: np.unique(shingles(t.encode().lower().split())), threshold, jaccard)
+    Texts that agree in a band of their fingerprints are compared by exact Jaccard.
+    """
+    bands = [(F.shiftrightunsigned(F.xxhash64(F.substring("fingerprint", 1 + ROWS * i, ROWS)), 64 - BAND_SHIFT) + F.lit(i - FIRST_BAND << BAND_SHIFT)) for i in range(BANDS)]
+    distinct = signed.groupBy("h", "l").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"), F.max("n_chars").alias("size"), F.first("fingerprint").alias("fingerprint"))
+    distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "h", "l", "low", "size", F.array(*bands).alias("bands")), "distinct-texts")
+    labels = bucketed_links(distinct.drop("low"), texts(docs, id_col, text_col), lambda t: [t], distinct_hashes, jaccard, threshold)
+    return distinct.join(labels, distinct.id == labels.node, "left").select("h", "l", F.coalesce("root", "id").alias("root"), "low")
 
 
 def fingerprints(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,11 +192,9 @@ def fingerprints(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     shingle; an only row is its own next; an empty table gives an empty result.
     """
     signed = written(compared(docs, id_col, text_col), "fingerprints")
-    labels = near_copies(signed, docs, threshold, id_col, text_col)
-    rows = signed.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
-    lows = rows.groupBy("text_key").agg(F.min("doc_id").alias("low")).join(labels, F.col("text_key") == F.col("node"), "left")
-    lows = lows.select("text_key", "low", F.coalesce("root", "text_key").alias("root"))
-    least = lows.groupBy("root").agg(F.min("low").alias("component_id"))
-    found = lows.join(least, "root").select("text_key", "component_id")
+    named = written(near_copies(signed, docs, threshold, id_col, text_col), "text-roots")
+    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    found = written(named.join(least, "root").select("h", "l", "component_id"), "text-components")
     text = [F.lower(F.hex(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")]
-    return rows.join(found, "text_key").select("doc_id", "n_chars", "edited_sha256", *text, "near_edited", "near_next", "component_id")
+    doc_id = F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id")
+    return signed.join(found, ["h", "l"]).select(doc_id, "n_chars", "edited_sha256", *text, "near_edited", "near_next", "component_id")

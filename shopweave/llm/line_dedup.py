@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import row_key, texts, written
-from .links import bucketed_components
+from .common import aside, row_key, texts, written
+from .links import SALT, bucketed_links, keyed
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 10, 4, 0.8
 _R = np.random.default_rng(20240607)
@@ -59,14 +60,14 @@ def _signed(lines: list[str], k: int) -> np.ndarray:
 
 
 def band_keys(signed: np.ndarray) -> np.ndarray:
-    """(line, band) 64-bit keys: lines with the same slots in a band have the same key."""
+    """(line, band) keys: lines with the same slots in a band have the same key."""
     rows = (signed.reshape(-1, BANDS, ROWS).astype(np.uint64) + np.uint64(1)) * FOLD
     rows ^= rows >> np.uint64(29)
     mixed = rows[:, :, 0].copy()
     for r in range(1, ROWS):
         mixed = (mixed ^ rows[:, :, r]) * np.uint64(0x9FB21C651E98DF25)
         mixed ^= mixed >> np.uint64(32)
-    return (mixed + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+    return keyed(mixed * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_set(line: str, k: int = SHINGLE) -> set[str]:
@@ -76,76 +77,114 @@ def shingle_set(line: str, k: int = SHINGLE) -> set[str]:
 def jaccard(a: str, b: str) -> float:
     """Exact Jaccard similarity of the two sets of character shingles."""
     x, y = shingle_set(a), shingle_set(b)
-    return len(x & y) / len(x | y)
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_key, doc_id, pos, line, line_id) of each line that isn't blank. Lines are compared without spaces at their ends."""
-    rows = texts(docs, id_col, text_col)
-    out = rows.select(row_key().alias("doc_key"), "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    out = out.withColumn("line", F.trim("line"))
-    return out.where("line <> ''").withColumn("line_id", F.xxhash64("line"))
+def distinct_hashes(line: str, k: int = SHINGLE) -> np.ndarray:
+    """The set of a line's shingles as sorted 64-bit hashes."""
+    c = np.frombuffer(line.ljust(k, "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(c) - k + 1, np.uint64)
+    for i in range(k):
+        h = (h ^ c[i : i + len(h)]) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(32)
+    return np.unique(h)
+
+
+def lines_of(text: str) -> list[str]:
+    """The lines that aren't blank, without spaces at their ends."""
+    return [x for line in text.split("\n") if (x := line.strip(" "))]
+
+
+def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc_key, pos, h, l, size, b0 ...): each line that isn't blank, its 128-bit hash, and once in a batch its length and band keys."""
+    rows = texts(docs, id_col, text_col).select("doc_id", row_key().alias("doc_key"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, pos, which, number = [], [], [], {}
+            for d, t in enumerate(batch.column("text").to_pylist()):
+                for i, line in enumerate(t.split("\n")):
+                    if line := line.strip(" "):
+                        doc.append(d)
+                        pos.append(i)
+                        which.append(number.setdefault(line, len(number)))
+            lines, at = list(number), np.array(which, np.int64)
+            raw = [x.encode() for x in lines]
+            h, low = (np.fromiter((xxhash.xxh64_intdigest(x, s) for x in raw), np.uint64, len(raw)).view(np.int64) for s in (42, SALT))
+            first = np.zeros(len(at), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            once = np.nonzero(first)[0]  # in the order of `lines`
+            slot = np.zeros(len(at), np.int64)
+            slot[once] = at[once]
+            bands, size = band_keys(signatures(lines)), np.array([len(x) for x in lines], np.int32)
+            take = pa.array(np.array(doc, np.int64))
+            own = {c: pa.array(v[slot] if len(v) else np.zeros(0, v.dtype), mask=~first) for c, v in {"size": size, **{f"b{i}": bands[:, i] for i in range(BANDS)}}.items()}
+            yield pa.record_batch({"doc_id": batch.column("doc_id").take(take), "doc_key": batch.column("doc_key").take(take), "pos": pa.array(pos, pa.int32()), "h": h[at], "l": low[at], **own})
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    kinds = f"doc_id {kind}, doc_key long, pos int, h long, l long, size int, " + ", ".join(f"b{i} long" for i in range(BANDS))
+    return written(rows.mapInArrow(run, kinds), "line-places")
+
+
+def _components(places: DataFrame, docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(h, l, root): lines that occur again or are linked, with a number that those of one component share."""
+    bands = [f"b{i}" for i in range(BANDS)]
+    distinct = places.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), *[F.max(b).alias(b) for b in bands])
+    distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "h", "l", "n", "size", F.array(*bands).alias("bands")), "distinct-lines")
+    linked = bucketed_links(distinct, texts(docs, id_col, text_col), lines_of, distinct_hashes, jaccard, threshold)
+    named = distinct.select("id", "h", "l", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
+    return written(named.where("n > 1 or root is not null").select("h", "l", F.coalesce("root", "id").alias("root")), "line-roots")
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root) for each distinct line that is linked to another distinct one."""
-    lines = _lines(docs, id_col, text_col).select("line_id", "line")
+    """(h, l, root) of each line, by the 128-bit hash of it, that occurs again or is linked to another; linked ones share a root."""
+    return _components(_places(docs, id_col, text_col), docs, threshold, id_col, text_col)
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            b = b.drop_duplicates("line_id")
-            yield pd.DataFrame({"key": band_keys(signatures(b["line"].tolist())).ravel(), "id": np.repeat(b["line_id"].to_numpy(), BANDS)})
 
-    def fetch(ids: DataFrame) -> DataFrame:
-        return lines.join(ids, lines.line_id == ids.id, "left_semi").groupBy(F.col("line_id").alias("id")).agg(F.min("line").alias("text"))
+def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+    """(key, owner, gone): for rows that lose lines, the row key and doc_id and the sorted positions of those lines."""
+    places = _places(docs, id_col, text_col)
+    roots = _components(places, docs, threshold, id_col, text_col)
+    again = written(places.select("h", "l", "doc_id", "doc_key", "pos").join(roots, ["h", "l"]).select("root", "doc_id", "doc_key", "pos"), "repeated-lines")
+    keep = again.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key", "pos")).alias("keep")).select("keep.*").toDF("d", "k", "p")
+    keep = written(keep, "kept-lines")
+    same = F.col("doc_key").eqNullSafe(F.col("k")) & (F.col("pos") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    gone = again.join(keep, same, "left_anti").groupBy(F.col("doc_key").alias("key"), F.col("doc_id").alias("owner"))
+    return written(gone.agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone-lines")
 
-    buckets = lines.mapInPandas(sign, "key long, id long")
-    return bucketed_components(buckets, fetch, lambda x: np.unique(shingle_hashes(x.ljust(SHINGLE, "\0"), SHINGLE)), threshold, jaccard)
 
+def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows (doc_id, text ...) and gone, null where no line goes."""
+    keyed = rows.withColumn("doc_key", row_key())
+    return keyed.join(gone, (F.col("doc_key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("owner")), "left").withColumn("lines", F.split("text", "\n"))
 
-def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
-    """(doc_key, gone): the positions of the lines that don't stay."""
-    lines = written(_lines(docs, id_col, text_col).select("doc_key", "doc_id", "pos", "line_id"), "line-places")
-    labels = line_components(docs, threshold, id_col, text_col)
-    twice = lines.groupBy("line_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("line_id", F.col("line_id").alias("root"), F.lit(False).alias("linked"))
-    linked = labels.select(F.col("node").alias("line_id"), "root", F.lit(True).alias("linked"))
-    ids = twice.unionByName(linked).groupBy("line_id").agg(F.max_by("root", "linked").alias("root"))
-    places = written(lines.join(ids, "line_id").select("root", "doc_id", "doc_key", "pos"), "repeated-lines")
-    keep = places.groupBy("root").agg(F.min(F.struct("doc_id", "doc_key", "pos")).alias("keep"))
-    gone = places.join(keep, "root").where("not (keep.doc_key = doc_key and keep.pos = pos)")
-    return gone.groupBy("doc_key").agg(F.collect_set("pos").alias("gone"))
+
+def _without() -> Column:
+    """The text of what lies between the lines that go, each line looked at once."""
+    before, after = F.concat(F.array(F.lit(-1)), "gone"), F.concat("gone", F.array(F.size("lines")))
+    kept = F.flatten(F.zip_with(before, after, lambda a, b: F.slice("lines", a + 2, b - a - 1)))
+    return F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, n_removed) for each row: text without the lines kept elsewhere.
 
     Lines are compared without spaces at their ends; links join lines whose 8-character
-    shingle sets reach the threshold. Equal lines are one node (64-bit XXH64). Of each component the occurrence with the smallest
-    (doc_id, row key, position) stays, wherever it is; blank lines always stay.
-    Null texts count as empty and come back empty. Rows that repeat doc_id and text
-    are one document: both keep or lose the same lines. Null ids sort first. An empty
-    table gives an empty result. A line is never cut, however long it is.
+    shingle sets reach the threshold. Equal lines are one node; lines are told apart by
+    128 bits. Of each component the occurrence with the smallest (doc_id, row key,
+    position) stays, wherever it is; blank lines always stay. Null texts count as empty
+    and come back empty. Rows that repeat doc_id and text are one document: both keep or
+    lose the same lines. Null ids sort first. An empty table gives an empty result. A
+    line is never cut, however long it is.
     """
-    gone = _gone(docs, threshold, id_col, text_col)
-    rows = texts(docs, id_col, text_col).withColumn("doc_key", row_key()).join(gone, "doc_key", "left")
-    return rows.select(
-        "doc_id",
-        _without("text", "gone").alias("text"),
-        F.size(F.split("text", "\n")).alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
-    )
-
-
-def _without(text: str, gone: str) -> Column:
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i))
-    return F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    rows = _with_gone(texts(docs, id_col, text_col), _gone(docs, threshold, id_col, text_col))
+    return rows.select("doc_id", _without().alias("text"), F.size("lines").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
 
 
 def drop_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all their columns, the text without lines kept elsewhere; rows that have lost every line that isn't blank go."""
-    gone = _gone(docs, threshold, id_col, text_col)
-    key = row_key("_id", "_text")
-    rows = docs.withColumn("_id", F.col(f"`{id_col}`")).withColumn("_text", F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = rows.withColumn("_key", key).join(gone.toDF("_key", "_gone"), "_key", "left").withColumn("_text", _without("_text", "_gone"))
-    rows = rows.where(F.col("_gone").isNull() | F.col("_text").rlike(r"\S"))
-    return rows.withColumn(text_col, F.when(F.col("_gone").isNotNull(), F.col("_text")).otherwise(F.col(f"`{text_col}`"))).select(docs.columns)
+    """docs with all their columns, whatever their names, the text without lines kept elsewhere; rows that have lost every line that isn't blank go."""
+    rows = _with_gone(aside(docs, id_col, text_col), _gone(docs, threshold, id_col, text_col)).select("row", "gone", _without().alias("left"))
+    rows = rows.where(F.col("gone").isNull() | F.col("left").rlike(r"\S"))
+    new = F.when(F.col("gone").isNotNull(), F.col("left")).otherwise(F.col(f"row.`{text_col}`")).alias(text_col)
+    return rows.select(*[new if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -1,41 +1,55 @@
-"""Distributed union-find and candidate links within buckets.
+"""Distributed union-find, and verified links within the buckets of a banded sketch.
 
-Both work on (long, long) rows only. Hot nodes and hot buckets are aggregated
-before they are joined, and a group of m near copies yields about m rows, not its
-m * m pairs.
+Texts are numbered (`id`), so all joins here are on longs. A bucket is what shares a
+band key. It is compared inside a task, slice by slice, and only links that span its
+components leave the task: a group of m near copies yields fewer than m rows, however
+many pairs it has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Observation, functions as F
-from pyspark.sql import Window as W
+import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .common import forget, parts, written
 
+#: A second seed of XXH64, beside Spark's own 42: together they tell texts apart by 128 bits.
+SALT = xxhash.xxh64_intdigest(b"second", 42)
+#: Band keys hold their band in the upper bits, so that the lower band has the smaller key.
+BAND_SHIFT, FIRST_BAND = 59, 16
+#: A bucket is cut into slices of about so many texts and characters.
+SLICE_TEXTS, SLICE_CHARS = 2048, 1 << 24
+#: Slots of the sieve, one bit each: what is sent to tasks has this size whatever the input.
+SIEVE_BITS = 1 << 25
+
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(a, b) links -> (node, root): root is the smallest node reachable.
+    """(a, b) links of longs -> (node, root): root is the smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014). Each round
-    is two aggregations and two joins, written to the shared folder; it ends when a
-    round changes nothing. Self links and null ends are dropped; repeated links count once.
+    Alternating large-star and small-star rounds (Kiveris et al. 2014) over child-to-parent
+    edges, written to the shared folder; it ends when a round changes nothing. In a large
+    star only the parents that have a smaller neighbour are joined, a written table that
+    shrinks from round to round, so a root with many children waits for no join: Spark
+    sends the table when it is small and splits a skewed partition when it isn't. Self
+    links and null ends are dropped; repeated links count once.
     """
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     edges, mark = _marked(edges)
     for _ in range(max_rounds):
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
-        small = small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        after, now = _marked(small)
+        low = edges.groupBy("a").agg(F.min("b").alias("m"))
+        moved = written(low.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select(F.col("a").alias("b"), "m"), "moved")
+        large = edges.join(moved, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        after, now = _marked(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
         forget(edges)
+        forget(moved)
         edges = after
         if now == mark:
             break
@@ -53,162 +67,241 @@ def _marked(edges: DataFrame) -> tuple[DataFrame, dict]:
     return written(edges.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), "links"), seen.get
 
 
-SKETCH, SLICE = 512, 2048
-_R = np.random.default_rng(4711)
-_A = _R.integers(0, 2**31, SKETCH, np.uint32) * np.uint32(2) + np.uint32(1)
-_B = _R.integers(0, 2**32, SKETCH, np.uint32)
-_ONES = np.uint64(0x1111111111111111)
+def hashed(text: str) -> list[Column]:
+    """(h, l): 128 bits that tell a text apart."""
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("l")]
 
 
-def sketches(hashes: list[np.ndarray]) -> list[bytes]:
-    """Of each set of 32-bit hashes the low 4 bits of SKETCH MinHash values, packed."""
-    low = np.zeros((len(hashes), SKETCH), np.uint8)
-    for i, h in enumerate(hashes):
-        for at in range(0, SKETCH, 64):
-            if len(h):
-                low[i, at : at + 64] = (h[None, :] * _A[at : at + 64, None] + _B[at : at + 64, None]).min(axis=1) & np.uint32(15)
-    return [r.tobytes() for r in low[:, ::2] | low[:, 1::2] << np.uint8(4)]
+def keyed(hashes: np.ndarray) -> np.ndarray:
+    """(text, band) uint64 hashes of bands -> signed band keys that order by band."""
+    band = (np.arange(hashes.shape[1]) - FIRST_BAND).astype(np.int64) << BAND_SHIFT
+    return (hashes >> np.uint64(64 - BAND_SHIFT)).view(np.int64) + band
 
 
-def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(row of a, row of b) how many slots of the packed sketches differ."""
-    x = a[:, None, :] ^ b[None, :, :]
-    x |= x >> np.uint64(1)
-    x |= x >> np.uint64(2)
-    x &= _ONES
-    return np.bitwise_count(x).sum(axis=2, dtype=np.int32)
+def _sieve(wanted: DataFrame):
+    """A broadcast bitmap of SIEVE_BITS slots with the slots of the wanted `h` set. Whatever it lets through is joined exactly afterwards."""
+    slot = F.pmod("h", F.lit(SIEVE_BITS))
+    words = wanted.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    words = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()  # SIEVE_BITS / 64 rows at most
+    bits = np.zeros(SIEVE_BITS // 64, np.int64)
+    bits[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return wanted.sparkSession.sparkContext.broadcast(bits)
 
 
-def _bucket_pairs(left: DataFrame, threshold: float, best: bool) -> DataFrame:
-    """(a, b, differ) within the buckets of (key, id, root, size, sketch): pairs of different roots that may reach the threshold.
+def fetched(docs: DataFrame, units: Callable[[str], list[str]], wanted: DataFrame) -> DataFrame:
+    """(id, bands, z): the compressed unit of text of each wanted (id, h, l, bands), from one more scan of docs' `text`."""
+    sent = _sieve(wanted)
 
-    best: of each id the nearest one of another root alone. A bucket of more than SLICE
-    members is cut into slices, and each two of them are compared in a task of their own.
-    """
-    chance = (1 - threshold) * 15 / 16
-    most = SKETCH * chance + 3.8 * (SKETCH * chance * (1 - chance)) ** 0.5
-    sizes = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(SLICE)).cast("int").alias("k"))
-    rows = left.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64(F.lit("slice"), "id"), F.col("k")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "size", "sketch")
-
-    def compared(g: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        ids, root, size, mine = (g[c].to_numpy() for c in ("id", "root", "size", "mine"))
-        sk = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(g), -1)
-        one = np.nonzero(mine == g["i"].iat[0])[0]
-        two = one if g["i"].iat[0] == g["j"].iat[0] else np.nonzero(mine == g["j"].iat[0])[0]
-        col_best = np.full(len(two), SKETCH + 1)
-        col_arg = np.zeros(len(two), np.int64)
-        for at in range(0, len(one), 32):
-            r = one[at : at + 32]
-            d = _differing(sk[r], sk[two])
-            ok = (root[r][:, None] != root[two]) & (d <= most) & (np.minimum(size[r][:, None], size[two]) >= threshold * np.maximum(size[r][:, None], size[two]))
-            if best:
-                d = np.where(ok, d, SKETCH + 1)
-                near = d.argmin(axis=1)
-                hit = d[np.arange(len(r)), near] <= most
-                yield ids[r][hit], ids[two[near]][hit], d[np.arange(len(r)), near][hit]
-                if two is not one:
-                    low = d.min(axis=0)
-                    better = low < col_best
-                    col_best[better], col_arg[better] = low[better], r[d.argmin(axis=0)[better]]
-            else:
-                x, y = np.nonzero(ok if two is not one else ok & (ids[r][:, None] < ids[two]))
-                yield ids[r][x], ids[two[y]], d[x, y]
-        if best and two is not one:
-            hit = col_best <= most
-            yield ids[two][hit], ids[col_arg[hit]], col_best[hit]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press, bits = zstandard.ZstdCompressor(level=1), sent.value
         for b in batches:
-            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-            keys = b[["key", "i", "j"]].to_numpy()
-            cuts = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
-            edges = [0, *cuts.tolist()]
-            for s, e in zip(edges, edges[1:], strict=False):
-                if e - s > 1:
-                    yield from (pd.DataFrame({"a": x, "b": y, "differ": d}) for x, y, d in compared(b.iloc[s:e]) if len(x))
-            rest = b.iloc[edges[-1] :]
-        if rest is not None and len(rest) > 1:
-            yield from (pd.DataFrame({"a": x, "b": y, "differ": d}) for x, y, d in compared(rest) if len(x))
-
-    dealt = rows.repartition(parts(left.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInPandas(run, "a long, b long, differ int")
-
-
-def bucketed_components(buckets: DataFrame, fetch: Callable[[DataFrame], DataFrame], hashes: Callable[[str], np.ndarray], threshold: float, likeness: Callable[[str, str], float]) -> DataFrame:
-    """(key, id) bucket rows -> (node, root) over the links of all bucket pairs, those of at least `threshold` by exact likeness.
-
-    fetch gives (id, text) of (id) rows; it is asked once, for the ids that share a
-    bucket with others. First each id is held against one other: of the busiest member
-    of each of its buckets the busiest. In a few more rounds it is held against the
-    nearest one, by sketches, of another component. At last all pairs that share a
-    bucket and still lie in different components are looked at, so no link is lost,
-    and a group of near copies costs a few pairs per member instead of all its pairs.
-    Sketches of 512 MinHash slots, 4 bits each, turn away pairs that differ in more
-    slots than a pair at the threshold does but once in ten thousand times; set sizes,
-    those that allow no such likeness. hashes gives the distinct 32-bit hashes of a text's set.
+            raw = list(dict.fromkeys(u.encode() for t in b.column(0).to_pylist() for u in units(t)))
+            h = np.fromiter((xxhash.xxh64_intdigest(u, 42) for u in raw), np.uint64, len(raw)).view(np.int64)
+            slot = h & (SIEVE_BITS - 1)
+            hit = np.nonzero((bits[slot >> 6] >> (slot & 63)) & 1)[0]
+            own = [raw[i] for i in hit.tolist()]
+            low = np.fromiter((xxhash.xxh64_intdigest(u, SALT) for u in own), np.uint64, len(own)).view(np.int64)
+            yield pa.record_batch({"h": h[hit], "l": low, "z": pa.array([press.compress(u) for u in own], pa.binary())})
+
+    found = docs.select("text").mapInArrow(run, "h long, l long, z binary")
+    return written(found.join(wanted, ["h", "l"]).select("id", "bands", "z").dropDuplicates(["id"]), "bucket-texts")
+
+
+class Group:
+    """Texts of one slice as sets of hashed shingles, to be compared with others by exact counts."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.vocabulary, self.at = np.unique(np.concatenate(sets), return_inverse=True)
+        self.marks = np.zeros(len(self.vocabulary) + 1, bool)
+
+    def places(self, i: int) -> np.ndarray:
+        return self.at[self.ends[i] - self.sizes[i] : self.ends[i]]
+
+    def foreign(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes of a text that need not be of this group."""
+        at = np.searchsorted(self.vocabulary, hashes)
+        at = at[at < len(self.vocabulary)]
+        return at[self.vocabulary[at] == hashes[: len(at)]]
+
+    def shared(self, places: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """How many of the places each of the others has."""
+        self.marks[places] = True
+        n = self.sizes[others]
+        if not len(others) or not n.sum():
+            out = np.zeros(len(others), np.int64)
+        else:
+            starts = np.cumsum(n) - n
+            take = np.arange(n.sum()) + np.repeat(self.ends[others] - n - starts, n)
+            sums = np.concatenate([[0], np.cumsum(self.marks[self.at[take]])])
+            out = sums[starts + n] - sums[starts]
+        self.marks[places] = False
+        return out
+
+
+def _like(shared: np.ndarray, one: int, sizes: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of these sizes that share so many reach the threshold. Two empty sets are alike."""
+    return shared >= threshold * (one + sizes - shared) - 1e-9
+
+
+class Compared:
+    """Links of buckets: exact likeness inside a task, spanning links out."""
+
+    def __init__(self, hashes: Callable[[str], np.ndarray], likeness: Callable[[str, str], float], threshold: float):
+        self.hashes, self.likeness, self.threshold = hashes, likeness, threshold
+
+    def within(self, key: int, ids: list[int], bands: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int]]:
+        """Links that connect what the links of one slice connect.
+
+        From each text reached so far the links to those not yet reached are taken, so a
+        pair that is connected anyway is not compared. A pair that shares a lower band
+        too is left to that band's bucket, so no pair is compared in two buckets.
+        """
+        n = len(ids)
+        if n == 2:
+            if self.likeness(*texts) >= self.threshold:
+                yield ids[0], ids[1]
+            return
+        lower = bands[:, : (key >> BAND_SHIFT) + FIRST_BAND]
+        group = Group([self.hashes(t) for t in texts])
+        rest = np.arange(n)
+        while len(rest):
+            reached, rest = [int(rest[0])], rest[1:]
+            for x in reached:
+                s, sizes = group.sizes[x], group.sizes[rest]
+                ok = (np.minimum(s, sizes) >= self.threshold * np.maximum(s, sizes)) & ~(lower[rest] == lower[x]).any(axis=1)
+                asked = np.nonzero(ok)[0]
+                if not len(asked):
+                    continue
+                y = rest[asked]
+                near = _like(group.shared(group.places(x), y), s, group.sizes[y], self.threshold)
+                new = [k for k in asked[near].tolist() if self.likeness(texts[x], texts[int(rest[k])]) >= self.threshold]
+                if new:
+                    found = rest[new].tolist()
+                    yield from ((ids[x], ids[k]) for k in found)
+                    reached += found
+                    rest = np.delete(rest, new)
+                    if not len(rest):
+                        break
+
+    def across(self, group: Group, own: list[tuple[int, int, str]], asker: tuple[int, int, str]) -> Iterator[tuple[int, int]]:
+        """A link of an asker to each other component of a slice's (id, root, text) that it has a link to."""
+        one = self.hashes(asker[2])
+        roots = np.array([o[1] for o in own])
+        ok = (roots != asker[1]) & (np.minimum(len(one), group.sizes) >= self.threshold * np.maximum(len(one), group.sizes))
+        y = np.nonzero(ok)[0]
+        near = y[_like(group.shared(group.foreign(one), y), len(one), group.sizes[y], self.threshold)]
+        done = set()
+        for k in near.tolist():
+            if own[k][1] not in done and self.likeness(asker[2], own[k][2]) >= self.threshold:
+                done.add(own[k][1])
+                yield asker[0], own[k][0]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal (key, slice), one run after the other; names are the further columns."""
+    held, now = [], None
+    for b in batches:
+        keys = zip(b.column("key").to_pylist(), b.column("slice").to_pylist(), strict=True)
+        for k, *row in zip(keys, *(b.column(c).to_pylist() for c in names), strict=True):
+            if k != now:
+                if held:
+                    yield now, held
+                held, now = [], k
+            held.append(tuple(row))
+    if held:
+        yield now, held
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return pa.record_batch({"a": both[:, 0], "b": both[:, 1]})
+
+
+def _sent(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    held = []
+    for x in found:
+        held.append(x)
+        if len(held) == 1 << 14:
+            yield _pairs(held)
+            held = []
+    yield _pairs(held)
+
+
+def bucketed_links(distinct: DataFrame, docs: DataFrame, units: Callable[[str], list[str]], hashes: Callable[[str], np.ndarray], likeness: Callable[[str, str], float], threshold: float) -> DataFrame:
+    """(node, root) of the links of at least `threshold` by exact likeness between texts that share a band key.
+
+    `distinct` has one row per distinct text: id (a unique long), h and l (hashed() of it),
+    size (its characters) and bands (an array of keyed() band keys). The texts themselves
+    are units of docs' `text`, fetched only for those that share a key with another.
+
+    1. Keys are counted, with partial sums before the shuffle, and those of a single text
+       go. Of the keys with the same members one stays, that of the lowest band.
+    2. Each slice of a bucket (all of it, but for very large buckets) is compared in a task,
+       text against all that no link has reached; only spanning links come out.
+    3. Buckets of several slices: what lies outside the bucket's largest component so far
+       asks all its slices. So every pair of a bucket is either connected or was compared.
     """
-    key = W.partitionBy("key")
-    shared = buckets.select("key", "id", F.count(F.lit(1)).over(key).alias("n"), F.min("id").over(key).alias("x"), F.max("id").over(key).alias("y")).where("x <> y")
-    shared = written(shared.select("key", "id", "n").distinct(), "buckets")
-    texts = written(fetch(shared.select("id").distinct()), "bucket-texts")
-
-    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            ok = np.array([likeness(x, y) >= threshold for x, y in zip(p["x"], p["y"], strict=True)], bool)
-            yield p.loc[ok, ["a", "b"]]
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("id").alias("a"), F.col("text").alias("x"))
-        two = texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
-        return written(pairs.join(one, "a").join(two, "b").mapInPandas(hold, "a long, b long"), "verified")
-
-    def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            sets = [hashes(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "size": [len(x) for x in sets], "sketch": sketches(sets)})
-
-    busy = shared.groupBy("id").agg(F.sum("n").alias("busy"))
-    ranked = shared.join(busy, "id").select("key", "id", F.struct("busy", F.negative("id").alias("first")).alias("rank"))
-    leads = ranked.groupBy("key").agg(F.max("rank").alias("top"))
-    tried = ranked.join(leads, "key").where("top <> rank").groupBy("id").agg(F.max("top").alias("top"))
-    found = verified(tried.select(F.negative("top.first").alias("a"), F.col("id").alias("b")))
-    # a lead's own lead stands for both; what these labels miss is only looked at again
-    own = found.select(F.col("b").alias("id"), F.col("a").alias("lead"))
-    labels = own.join(own.select(F.col("id").alias("lead"), F.col("lead").alias("next")), "lead", "left").select("id", F.coalesce("next", "lead").alias("root"))
-    sketched = None
-    for last in (False, True):
-        labels = written(labels, "labels")
-        named = shared.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        split = named.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-        left = written(named.join(split, "key").select("key", "id", "root"), "unsettled")
-        if sketched is None:  # the last round has no other ids
-            sketched = written(texts.join(left.select("id").distinct(), "id", "left_semi").mapInPandas(signed, "id long, size long, sketch binary"), "sketches")
-        pairs = _bucket_pairs(left.join(sketched, "id"), threshold, not last)
-        if not last:
-            pairs = pairs.groupBy("a").agg(F.min(F.struct("differ", "b")).alias("near")).select("a", F.col("near.b").alias("b"))
-        more = verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        found = found.unionByName(more)
-        if not last:
-            labels = _joined(labels, more)
+    n_parts = parts(docs.sparkSession)
+    compare = Compared(hashes, likeness, threshold)
+    rows = distinct.select(F.explode("bands").alias("key"), "id", "size")
+    keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor("id").alias("y"), F.sum("size").alias("chars"))
+    kept = keys.where("n > 1").groupBy("n", "x", "y", "chars").agg(F.min("key").alias("key"))
+    slices = F.greatest(F.ceil(F.col("n") / F.lit(SLICE_TEXTS)), F.ceil(F.col("chars") / F.lit(SLICE_CHARS))).cast("int")
+    kept = written(kept.select("key", slices.alias("k")), "buckets")
+    members = written(rows.select("key", "id").join(kept.hint("shuffle_hash"), "key"), "members")
+    wanted = written(distinct.select("id", "h", "l", "bands").join(members.select("id").distinct(), "id", "left_semi"), "wanted")
+    texts = fetched(docs, units, wanted)
+    own = F.pmod(F.xxhash64(F.lit("slice"), "id"), F.col("k")).cast("int").alias("slice")
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
+
+        def found() -> Iterator[tuple[int, int]]:
+            for (key, _), g in _groups(batches, ["id", "bands", "z"]):
+                if len(g) > 1:
+                    yield from compare.within(key, [r[0] for r in g], np.array([r[1] for r in g], np.int64), [open_.decompress(r[2]).decode() for r in g])
+
+        yield from _sent(found())
+
+    dealt = members.select("key", own, "id").join(texts, "id").repartition(n_parts, "key", "slice").sortWithinPartitions("key", "slice")
+    found = written(dealt.mapInArrow(inside, "a long, b long"), "spanning-links")
+    large = members.where("k > 1")
+    if not large.isEmpty():
+        roots = written(components(found), "roots").withColumnRenamed("node", "id")
+        named = written(large.join(roots, "id", "left").select("key", "k", "id", F.coalesce("root", "id").alias("root")), "large-buckets")
+        most = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"))
+        most = written(most.select("key", F.col("most.root").alias("main")), "main-roots")
+        outside = named.join(most, "key").where("root <> main")
+        asking = outside.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select("key", "slice", F.lit(True).alias("asks"), "id", "root")
+        asked = named.join(outside.select("key").distinct(), "key", "left_semi").select("key", own, F.lit(False).alias("asks"), "id", "root")
+
+        def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            open_ = zstandard.ZstdDecompressor()
+
+            def found() -> Iterator[tuple[int, int]]:
+                now, own, group = None, [], None
+                for b in batches:
+                    for key, part, asks, id_, root, z in zip(*(b.column(c).to_pylist() for c in ("key", "slice", "asks", "id", "root", "z")), strict=True):
+                        if (key, part) != now:
+                            now, own, group = (key, part), [], None
+                        row = (id_, root, open_.decompress(z).decode())
+                        if not asks:
+                            own.append(row)
+                        elif own:
+                            group = group or Group([hashes(o[2]) for o in own])
+                            yield from compare.across(group, own, row)
+
+            yield from _sent(found())
+
+        rows = asked.unionByName(asking).join(texts.select("id", "z"), "id")
+        rows = rows.repartition(n_parts, "key", "slice").sortWithinPartitions("key", "slice", "asks")
+        found = found.unionByName(rows.mapInArrow(outer, "a long, b long"))
     return components(found)
 
 
-def _joined(labels: DataFrame, more: DataFrame) -> DataFrame:
-    """(id, root) labels after more links: of two linked roots the one with fewer ids takes the other's label."""
-    sizes = labels.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    ends = more
-    for c in "ab":
-        named = labels.select(F.col("id").alias(c), F.col("root").alias(f"r{c}"))
-        ends = ends.join(named, c, "left").withColumn(f"r{c}", F.coalesce(f"r{c}", c))
-        ends = ends.join(sizes.select(F.col("root").alias(f"r{c}"), F.col("n").alias(f"n{c}")), f"r{c}", "left").withColumn(f"n{c}", F.coalesce(f"n{c}", F.lit(0)))
-    x, y = (F.struct(F.col(f"n{c}").alias("n"), F.col(f"r{c}").alias("r")) for c in "ab")
-    moves = ends.where("ra <> rb").select(F.least(x, y).alias("small"), F.greatest(x, y).alias("large"))
-    moves = written(moves.groupBy(F.col("small.r").alias("root")).agg(F.max("large").alias("to")).select("root", F.col("to.r").alias("to")), "moves")
-    twice = moves.join(moves.select(F.col("root").alias("to"), F.col("to").alias("next")), "to", "left").select("root", F.coalesce("next", "to").alias("to"))
-    twice = written(twice, "moves")
-    kept = labels.join(twice, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
-    alone = twice.join(labels.select(F.col("id").alias("root")), "root", "left_anti").select(F.col("root").alias("id"), F.col("to").alias("root"))
-    return kept.unionByName(alone)
+def all_pairs(texts: list[str], hashes: Callable[[str], np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """All pairs at the threshold by comparing each with each; for tests and recall figures."""
+    sets = [set(hashes(t).tolist()) for t in texts]
+    return [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
