@@ -10,10 +10,12 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import guarded, parts, restored, row_key, texts, written
+from .common import aside, guarded, parts, restored, row_key, texts, written
 from .links import components
 
 BITS, SHINGLE, RADIUS = 64, 4, 4
+#: Codes that a shard, and so a tree, should have at most.
+SHARD_CODES = 4096
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -46,11 +48,11 @@ class BKTree:
     """Burkhard-Keller tree of 64-bit codes.
 
     Children hang on the integer Hamming distance to their parent. It is built and
-    searched for many codes at a time: a node holds the codes below it as arrays and
-    becomes a leaf, compared as a whole, once it has few.
+    searched for many codes at a time: a node holds the codes below it as arrays, and
+    one of at most LEAF codes is compared as a whole.
     """
 
-    LEAF = 32
+    LEAF = 8
 
     def __init__(self, codes: np.ndarray):
         self.pivot, self.kids, self.leaf = codes[0], {}, None
@@ -96,17 +98,13 @@ def _links(trees: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarra
 
 def _shards(rows: np.ndarray, cuts: np.ndarray, radius: int) -> pd.DataFrame:
     """Links of whole shards; rows are (shard, i, j, mine, fp), cut before the given ones."""
-    ends = np.append(cuts, len(rows))
-    starts = np.concatenate([[0], cuts]).astype(np.int64)
-    fp = rows[:, 4].copy().view(np.uint64)
-    pair = (ends - starts == 2) & (rows[starts % max(1, len(rows)), 1] == rows[starts % max(1, len(rows)), 2]) if len(rows) else np.zeros(0, bool)
-    x, y = fp[starts[: len(pair)][pair]], fp[starts[: len(pair)][pair] + 1]
-    close = np.bitwise_count(x ^ y) <= radius
-    out = [(x[close], y[close])]
-    for s, e in zip(starts[: len(pair)][~pair], ends[: len(pair)][~pair], strict=True):
+    fp, out = rows[:, 4].copy().view(np.uint64), [(np.empty(0, np.uint64),) * 2]
+    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(rows)], strict=True):
+        if e - s < 2:
+            continue
         own = rows[s:e, 3] == rows[s, 1]
         tree, asked = (fp[s:e][own], fp[s:e][~own]) if rows[s, 1] != rows[s, 2] else (fp[s:e], fp[s:e])
-        if e - s > 1 and len(tree) and len(asked):
+        if len(tree) and len(asked):
             out.append(_links(tree, asked, radius))
     return pd.DataFrame({c: np.concatenate([o[k] for o in out]).view(np.int64) for k, c in enumerate("ab")})
 
@@ -118,21 +116,23 @@ def block_masks(blocks: int, radius: int) -> list[int]:
     return [sum(whole[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
-def blocks_for(n: int, radius: int, per_shard: int = 8) -> int:
-    """Fewest blocks under which a shard has about per_shard random codes. Exact for any choice."""
+def blocks_for(n: int, radius: int, per_shard: int = SHARD_CODES) -> int:
+    """Fewest blocks under which a shard has up to about per_shard random codes: fewer blocks, fewer copies and larger trees. Exact for any choice."""
     for blocks in range(radius + 1, 2 * radius + 2):
         if n / 2.0 ** (BITS * (blocks - radius) // blocks) <= per_shard:
             return blocks
     return 2 * radius + 1
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", tree_codes: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", tree_codes: int = SHARD_CODES) -> DataFrame:
     """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id reachable.
 
     Fingerprints that differ in at most `radius` bits are linked. Equal ones are one code.
     The 64 bits are cut into blocks; each code goes to one shard for each choice of
     blocks that linked codes can agree on, so any two linked codes meet in a shard.
-    A task turns a shard into a BK-tree and searches it. A shard of over `tree_codes`
+    A task turns a shard into a BK-tree and follows the edges within the radius. Trees
+    go to the tasks by the shuffle of their shard, not by broadcast: together they are
+    all fingerprints, which have no bound. A shard of over `tree_codes`
     codes is cut into that many trees as needed, each with all codes of the shard as
     queries in slices, so that no task holds more than two slices. Only spanning links
     leave a task. Empty and null texts have fingerprint 0 and link as others do; an
@@ -148,22 +148,22 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     return rows.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, tree_codes: int = 4096) -> DataFrame:
-    """The rows of docs (all columns), exactly one of each component of near copies.
+def one_of_each(docs: DataFrame, radius: int = RADIUS, tree_codes: int = SHARD_CODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs (all columns, whatever their names), exactly one of each component of near copies.
 
     The one of the smallest id stays, null ids last, then that of the smallest row key
     (id and text). Rows are numbered, so rows that repeat both are told apart as well
     and neither a shared id nor a repeated row gathers rows in one task: fingerprints
     and components are reduced to their first row before anything is joined.
     """
-    numbered = written(docs.withColumns({"_n": F.monotonically_increasing_id(), "_key": row_key()}), "numbered")
+    numbered = written(aside(docs, id_col, text_col).withColumns({"_n": F.monotonically_increasing_id(), "_key": row_key()}), "numbered")
     rows = written(fingerprints(numbered, carry=("_n", "_key")), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "_n")).alias("first")
     codes = rows.groupBy("fp").agg(first)
     labels = _labels(rows, radius, tree_codes)
     named = codes.join(labels, codes.fp == labels.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     stay = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._n").alias("_n"))
-    return numbered.join(stay, "_n", "left_semi").drop("_n", "_key")
+    return numbered.join(stay, "_n", "left_semi").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def _labels(rows: DataFrame, radius: int, tree_codes: int) -> DataFrame:
