@@ -9,12 +9,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import guarded, restored, row_key, texts
+from .common import guarded, restored, texts
 
 SEED, COVERAGE, BLOCK_TOKENS = 5, 0.5, 2_000_000
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)]
+BASE, SPREAD = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
 _WORD = re.compile(r"\w+")
 
 
@@ -22,34 +23,45 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    """Karp-Rabin hashes, modulo 2**64, of all windows of n ids."""
-    h = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-    for i in range(n):
-        h = h * _MIX[0] + (ids[i : i + len(h)].astype(np.uint64) + np.uint64(1)) * _MIX[1]
-    return h ^ (h >> np.uint64(31))
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n, modulo 2**64."""
+    steps = np.full(n + 1, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps)
+
+
+class Rolling:
+    """Karp-Rabin hashes, modulo 2**64, of the windows of a sequence of word numbers.
+
+    Running sums of x[i] * BASE**-i are kept once. The hash of any window is then one
+    subtraction and one multiplication, for any length, and from one window to the next
+    only the ends change: the memory is one number for each word.
+    """
+
+    def __init__(self, ids: np.ndarray):
+        n = len(ids)
+        self.power = _powers(BASE, n)
+        x = (ids.astype(np.uint64) + np.uint64(1)) * SPREAD
+        x ^= x >> np.uint64(29)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * _powers(pow(BASE, -1, 1 << 64), n)[:n], dtype=np.uint64)])
+
+    def windows(self, n: int) -> np.ndarray:
+        """The hashes of all windows of n words."""
+        return (self.sums[n:] - self.sums[:-n]) * self.power[: len(self.sums) - n] if n < len(self.sums) else np.empty(0, np.uint64)
 
 
 def tiles(a: np.ndarray, b: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling of a with b: (start in a, start in b, length), the longest unmarked match first.
 
     Running Karp-Rabin: windows of the search length that are unmarked on both sides are
-    matched by hash, verified and extended; the longest are marked and the rest is
+    matched by rolling hash, verified and extended; the longest are marked and the rest is
     searched again. Once no match is left the search length is halved, down to `least`.
     """
     free_a, free_b, out = np.ones(len(a), bool), np.ones(len(b), bool), []
+    rolls_a, rolls_b = Rolling(a), Rolling(b)
     size = min(len(a), len(b))
     while size >= least:
-        at = defaultdict(list)
-        for j in _free_windows(free_b, size):
-            at[b[j : j + size].tobytes()].append(int(j))
-        found = []
-        for i in map(int, _free_windows(free_a, size)):
-            for j in at.get(a[i : i + size].tobytes(), ()):
-                n = size
-                while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                    n += 1
-                found.append((n, i, j))
+        found = list(_matches(a, b, free_a, free_b, rolls_a.windows(size), rolls_b.windows(size), size))
         longest = max(found, default=(0,))[0]
         for n, i, j in found:
             if n == longest and free_a[i : i + n].all() and free_b[j : j + n].all():
@@ -60,6 +72,25 @@ def tiles(a: np.ndarray, b: np.ndarray, least: int = SEED) -> list[tuple[int, in
     return out
 
 
+def _matches(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, hashes_a: np.ndarray, hashes_b: np.ndarray, size: int) -> Iterator[tuple[int, int, int]]:
+    """(length, i, j) of the unmarked matches of at least `size` words that don't go on to the left."""
+    at_a, at_b = _free_windows(free_a, size), _free_windows(free_b, size)
+    at_b = at_b[np.argsort(hashes_b[at_b], kind="stable")]
+    ordered = hashes_b[at_b]
+    lo, hi = np.searchsorted(ordered, hashes_a[at_a], "left"), np.searchsorted(ordered, hashes_a[at_a], "right")
+    for i, x, y in zip(at_a[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+        places = at_b[x:y]
+        if i and free_a[i - 1]:
+            places = places[(places == 0) | ~free_b[places - 1] | (b[places - 1] != a[i - 1])]
+        for j in places.tolist():
+            if not np.array_equal(a[i : i + size], b[j : j + size]):
+                continue
+            n = size
+            while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
+                n += 1
+            yield n, i, j
+
+
 def _free_windows(free: np.ndarray, size: int) -> np.ndarray:
     """Starts of the windows that are wholly unmarked."""
     run = np.concatenate([[0], np.cumsum(free)])
@@ -77,7 +108,7 @@ class Tests:
         self.least = [min(seed, len(t)) for t in self.tokens]
         self.by_size = {}
         for n in sorted({x for x in self.least if x}):
-            own = [(k, rolling(t, n)) for k, t in enumerate(self.tokens) if self.least[k] == n]
+            own = [(k, Rolling(t).windows(n)) for k, t in enumerate(self.tokens) if self.least[k] == n]
             hashes = np.concatenate([h for _, h in own])
             item = np.concatenate([np.full(len(h), k) for k, h in own])
             place = np.concatenate([np.arange(len(h)) for _, h in own])
@@ -88,14 +119,15 @@ class Tests:
         """(item, coverage, tiles, longest tile) of each item that the text covers so far."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, 0) for w in words(text)), np.int32)
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
+        known, rolls = np.concatenate([[0], np.cumsum(ids > 0)]), None
         for n, (hashes, item, place) in self.by_size.items():
             if len(ids) < n:
                 continue
             at = np.nonzero(known[n:] - known[:-n] == n)[0]  # windows of words that tests have
             if not len(at):
                 continue
-            h = rolling(ids, n)[at]
+            rolls = rolls or Rolling(ids)
+            h = rolls.windows(n)[at]
             lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             hit = hi > lo
             if not hit.any():
@@ -141,30 +173,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     as empty; empty tables give an empty result; items that repeat are matched each.
     `carry` names whole-number columns of docs that come along in the result.
     """
-    spark = docs.sparkSession
-    tests = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
-    size = tests.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
-    blocks = int(size // block_tokens) + 1
     rows = guarded(texts(docs, id_col, text_col, carry))
     names = ["doc_id", "no_id", *carry]
     kinds = ", ".join(["doc_id long, no_id boolean", *[f"{c} long" for c in carry], "item_id long, coverage double, n_tiles int, longest int"])
     found = []
-    for block in range(blocks):
-        own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r.item_id, r.text) for r in own.toLocalIterator()])
+    for sent in _blocks(benchmark, seed, block_tokens, item_col, item_text_col):
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            all_tests = Tests(sent.value, seed)
             for b in batches:
-                out = [(*own, *m) for *own, t in zip(*[b[c] for c in names], b["text"], strict=True) for m in all_tests.matches(t, coverage)]
+                out = [(*own, *m) for *own, t in zip(*[b[c] for c in names], b["text"], strict=True) for m in sent.value.matches(t, coverage)]
                 yield pd.DataFrame(out, columns=[*names, "item_id", "coverage", "n_tiles", "longest"])
 
         found.append(restored(rows.mapInPandas(run, kinds)))
     return reduce(DataFrame.unionByName, found)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED) -> DataFrame:
-    """The rows of docs (all columns) that cover no test item; each row counts for itself, whatever ids it shares."""
-    keyed = docs.withColumn("_key", row_key())
-    bad = contaminated(keyed, benchmark, coverage, seed, carry=("_key",)).select(F.col("_key").alias("_bad")).distinct()
-    return keyed.join(bad, F.col("_key") == F.col("_bad"), "left_anti").drop("_key")
+def _blocks(benchmark: DataFrame, seed: int, block_tokens: int, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
+    """Broadcast blocks of the test items, of about block_tokens words each."""
+    tests = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).where("text is not null")
+    size = tests.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    blocks = int(size // block_tokens) + 1
+    for block in range(blocks):
+        own = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield benchmark.sparkSession.sparkContext.broadcast(Tests([(r.item_id, r.text) for r in own.toLocalIterator()], seed))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, seed: int = SEED, block_tokens: int = BLOCK_TOKENS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs (all columns, whatever their names) whose text covers no test item.
+
+    Each row is judged by its own text, in the scan: nothing is shuffled or joined, and
+    shared or null ids don't matter. Null texts stay.
+    """
+    for sent in _blocks(benchmark, seed, block_tokens, item_col, item_text_col):
+        docs = docs.where(_clean(sent, coverage)(F.col(f"`{text_col}`")))
+    return docs
+
+
+def _clean(sent: Broadcast, coverage: float):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(sent.value.matches(t or "", coverage), None) is None for t in texts], dtype=bool)
+
+    return clean
