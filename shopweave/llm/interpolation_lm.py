@@ -14,9 +14,11 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import guarded, parts, restored, shared_dir, texts, written
+from .common import forget, guarded, parts, restored, shared_dir, texts, written
 
 BLOCK_CHARS, ROUNDS = 1 << 23, 80
+#: Tokens whose hashes one shard adds up: a task of it holds no more hashes than that.
+SHARD_TOKENS = 1 << 21
 END, BEGIN = b"\n", b"\t"  # neither can be a word
 #: EM sums are kept by context bucket and by the two ratios to the uniform probability, STEPS to the octave.
 BUCKETS, STEPS, LEVELS, ZERO = 24, 4, 240, 80
@@ -94,7 +96,7 @@ def blocks(rows: DataFrame, block_chars: int) -> DataFrame:
         def out() -> pd.DataFrame:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in number), np.uint64, len(number))
             own = dict(zip(COLUMNS, (np.array([d[0] for d in docs], np.int64).view(np.uint64), np.array([d[1] for d in docs]), np.array([d[2] for d in docs]), np.array([len(i) for i in ids]), hashes, np.concatenate(ids)), strict=True))
-            return pd.DataFrame({"block": [uuid.uuid4().int >> 65], **{k: [pack(v)] for k, v in own.items()}})
+            return pd.DataFrame({"block": [uuid.uuid4().int >> 65], "n_tokens": [sum(map(len, ids))], **{k: [pack(v)] for k, v in own.items()}})
 
         for b in batches:
             for doc_id, no_id, learned, text in zip(b["doc_id"], b["no_id"], b["learned"], b["text"], strict=True):
@@ -110,7 +112,7 @@ def blocks(rows: DataFrame, block_chars: int) -> DataFrame:
         if docs:
             yield out()
 
-    kinds = "block long, " + ", ".join(f"{c} binary" for c in COLUMNS)
+    kinds = "block long, n_tokens long, " + ", ".join(f"{c} binary" for c in COLUMNS)
     return rows.mapInPandas(run, kinds)
 
 
@@ -123,8 +125,8 @@ def shared_counts(stored: DataFrame, shards: int) -> DataFrame:
     """(block, shard, kind, counts): for each block, the corpus counts of its hashes in a shard of the hash range.
 
     A block sends each distinct hash once, with its count, so a frequent word is as
-    many rows as there are blocks. A shard adds up all blocks' counts and returns
-    each block its own, in the order sent. Block -1 has what the shard adds to N and V.
+    many rows as there are blocks. A shard, one partition, adds up all blocks' counts
+    and returns each block its own, in the order sent. Block -1 has what the shard adds to N and V.
     """
     edges = [(i << 64) // shards for i in range(1, shards)]
 
@@ -164,7 +166,7 @@ def shared_counts(stored: DataFrame, shards: int) -> DataFrame:
             yield add(held)
 
     sent = stored.mapInPandas(send, "shard int, kind int, block long, hashes binary, counts binary")
-    sent = sent.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "block")
+    sent = sent.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind", "block")
     return sent.mapInPandas(gather, "block long, shard int, kind int, counts binary")
 
 
@@ -186,23 +188,28 @@ def estimates(pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v
     return np.where(context > 0, pair / np.maximum(context, 1), 0.0), word / max(n, 1), 1.0 / (v + 1)
 
 
-def cells(block: Block, pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, count) over the tokens learned from, each left out of its own counts."""
+def cells(block: Block, pair: np.ndarray, context: np.ndarray, word: np.ndarray, n: int, v: int) -> dict[str, np.ndarray]:
+    """cell, many, two, one: tokens learned from, each left out of its own counts, by context bucket and rounded ratios.
+
+    many counts a cell's tokens, two and one are sums of their bigram and unigram estimates over the uniform one.
+    """
     t = block.train
     two, one, zero = estimates(pair[t] - 1, context[t] - 1, word[t] - 1, n - 1, v)
 
     def level(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, np.clip(np.rint(STEPS * np.log2(np.maximum(p, 1e-300) / zero)) + ZERO, 1, LEVELS - 1), 0).astype(np.int64)
 
-    cell = (bucket(context[t] - 1) * LEVELS + level(two)) * LEVELS + level(one)
-    return np.unique(cell, return_counts=True)
+    cell, at, many = np.unique((bucket(context[t] - 1) * LEVELS + level(two)) * LEVELS + level(one), return_inverse=True, return_counts=True)
+    return {"cell": cell, "many": many, **{k: np.bincount(at, p / zero, len(cell)) for k, p in (("two", two), ("one", one))}}
 
 
-def weights(cell: np.ndarray, many: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """(bucket, part) mixture weights of bigram, unigram and uniform estimates, by expectation-maximisation on the held-out counts."""
-    ratio = np.concatenate([[0.0], 2.0 ** ((np.arange(1, LEVELS) - ZERO) / STEPS)])
+def weights(cell: np.ndarray, many: np.ndarray, two: np.ndarray, one: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """(bucket, part) mixture weights of bigram, unigram and uniform estimates, by expectation-maximisation on the held-out counts.
+
+    A cell's tokens stand at the mean of their ratios, which differ by less than a step.
+    """
     where = cell // (LEVELS * LEVELS)
-    p = np.stack([ratio[cell // LEVELS % LEVELS], ratio[cell % LEVELS], np.ones(len(cell))], axis=1)
+    p = np.stack([two / many, one / many, np.ones(len(cell))], axis=1)
     mix = np.full((BUCKETS, 3), 1 / 3)
     for _ in range(rounds):
         part = mix[where] * p
@@ -227,7 +234,9 @@ def interpolated(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col: str =
     counted and scored each; an empty table gives an empty result.
 
     What a block of documents asks and is told about its distinct words and bigrams
-    is shuffled; its tokens are written once, bucketed by block, and never move again.
+    is shuffled, to shards of a bounded number of hashes; its tokens are written once,
+    bucketed by block, and never move again. These tables are deleted once the scores,
+    a few numbers a document, are written.
     """
     spark = docs.sparkSession
     n_parts = parts(spark)
@@ -235,7 +244,8 @@ def interpolated(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col: str =
     name = f"lm_blocks_{uuid.uuid4().hex}"
     blocks(rows, block_chars).write.bucketBy(n_parts, "block").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     stored = spark.table(name)
-    told = written(shared_counts(stored, n_parts), "lm-counts")
+    shards = max(n_parts, -(-(stored.agg(F.sum("n_tokens")).first()[0] or 0) // SHARD_TOKENS))
+    told = written(shared_counts(stored, shards), "lm-counts")
     sums = told.where("block = -1 and kind = 1").select("counts").toPandas()["counts"]  # one short row for each shard
     total = np.sum([unpack(x) for x in sums], axis=0, dtype=np.uint64) if len(sums) else np.zeros(2, np.uint64)
     # the begin mark is counted among the tokens' hashes but is none
@@ -248,11 +258,11 @@ def interpolated(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col: str =
         for b in batches:
             for row in b.to_dict("records"):
                 block = opened(row)
-                cell, many = cells(block, *counts_of(block, row["got"]), n, v)
-                yield pd.DataFrame({"cell": cell, "many": many})
+                yield pd.DataFrame(cells(block, *counts_of(block, row["got"]), n, v))
 
-    seen = both.mapInPandas(sums_of, "cell long, many long").groupBy("cell").agg(F.sum("many").alias("many")).orderBy("cell").toPandas()  # at most BUCKETS * LEVELS * LEVELS rows
-    mix = weights(seen["cell"].to_numpy(np.int64), seen["many"].to_numpy(np.float64))
+    seen = both.mapInPandas(sums_of, "cell long, many long, two double, one double").groupBy("cell")
+    seen = seen.agg(*[F.sum(c).alias(c) for c in ("many", "two", "one")]).orderBy("cell").toPandas()  # at most BUCKETS * LEVELS * LEVELS rows
+    mix = weights(seen["cell"].to_numpy(np.int64), *(seen[c].to_numpy(np.float64) for c in ("many", "two", "one")))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -274,5 +284,8 @@ def interpolated(docs: DataFrame, block_chars: int = BLOCK_CHARS, id_col: str =
                     }
                 )
 
-    out = restored(both.mapInPandas(score, "doc_id long, no_id boolean, n_tokens long, n_known long, base_score double, score double"))
+    out = written(restored(both.mapInPandas(score, "doc_id long, no_id boolean, n_tokens long, n_known long, base_score double, score double")), "lm-scores")
+    forget(stored)
+    forget(told)
+    spark.sql(f"drop table {name}")
     return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
