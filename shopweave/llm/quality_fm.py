@@ -99,7 +99,8 @@ def held_out(id_col: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> FactorisationMachine:
     """Fits the machine on at most `sample` labelled rows outside held_out(): those of the smallest hash of their id.
 
-    Of the documents that share an id one counts, that of the text of the smallest hash.
+    Of the documents that share an id one counts, that of the text of the smallest hash;
+    an id that is labelled both ways counts as 1; null and other labels are left out.
     """
     own = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label"))
     own = own.where(~held_out() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))

@@ -240,7 +240,7 @@ def test_language_model(spark, corpus):
 
 def test_mixture_weights_follow_the_counts():
     one = (3 * LM.LEVELS + LM.ZERO + 40) * LM.LEVELS + LM.ZERO  # the bigram says much more than the others
-    mix = LM.weights(np.array([one]), np.array([1000.0]))
+    mix = LM.weights(np.array([one]), np.array([1000.0]), np.array([1000 * 2.0**10]), np.array([1000.0]))
     assert mix[3, 0] > 0.95 and np.allclose(mix.sum(axis=1), 1)
 
 
@@ -381,3 +381,77 @@ def test_decontamination(spark, corpus):
 def test_columns_of_other_types_stay_out(spark):
     docs = table(spark, [(1, "a b c d e")]).withColumn("bucket", F.lit("clash")).withColumn("fp", F.lit("clash"))
     assert SH.near_duplicates(docs).columns == ["doc_id", "fp", "component_id"]
+
+
+def test_bk_tree_walks_inner_nodes(monkeypatch):
+    """A tree of a shard has inner nodes, and edges outside the radius are not followed."""
+    rng = np.random.default_rng(2)
+    codes = np.unique(rng.integers(0, 2**63, 3000, np.uint64))
+    compared, inner, near = [], [], SH.BKTree.near
+
+    def counted(self, asked, radius):
+        inner.append(self.leaf is None)
+        compared.append(len(asked) * (1 if self.leaf is None else len(self.leaf)))
+        return near(self, asked, radius)
+
+    monkeypatch.setattr(SH.BKTree, "near", counted)
+    flipped = codes ^ np.uint64(0b1011)
+    got = {(int(a), int(b)) for x, y in SH.BKTree(codes).near(flipped, 4) for a, b in zip(x, y, strict=True)}
+    assert got == {(int(a), int(b)) for a in flipped for b in codes[np.bitwise_count(codes ^ a) <= 4]}
+    assert sum(inner) > 50 and sum(compared) < 0.8 * len(codes) ** 2
+
+
+def test_shards_stay_small():
+    assert SH.blocks_for(236_000, 4) == 5 and SH.blocks_for(10**9, 4) == 6
+    assert 10**12 / 2.0 ** (64 * (SH.blocks_for(10**12, 4) - 4) // SH.blocks_for(10**12, 4)) <= SH.SHARD_CODES
+
+
+def test_rolling_hashes():
+    """Each window's hash is that of its words alone, wherever it stands and whatever its length."""
+    rng = np.random.default_rng(9)
+    ids = rng.integers(0, 6, 400).astype(np.int32)
+    rolls = DC.Rolling(ids)
+    assert len(rolls.sums) == len(ids) + 1  # one number for each word
+    for n in (1, 2, 7, 399, 400, 401):
+        hashes, seen = rolls.windows(n), {}
+        assert len(hashes) == max(0, len(ids) - n + 1)
+        for i, h in enumerate(hashes.tolist()):
+            assert seen.setdefault(ids[i : i + n].tobytes(), h) == h
+            assert n > 20 or DC.Rolling(ids[i : i + n]).windows(n)[0] == h
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_long_text_tiles():
+    """An item of 8,000 words in a text of 20,000 that holds it in two passages."""
+    rng = np.random.default_rng(10)
+    item = rng.integers(1, 50_000, 8000).astype(np.int32)
+    text = np.concatenate([rng.integers(60_000, 90_000, 6000), item[3000:], rng.integers(60_000, 90_000, 6000), item[:3000]]).astype(np.int32)
+    assert sorted(DC.tiles(item, text, 5)) == [(0, 17000, 3000), (3000, 6000, 5000)]
+
+
+def test_scores_follow_their_definition(spark):
+    """score against a direct calculation, with expectation-maximisation over every token by itself."""
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["red", "green", "blue", "sky", "sea"]) if rng.random() < 0.7 else prose(rng, 1) for _ in range(rng.randint(0, 40)))) for i in range(120)]
+    found = {r.doc_id: r.score for r in LM.interpolated(table(spark, rows), block_chars=800).collect()}
+    tokens = {d: [b"\t", *t.encode().lower().split(), b"\n"] for d, t in rows}
+    learn = [w for d, w in tokens.items() if zlib.crc32(str(d).encode()) % 5 != 1]
+    one = Counter(x for w in learn for x in w)
+    two = Counter(p for w in learn for p in zip(w, w[1:], strict=False))
+    n, v = sum(one.values()) - len(learn), len(one) - 1
+    octave = lambda c: int(math.log2(max(c, 0) + 1))
+    kept = [(octave(one[a] - 1), [(two[a, b] - 1) / (one[a] - 1) if one[a] > 1 else 0, (one[b] - 1) / (n - 1), 1 / (v + 1)]) for w in learn for a, b in zip(w, w[1:], strict=False)]
+    mix = {k: [1 / 3] * 3 for k in range(LM.BUCKETS)}
+    for _ in range(LM.ROUNDS):
+        total = {k: [1e-3] * 3 for k in mix}
+        for k, p in kept:
+            part = [m * x for m, x in zip(mix[k], p, strict=True)]
+            for i in range(3):
+                total[k][i] += part[i] / sum(part)
+        mix = {k: [x / sum(t) for x in t] for k, t in total.items()}
+    for d, w in tokens.items():
+        want = 0
+        for a, b in zip(w, w[1:], strict=False):
+            p = [two[a, b] / one[a] if one[a] else 0, one[b] / n, 1 / (v + 1)]
+            want += math.log10(sum(m * x for m, x in zip(mix[octave(one[a])], p, strict=True)))
+        assert math.isclose(found[d], want, rel_tol=0.01), (d, found[d], want)
