@@ -21,10 +21,10 @@ _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _FIRST = "|".join(n for g in GIVEN.values() for n in g)
 #: One pattern for each kind, tried in this order at each place.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.(?=\p{L}{2}|[\p{L}\p{N}-]++\.))++\p{L}{2,}+",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.[0-9])",
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+[0-9]{10,14}(?![\p{L}\p{N}])",
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,3}[ .-]?\(?[0-9]{1,14}\)?(?:[ .-]?[0-9]{2,8}){0,4}(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])",
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME})(?![\p{{L}}\p{{N}}])",
 }
@@ -47,6 +47,9 @@ ENDINGS = {
     "greek": {"given_m": "ος", "given_f": "να", "given_u": "ις", "surname": "ης", "surname_a": "ου"},
 }
 
+# fixed values: the country calling codes of one digit, then those of two; all others have three
+CALLING = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98|[0-9]{3}"
+
 #: So many further attempts keep the length of an email's local part, each one after them adds a letter.
 SAME_LENGTH = 3
 
@@ -66,9 +69,15 @@ def kind_of(c: Column) -> Column:
 
 
 def canonical(kind: Column, c: Column) -> Column:
-    """What mentions of one entity have in common: case and separators don't count, nor a leading 1 of a phone number."""
+    """What mentions of one entity have in common: case and separators don't count, nor the country code 1 of a phone number.
+
+    A number with another country code is written +code national, others are digits alone.
+    """
     d = _digits(c)
-    phone = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
+    code = F.regexp_extract(d, f"^(?:{CALLING})", 0)
+    abroad = F.concat(F.lit("+"), code, F.lit(" "), F.substr(d, F.length(code) + 1))
+    home = F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d)
+    phone = F.when(c.startswith("+") & (code != "1") & (F.length(code) < F.length(d)), abroad).otherwise(home)
     return F.when(kind == "phone", phone).when(kind.isin("card", "ssn"), d).otherwise(F.lower(c))
 
 
@@ -76,22 +85,28 @@ def _hash(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
 
-def _filled(mention: Column, stream: Column, skip: Column, letters: Column | None = None) -> Column:
-    """The mention with its digits beyond the first `skip`, and its letters if wanted, taken from a stream of hexadecimal digits."""
+def _at(stream: Column, i: Column) -> Column:
+    return F.substr(stream, i % 64 + 1, F.lit(1))
+
+
+def _by_digit(mention: Column, stream: Column, skip: Column) -> Column:
+    """A number with its digits beyond the first `skip` taken from a stream of hexadecimal digits, whatever stands between them."""
     digits = F.translate(stream, "abcdef", "012345")
-    at = lambda s, i: F.substr(s, i % 64 + 1, F.lit(1))
 
     def put(c: Column, i: Column) -> Column:
-        before = _digits(F.substr(mention, F.lit(1), i))
-        out = F.when(c.rlike("[0-9]") & (F.length(before) >= skip), at(digits, F.length(before) - skip)).otherwise(c)
-        if letters is None:
-            return out
-        low = at(letters, i)
-        return F.when(c.rlike(r"\p{Lu}"), F.upper(low)).when(c.rlike(r"\p{L}"), low).otherwise(out)
+        before = F.length(_digits(F.substr(mention, F.lit(1), i)))
+        return F.when(c.rlike("[0-9]") & (before >= skip), _at(digits, before - skip)).otherwise(c)
 
     return F.array_join(F.transform(F.split(mention, ""), put), "")
 
 
+def _by_place(part: Column, digits: Column, letters: Column) -> Column:
+    """Part of an address with the digits and letters of streams, each from its place; other signs stay."""
+    low = lambda i: _at(letters, i)
+    put = lambda c, i: F.when(c.rlike("[0-9]"), _at(digits, i)).when(c.rlike(r"\p{Lu}"), F.upper(low(i))).when(c.rlike(r"\p{L}"), low(i)).otherwise(c)
+    return F.array_join(F.transform(F.split(part, ""), put), "")
+
+
 def _letters(stream: Column, script: Column) -> Column:
     table = [F.when(script == s, F.translate(stream, "0123456789abcdef", x)) for s, x in LETTERS.items()]
     return F.coalesce(*table)
@@ -105,7 +120,7 @@ def _luhn(digits: Column) -> Column:
 
 def _card(mention: Column, stream: Column) -> Column:
     """Digits anew; a number with a valid check digit gets one."""
-    new = _filled(mention, stream, F.lit(0))
+    new = _by_digit(mention, stream, F.lit(0))
     zero = F.regexp_replace(new, "[0-9]$", "0")
     check = F.pmod(F.lit(10) - F.pmod(_luhn(_digits(zero)), F.lit(10)), F.lit(10)).cast("string")
     return F.when(F.pmod(_luhn(_digits(mention)), F.lit(10)) == 0, F.concat(F.regexp_replace(new, "[0-9]$", ""), check)).otherwise(new)
@@ -122,25 +137,32 @@ def _made_up(kind: Column, value: Column, stream: Column, attempt: Column) -> Co
     return F.when(value == F.upper(value), F.upper(name)).when(value.rlike(r"^\p{Lu}"), F.initcap(name)).otherwise(name)
 
 
-def surrogate(key: str, kind: Column, canon: Column, mention: Column, attempt: Column) -> Column:
-    """The replacement of a mention: a keyed function of its canonical form, in the mention's format."""
-    stream = _hash(key, kind, canon, attempt)
-    local, domain = F.substring_index(mention, "@", 1), F.substring_index(mention, "@", -1)
+def with_surrogate(entities: DataFrame, key: str, mention: str) -> DataFrame:
+    """entities (kind, canon, attempt ...) and `new`: the replacement of a mention, a keyed function of its canonical form, in the mention's format.
+
+    The hash streams are columns of their own, so that they are worked out once and not for each character.
+    """
+    kind, canon, attempt, value = (F.col(c) for c in ("kind", "canon", "attempt", mention))
+    mail, domain = kind == "email", F.substring_index(value, "@", -1)
     tail = F.regexp_extract(domain, r"\.\p{L}+$", 0)
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
-    by_host = _hash(key, F.lit("host"), F.lower(host))
+    local, host = F.substring_index(value, "@", 1), F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
+    rows = entities.withColumns({"own": _hash(key, kind, canon, attempt), "local": F.when(mail, local), "host": F.when(mail, host), "tail": F.when(mail, tail)})
+    rows = rows.withColumns({"on_host": F.when(mail, _hash(key, F.lit("host"), F.lower("host"))), "further": F.when(mail, _hash(key, F.lit("more"), kind, canon, attempt))})
+    own, on_host, local, host = (F.col(c) for c in ("own", "on_host", "local", "host"))
+    streams = {"own_letters": _letters(own, script_of(local)), "more_letters": _letters(F.col("further"), script_of(local)), "host_letters": _letters(on_host, script_of(host))}
+    digits = lambda c: F.translate(c, "abcdef", "012345")
+    rows = rows.withColumns({**{c: F.when(mail, x) for c, x in streams.items()}, "own_digits": digits(own), "host_digits": F.when(mail, digits(on_host))})
     # an email that still collides gets a longer local part: short ones are few at one host
-    more = F.substr(_letters(_hash(key, F.lit("more"), kind, canon, attempt), script_of(local)), F.lit(1), F.greatest(attempt - SAME_LENGTH, F.lit(0)))
+    more = F.substr(F.col("more_letters"), F.lit(1), F.greatest(attempt - SAME_LENGTH, F.lit(0)))
     more = F.when(local.rlike(r"\p{Lu}") & (local == F.upper(local)), F.upper(more)).otherwise(more)
-    email = F.concat(
-        _filled(local, stream, F.lit(0), _letters(stream, script_of(local))), more, F.lit("@"), _filled(host, by_host, F.lit(0), _letters(by_host, script_of(host))), tail
-    )
-    octet = [(F.conv(F.substr(stream, F.lit(1 + 8 * i), F.lit(7)), 16, 10).cast("long") % 254 + 1).cast("string") for i in range(4)]
-    phone = _filled(mention, stream, F.length(_digits(mention)) - F.length(canon) + F.when((F.length(canon) > 10) & mention.startswith("+"), 2).otherwise(0))
-    return (
-        F.when(kind == "email", email).when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "phone", phone).when(kind == "ssn", _filled(mention, stream, F.lit(0)))
-        .when(kind == "card", _card(mention, stream)).when(kind == "as_is", mention).otherwise(_made_up(kind, mention, stream, attempt))
+    email = F.concat(_by_place(local, F.col("own_digits"), F.col("own_letters")), more, F.lit("@"), _by_place(host, F.col("host_digits"), F.col("host_letters")), F.col("tail"))
+    octet = [(F.conv(F.substr(own, F.lit(1 + 8 * i), F.lit(7)), 16, 10).cast("long") % 254 + 1).cast("string") for i in range(4)]
+    phone = _by_digit(value, own, F.length(_digits(value)) - F.length(F.substring_index(canon, " ", -1)))
+    new = (
+        F.when(mail, email).when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "phone", phone).when(kind == "ssn", _by_digit(value, own, F.lit(0)))
+        .when(kind == "card", _card(value, own)).when(kind == "as_is", value).otherwise(_made_up(kind, value, own, attempt))
     )
+    return rows.select(*entities.columns, new.alias("new"))
 
 
 def _parts(mention: Column) -> Column:
@@ -172,7 +194,7 @@ def attempts(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
     again = written(entities.limit(0).withColumn("attempt", F.lit(0)), "attempts")
     for _ in range(most):
         now = entities.join(again, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("attempt", F.lit(0)).alias("attempt"))
-        made = now.withColumn("made", F.lower(surrogate(key, F.col("kind"), F.col("canon"), F.col("canon"), F.col("attempt"))))
+        made = with_surrogate(now, key, "canon").withColumn("made", F.lower("new")).drop("new")
         group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
         made = made.withColumn("group", group)
         keep = made.groupBy("group", "made").agg(F.min(F.struct("kind", "canon")).alias("keep"), F.count(F.lit(1)).alias("n"))
@@ -211,7 +233,7 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     mentions = mentions.withColumn("canon", canonical(F.col("kind"), F.col("value")))
     again = attempts(mentions, key)
     named = mentions.join(again, ["kind", "canon"], "left").withColumn("attempt", F.coalesce("attempt", F.lit(0)))
-    named = named.select("row_key", "pos", "sub", surrogate(key, F.col("kind"), F.col("canon"), F.col("value"), F.col("attempt")).alias("new"))
+    named = with_surrogate(named, key, "value").select("row_key", "pos", "sub", "new")
     by_mention = named.groupBy("row_key", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("sub", "new"))), lambda x: x["new"]), " ").alias("new"))
     by_row = by_mention.groupBy("row_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))), lambda x: x["new"]).alias("new"))
     pieces = F.split("text", ANY, -1)

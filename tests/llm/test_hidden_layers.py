@@ -65,3 +65,36 @@ def test_one_bad_byte_or_half_spoils_no_run():
     assert assigns("%ff" + run) == [(3, len(run))]
     assert assigns("\\ud800" + "".join(f"\\u{ord(c):04x}" for c in PLAIN)) == [(6, 6 * len(PLAIN))]
     assert assigns(quote("\u00e9" + PLAIN))
+
+
+def test_every_nesting_is_unwrapped():
+    """Against brute force: a secret under random layers is found where the outermost layer stands, and one that none of them holds is not."""
+    import bz2
+    import lzma
+    import random
+    from urllib.parse import quote
+
+    b64 = lambda x: base64.b64encode(x).decode()
+    wraps = {
+        "base64": lambda t: b64(t.encode()),
+        "safe": lambda t: base64.urlsafe_b64encode(t.encode()).decode(),
+        "mime": lambda t: base64.encodebytes(t.encode()).decode().strip(),
+        "gzip": lambda t: b64(gzip.compress(t.encode())),
+        "zlib": lambda t: b64(zlib.compress(t.encode())),
+        "bz2": lambda t: b64(bz2.compress(t.encode())),
+        "xz": lambda t: b64(lzma.compress(t.encode())),
+        "url": lambda t: "".join(f"%{x:02x}" for x in t.encode()),
+        "quoted": lambda t: quote(t, safe=""),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "entities": lambda t: "".join(f"&#{ord(c)};" for c in t),
+    }
+    rng = random.Random(21)
+    for _ in range(120):
+        names = rng.choices(list(wraps), k=rng.randint(1, 4))
+        body, other = 'password = "hunter2hunter2"', "nothing to find in these plain words"
+        for name in names:
+            body, other = wraps[name](body), wraps[name](other)
+        text = f"before {body} after {other} end"
+        spans = SS.scan(text)[1]
+        found = [(s, e) for s, k, e in spans if k == 0]
+        assert found and all(7 <= s and e <= 7 + len(body) for s, e in found), (names, text[:200], found)
