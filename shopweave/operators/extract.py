@@ -15,155 +15,147 @@ _VARIANT = "struct<id:string,title:string,sku:string,price:string,compare_at_pri
 PRODUCT = f"""id string, url string, title string, handle string, description string, brand string, vendor string, product_type string, image_url string, tags array<string>,
 price string, currency string, availability string, variants array<{_VARIANT}>, source string""".replace("\n", " ")
 NAMES = ["id", "url", "title", "handle", "description", "brand", "vendor", "product_type", "image_url", "tags", "price", "currency", "availability", "variants", "source"]
-_EMPTY = {"id", "url", "title", "handle", "description", "brand", "vendor", "product_type", "image_url", "price", "currency", "availability"}
+# fixed values: which sources a field is read from, the first that says something. ld is a product node of JSON-LD,
+# offer its first offer; meta, attr and text are the page's meta tags, marked attributes and marked elements
+FIELDS = {
+    "id": ["ld productID", "ld sku", "ld @id", "meta product:retailer_item_id"],
+    "url": ["ld url", "ld @id"],
+    "title": ["ld name", "meta og:title", "text h1 name", "text h1"],
+    "description": ["ld description", "meta description", "text description"],
+    "brand": ["ld brand.name", "ld brand", "meta product:brand", "text brand"],
+    "image_url": ["ld image", "ld image 0", "meta og:image"],
+    "price": ["offer price", "meta product:price:amount", "attr price", "text price", "text .price"],
+    "currency": ["offer priceCurrency"],
+    "availability": ["offer availability", "offer inventoryLevel", "meta product:availability", "attr availability", "attr data-availability"],
+}
+# fixed values: the same for a variant, from an offer
+VARIANT = {"id": ["offer @id", "offer sku"], "title": ["offer name"], "sku": ["offer sku"], "price": ["offer price"], "compare_at_price": ["offer highPrice"], "currency": ["offer priceCurrency"], "available": ["offer availability", "offer inventoryLevel"]}
+# fixed values: where products and offers lie, in which key of a node of what type ("": of any), and under which key of each entry
+INNER = {"product": {"": ["@graph"], "itemlist": ["itemListElement", "item"]}, "offer": {"aggregateoffer": ["offers"]}}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
 class Page(HTMLParser):
-    """What extraction needs of a page: JSON-LD texts, meta values, and the text of marked elements."""
+    """A page as facts, source -> text, each the first of its kind, and its JSON-LD scripts."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
+        self.facts: dict[str, str] = {}
         self.scripts: list[str] = []
-        self.meta: dict[str, str] = {}
-        self.attrs: dict[str, str] = {}
-        self.texts: dict[str, list[str]] = {}
-        self.open: list[tuple[str, list[str]]] = []
-        self.script: list[str] | None = None
+        self.marked: list[tuple[str, list[str]]] = []  # open elements and the facts their text goes to
+        self.in_script = False
         self.feed(html)
         self.close()
+        self.facts = {k: v.strip() for k, v in self.facts.items()}
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
+        item = a.get("itemprop", "")
+        said = {
+            f"meta {a.get('property') or a.get('name') or ''}": a.get("content") if tag == "meta" else None,
+            "attr price": a.get("content") if item == "price" else None,
+            "attr availability": a.get("href", "") if tag == "link" and item == "availability" else None,
+            "attr data-availability": a.get("data-availability"),
+        }
+        for k, v in said.items():
+            if v is not None:
+                self.facts.setdefault(k, v)
         if tag == "script":
-            self.script = [] if a.get("type", "").lower() == "application/ld+json" else None
-        if tag == "meta" and "content" in a:
-            self.meta.setdefault(a.get("property") or a.get("name") or "", a["content"].strip())
-        marks = [f"itemprop={a['itemprop']}"] if "itemprop" in a else []
-        marks += ["h1"] * (tag == "h1") + ["h1name"] * (tag == "h1" and a.get("itemprop") == "name") + [".price"] * ("price" in a.get("class", "").split())
-        if a.get("itemprop") == "price" and "content" in a:
-            self.attrs.setdefault("price", a["content"].strip())
-        if tag == "link" and a.get("itemprop") == "availability":
-            self.attrs.setdefault("availability", a.get("href", "").strip())
-        if "data-availability" in a:
-            self.attrs.setdefault("data-availability", a["data-availability"].strip())
+            self.in_script = a.get("type", "").lower() == "application/ld+json"
+            self.scripts += [""] * self.in_script
         if tag not in _VOID:
-            own = [m for m in marks if m not in self.texts]
-            for m in own:
-                self.texts[m] = []
-            self.open.append((tag, own))
+            marks = {"text " + item: bool(item), "text h1": tag == "h1", "text h1 name": tag == "h1" and item == "name", "text .price": "price" in a.get("class", "").split()}
+            own = [m for m, holds in marks.items() if holds and m not in self.facts]
+            self.facts.update(dict.fromkeys(own, ""))
+            self.marked.append((tag, own))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "script" and self.script is not None:
-            self.scripts.append("".join(self.script).strip())
-            self.script = None
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        self.in_script = self.in_script and tag != "script"
+        if (same := [i for i, (t, _) in enumerate(self.marked) if t == tag]):
+            del self.marked[same[-1] :]
 
     def handle_data(self, data: str) -> None:
-        if self.script is not None:
-            self.script.append(data)
-        for _, marks in self.open:
-            for m in marks:
-                self.texts[m].append(data)
+        if self.in_script:
+            self.scripts[-1] += data
+        for m in (m for _, own in self.marked for m in own):
+            self.facts[m] += data
 
-    def text(self, mark: str) -> str:
-        return "".join(self.texts.get(mark, [])).strip()
 
-
-def _text(value: object) -> str | None:
-    if isinstance(value, bool) or value is None:
-        return None
-    if isinstance(value, (int, float)):
+def said(value: object) -> str:
+    """The text of a JSON scalar; lists, objects, truth values and nothing say nothing."""
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
         return str(int(value)) if float(value).is_integer() else str(value)
-    return value.strip() or None if isinstance(value, str) else None
+    return value.strip() if isinstance(value, str) else ""
 
 
-def _many(value: object) -> list:
-    return [] if value is None else value if isinstance(value, list) else [value]
+def facts_of(node: dict, source: str) -> dict[str, str]:
+    """A JSON object as facts: its scalars, those of objects in it, and the first of each list."""
+    out = {}
+    for k, v in node.items():
+        inner = {f".{x}": y for x, y in v.items()} if isinstance(v, dict) else {" 0": v[0]} if isinstance(v, list) and v else {"": v}
+        out |= {f"{source} {k}{x}": said(y) for x, y in inner.items()}
+    return out
 
 
-def _is(node: dict, kind: str) -> bool:
-    return any((_text(v) or "").lower() == kind for v in _many(node.get("@type")))
+def picked(facts: dict[str, str], table: dict[str, list[str]]) -> dict[str, str | None]:
+    return {field: next((facts[k] for k in sources if facts.get(k)), None) for field, sources in table.items()}
 
 
-def _offers(value: object) -> Iterator[dict]:
-    """One variant per offer; offers that gather others give theirs."""
-    for o in _many(value):
-        if not isinstance(o, dict):
-            continue
-        if _is(o, "aggregateoffer") and "offers" in o:
-            yield from _offers(o["offers"])
-            continue
-        first = lambda *keys, o=o: next((t for k in keys if (t := _text(o.get(k)))), None)
-        yield {
-            "id": first("@id", "sku"), "title": first("name"), "sku": first("sku"), "price": first("price"), "compare_at_price": first("highPrice"), "currency": first("priceCurrency"),
-            "available": first("availability", "inventoryLevel"), "option1": None, "option2": None, "option3": None, "options": None,
-        }
-
-
-def _product(node: dict) -> dict:
-    first = lambda *keys: next((t for k in keys if (t := _text(node.get(k)))), None)
-    brand = node.get("brand")
-    category = node.get("category")
-    tags = [t for v in category if (t := _text(v))] if isinstance(category, list) else [t.strip() for t in (_text(category) or "").split(",") if t.strip()]
-    variants = list(_offers(node.get("offers")))
-    lead = variants[0] if variants else {}
-    return {
-        "id": first("productID", "sku", "@id"), "url": first("url", "@id"), "title": first("name"), "description": first("description"),
-        "brand": (_text(brand.get("name")) if isinstance(brand, dict) else None) or _text(brand), "image_url": _text(next(iter(_many(node.get("image"))), None)), "tags": tags,
-        "price": lead.get("price"), "currency": lead.get("currency"), "availability": lead.get("available"), "variants": variants, "source": "html",
-    }
-
-
-def jsonld_products(value: object) -> Iterator[dict]:
-    """The products of a JSON-LD value: in lists, graphs and item lists."""
-    if isinstance(value, list):
-        for v in value:
-            yield from jsonld_products(v)
-        return
-    if not isinstance(value, dict):
-        return
-    if isinstance(value.get("@graph"), list):
-        yield from jsonld_products(value["@graph"])
-    if _is(value, "product"):
-        yield _product(value)
-    elif _is(value, "itemlist"):
-        for item in _many(value.get("itemListElement")):
-            if isinstance(item, dict):
-                yield from jsonld_products(item.get("item", item) or item)
-
-
-def fallback_product(page: Page) -> dict | None:
-    """A product from meta tags, item properties and the heading; none for pages that say they are missing."""
-    title = page.meta.get("og:title") or page.text("h1name") or page.text("h1")
-    if not title or "404" in title.lower() or "not found" in title.lower():
-        return None
-    price = page.meta.get("product:price:amount") or page.attrs.get("price") or page.text("itemprop=price") or page.text(".price")
-    stock = page.meta.get("product:availability") or page.attrs.get("availability") or page.attrs.get("data-availability")
-    return {
-        "id": page.meta.get("product:retailer_item_id") or None, "title": title, "description": page.meta.get("description") or page.text("itemprop=description") or None,
-        "brand": page.meta.get("product:brand") or page.text("itemprop=brand") or None, "image_url": page.meta.get("og:image") or None,
-        "tags": [t.strip() for t in page.meta.get("keywords", "").split(",") if t.strip()], "price": price or None, "availability": stock or None, "variants": [], "source": "html",
-    }
+def kinds(node: dict) -> set[str]:
+    of = node.get("@type")
+    return {said(x).lower() for x in (of if isinstance(of, list) else [of])} - {""}
+
+
+def nodes(value: object, wanted: str) -> Iterator[dict]:
+    """The nodes of a kind in a JSON value: in lists, and where INNER says that nodes keep others.
+
+    Products are marked as such; an offer is whatever doesn't keep others. A node comes
+    after those of its graph and is not searched further.
+    """
+    inner, work = INNER[wanted], [(value, False)]
+    while work:
+        now, ready = work.pop()
+        if ready:
+            yield now
+        elif isinstance(now, list):
+            work += [(x, False) for x in reversed(now) if wanted == "product" or isinstance(x, dict)]
+        elif isinstance(now, dict):
+            own = kinds(now)
+            keys = next((inner[t] for t in inner if t in own and inner[t][0] in now), None)
+            if wanted in own or (wanted == "offer" and keys is None):
+                work.append((now, True))
+            elif keys is not None:
+                held = now[keys[0]] if isinstance(now[keys[0]], list) else [now[keys[0]]]
+                work.append(([next((x[k] for k in keys[1:] if x.get(k)), x) for x in held if isinstance(x, dict)], False))
+            if isinstance(graph := now.get(inner.get("", [None])[0]), list):
+                work.append((graph, False))
+
+
+def labels(value: object) -> list[str]:
+    """The texts of a list, or the parts of a text between commas."""
+    every = map(said, value) if isinstance(value, list) else (x.strip() for x in said(value).split(","))
+    return [x for x in every if x]
 
 
 def page_products(html: str, product_url: bool) -> list[dict]:
-    """Products of a page, the last of each key; the fallback only where there are none and the URL is product-like."""
+    """Products of a page, the last of each key; one of the page's own facts only where there are none and the URL is product-like."""
     page, found = Page(html), {}
     for text in page.scripts:
         try:
             value = json.loads(text)
         except ValueError:
             continue
-        for p in jsonld_products(value):
-            key = p["id"] or f"{p.get('url') or ''}|{p.get('title') or ''}"
-            found[key] = p
-    if not found and product_url and (p := fallback_product(page)):
-        found[""] = p
-    return list(found.values())
+        for node in nodes(value, "product"):
+            offers = [facts_of(o, "offer") for o in nodes(node.get("offers"), "offer")]
+            p = picked(facts_of(node, "ld") | (offers[0] if offers else {}), FIELDS)
+            p |= {"tags": labels(node.get("category")), "variants": [dict.fromkeys(("option1", "option2", "option3", "options")) | picked(o, VARIANT) for o in offers]}
+            found[p["id"] or f"{p['url'] or ''}|{p['title'] or ''}"] = p
+    if not found and product_url:
+        p = picked(page.facts, FIELDS)
+        missing = (p["title"] or "404").lower()
+        if "404" not in missing and "not found" not in missing:
+            found[""] = p | {"tags": labels(page.facts.get("meta keywords")), "variants": []}
+    return [p | {"source": "html"} for p in found.values()]
 
 
 def extract_products(pages: DataFrame) -> DataFrame:
@@ -177,7 +169,7 @@ def extract_products(pages: DataFrame) -> DataFrame:
             out = []
             for r in b.to_dict("records"):
                 for pos, p in enumerate(page_products(r["body"], r["product_like"])):
-                    out.append({**dict.fromkeys(_EMPTY), **p, **{k: r[k] for k in keep}, "pos": pos})
+                    out.append({**dict.fromkeys(NAMES), **p, **{k: r[k] for k in keep}, "pos": pos})
             yield pd.DataFrame(out, columns=[*keep, "pos", *NAMES])
 
     found = rows.mapInPandas(run, "store_slug string, store_url string, page_url string, etag string, last_modified string, pos int, " + PRODUCT)
