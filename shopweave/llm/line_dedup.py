@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import aside, row_key, texts, written
+from .common import aside, forget, row_key, texts, written
 from .links import SALT, bucketed_links, keyed
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 8, 10, 4, 0.8
@@ -134,7 +134,9 @@ def _components(places: DataFrame, docs: DataFrame, threshold: float, id_col: st
     distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "h", "l", "n", "size", F.array(*bands).alias("bands")), "distinct-lines")
     linked = bucketed_links(distinct, texts(docs, id_col, text_col), lines_of, distinct_hashes, jaccard, threshold)
     named = distinct.select("id", "h", "l", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
-    return written(named.where("n > 1 or root is not null").select("h", "l", F.coalesce("root", "id").alias("root")), "line-roots")
+    roots = written(named.where("n > 1 or root is not null").select("h", "l", F.coalesce("root", "id").alias("root")), "line-roots")
+    forget(distinct)
+    return roots
 
 
 def line_components(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,7 +153,10 @@ def _gone(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> Data
     keep = written(keep, "kept-lines")
     same = F.col("doc_key").eqNullSafe(F.col("k")) & (F.col("pos") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d"))
     gone = again.join(keep, same, "left_anti").groupBy(F.col("doc_key").alias("key"), F.col("doc_id").alias("owner"))
-    return written(gone.agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone-lines")
+    gone = written(gone.agg(F.array_sort(F.collect_set("pos")).alias("gone")), "gone-lines")
+    for done in (places, roots, again, keep):
+        forget(done)
+    return gone
 
 
 def _with_gone(rows: DataFrame, gone: DataFrame) -> DataFrame:

@@ -298,7 +298,10 @@ def bucketed_links(distinct: DataFrame, docs: DataFrame, units: Callable[[str],
         rows = asked.unionByName(asking).join(texts.select("id", "z"), "id")
         rows = rows.repartition(n_parts, "key", "slice").sortWithinPartitions("key", "slice", "asks")
         found = found.unionByName(rows.mapInArrow(outer, "a long, b long"))
-    return components(found)
+    settled = components(found)  # all but its last step has run
+    for done in (kept, members, wanted, texts):
+        forget(done)
+    return settled
 
 
 def all_pairs(texts: list[str], hashes: Callable[[str], np.ndarray], threshold: float) -> list[tuple[int, int]]:
