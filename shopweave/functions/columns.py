@@ -71,8 +71,9 @@ def to_bool(c: Column, vocabulary: str = "feed", default: bool | None = None) ->
 
 
 def to_available(c: Column) -> Column:
-    """Availability text at ingest; null when unknown."""
-    return to_bool(c, "ingest")
+    """Availability text at ingest: a listed word, or a number in stock, of which any above 0 is available; null when unknown."""
+    stock = F.trim(c).try_cast("double")
+    return F.coalesce(to_bool(c, "ingest"), F.when(~F.isnan(stock), stock > 0))
 
 
 def slugify(c: Column, max_len: int | None = None) -> Column:

@@ -92,12 +92,14 @@ def top_duplicates(df: DataFrame, n: int = 25) -> DataFrame:
 
 
 def handle_collisions(df: DataFrame, n: int = 25) -> DataFrame:
-    """Handles that several product ids have, most ids first; n_collisions counts all of the store, before the cut."""
+    """Handles that several product ids have, most ids first; n_collisions counts all of the store, before the cut. Ids are listed for what is left after it."""
     pairs = df.select("store_slug", F.lower(text_or_null(F.col("handle"))).alias("handle"), text_or_null(F.col("product_id")).alias("product_id")).where("handle is not null and product_id is not null").distinct()
-    sizes = pairs.groupBy("store_slug", "handle").agg(F.count(F.lit(1)).alias("n_ids"), F.sort_array(F.collect_list("product_id")).alias("product_ids")).where("n_ids > 1")
+    sizes = pairs.groupBy("store_slug", "handle").agg(F.count(F.lit(1)).alias("n_ids")).where("n_ids > 1")
     all_of = sizes.groupBy("store_slug").agg(F.count(F.lit(1)).alias("n_collisions"))
     rank = F.row_number().over(W.partitionBy("store_slug").orderBy(F.desc("n_ids"), "handle"))
-    return sizes.withColumn("rank", rank).where(F.col("rank") <= n).join(all_of, "store_slug")
+    top = sizes.withColumn("rank", rank).where(F.col("rank") <= n)
+    ids = pairs.join(top.select("store_slug", "handle"), ["store_slug", "handle"]).groupBy("store_slug", "handle").agg(F.sort_array(F.collect_list("product_id")).alias("product_ids"))
+    return top.join(ids, ["store_slug", "handle"]).join(all_of, "store_slug")
 
 
 def split_catalog(df: DataFrame) -> tuple[DataFrame, DataFrame]:

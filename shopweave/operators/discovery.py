@@ -8,9 +8,10 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.urls import host, is_product_url, normalize_url, resolved, url_product_score
+from ..sources.shared import written
 
 #: Where sitemaps are looked for without being told. Fixed values.
 FALLBACK_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap_products.xml", "/sitemap_products_1.xml"]
@@ -75,24 +76,17 @@ def seed_sitemaps(stores: DataFrame, robots: DataFrame | None = None) -> DataFra
     return (usual if robots is None else usual.unionByName(robots_sitemaps(robots))).distinct()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """A frontier cut off from its lineage: checkpointed in the shared folder where one is named."""
-    spark: SparkSession = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
-
-
 def expand(seeds: DataFrame, links: DataFrame, max_depth: int, most: int) -> DataFrame:
     """Breadth-first walk from (store_slug, url) seeds over (store_slug, url, loc) links: (store_slug, url, depth).
 
     No URL is visited twice; at most `most` of a store, nearest first, then by URL.
     """
-    seen = _kept(seeds.select("store_slug", "url").distinct().withColumn("depth", F.lit(0)))
+    links = written(links.select("store_slug", "url", "loc").distinct(), "links")  # read in each round, worked out once
+    seen = written(seeds.select("store_slug", "url").distinct().withColumn("depth", F.lit(0)), "frontier")
     frontier = seen
     for depth in range(1, max_depth + 1):
         found = frontier.select("store_slug", "url").join(links, ["store_slug", "url"]).select("store_slug", F.col("loc").alias("url")).distinct()
-        frontier = _kept(found.join(seen.select("store_slug", "url"), ["store_slug", "url"], "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = written(found.join(seen.select("store_slug", "url"), ["store_slug", "url"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -159,20 +159,21 @@ def page_products(html: str, product_url: bool) -> list[dict]:
 
 
 def extract_products(pages: DataFrame) -> DataFrame:
-    """Raw products of pages (store_slug, store_url, url, etag, last_modified, body), pos being the place on the page."""
-    rows = pages.select("store_slug", "store_url", F.col("url").alias("page_url"), "etag", "last_modified", F.coalesce("body", F.lit("")).alias("body"))
+    """Raw products of pages (store_slug, store_url, url, etag, last_modified, body, rank if planned), pos being the place on the page."""
+    rank = F.col("rank") if "rank" in pages.columns else F.lit(None)
+    rows = pages.select("store_slug", "store_url", F.col("url").alias("page_url"), "etag", "last_modified", rank.cast("long").alias("rank"), F.coalesce("body", F.lit("")).alias("body"))
     rows = rows.withColumn("product_like", F.coalesce(is_product_url(F.coalesce(normalize_url(F.col("page_url")), F.col("page_url"))), F.lit(False)))
-    keep = ["store_slug", "store_url", "page_url", "etag", "last_modified"]
+    keep = ["store_slug", "store_url", "page_url", "etag", "last_modified", "rank"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.to_dict("records"):
                 for pos, p in enumerate(page_products(r["body"], r["product_like"])):
-                    out.append({**dict.fromkeys(NAMES), **p, **{k: r[k] for k in keep}, "pos": pos})
-            yield pd.DataFrame(out, columns=[*keep, "pos", *NAMES])
+                    out.append({**dict.fromkeys(NAMES), **p, **{k: r[k] for k in keep}, "rank": None if pd.isna(r["rank"]) else int(r["rank"]), "pos": pos})
+            yield pd.DataFrame(out, columns=[*keep, "pos", *NAMES]).astype({"rank": "Int64"})
 
-    found = rows.mapInPandas(run, "store_slug string, store_url string, page_url string, etag string, last_modified string, pos int, " + PRODUCT)
+    found = rows.mapInPandas(run, "store_slug string, store_url string, page_url string, etag string, last_modified string, rank long, pos int, " + PRODUCT)
     url = normalize_url(resolved(F.coalesce("url", "page_url"), F.col("page_url")))
     image = normalize_url(resolved(F.col("image_url"), F.col("page_url")))
     found = found.withColumns({"url": url, "image_url": image})

@@ -27,7 +27,7 @@ def _image(src: Column, store_url: Column) -> Column:
 
 
 def map_feed(feed: DataFrame) -> DataFrame:
-    """Feed rows (store_slug, store_url, pos, product) as raw products with their variants and options."""
+    """Feed rows (store_slug, store_url, page if there are several, pos, product) as raw products with their variants and options."""
     p, base = F.col("product"), F.col("store_url")
     text = lambda name: C.text_or_null(p[name])
     handle = text("handle")
@@ -72,7 +72,7 @@ def map_feed(feed: DataFrame) -> DataFrame:
     of_variants = F.transform(nodes, lambda v: _image(F.get_json_object(v["featured_image"], "$.src"), base))
     own_image = F.coalesce(F.get_json_object(p["image"], "$.src"), F.when(~F.startswith(F.ltrim(p["image"]), F.lit("{")), p["image"]))
     return rows.select(
-        "store_slug", "store_url", "pos", text("id").alias("id"), url.alias("url"), text("title").alias("title"), handle.alias("handle"), C.html_to_text(p["body_html"]).alias("description"),
+        "store_slug", "store_url", (F.col("page") if "page" in feed.columns else F.lit(0)).cast("long").alias("page"), "pos", text("id").alias("id"), url.alias("url"), text("title").alias("title"), handle.alias("handle"), C.html_to_text(p["body_html"]).alias("description"),
         text("vendor").alias("brand"), text("vendor").alias("vendor"), text("product_type").alias("product_type"),
         F.coalesce(_image(own_image, base), first(images), first(of_variants)).alias("image_url"), C.parse_tags(p["tags"]).alias("tags"),
         F.try_element_at(variants, F.lit(1))["price"].alias("price"), F.try_element_at(variants, F.lit(1))["currency"].alias("currency"), available.cast("string").alias("availability"),

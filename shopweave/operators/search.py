@@ -8,12 +8,14 @@ of a query meet whole products.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import budget_fit, product_tokens, tone_tokens
+from ..sources.shared import written
 from .catalog import available_options, option_preview, product_summary, recommended_option, tone_matches
 
 RRF_K = 60  # fixed value: the constant of reciprocal rank fusion
@@ -307,8 +309,11 @@ def route_queries(queries: DataFrame, products: DataFrame, stores: DataFrame) ->
     by_words = first(counted)
     missed = queries.select("query_id", F.lower(F.trim("text")).alias("hint")).where("hint <> ''").join(by_words, "query_id", "left_anti")
     body = F.lower(F.concat_ws("\u0001", "title", "handle", "product_type", F.array_join("tags", "\u0001")))
-    hit = shop.select("store_slug", body.alias("body")).join(_few(missed), F.contains("body", F.col("hint")))
-    by_text = first(hit.groupBy("query_id", "store_slug").agg(F.count(F.lit(1)).alias("n")))
+    missed = written(missed, "missed-queries")
+    blocks, bodies = -(-missed.count() // BROADCAST_QUERIES) or 1, shop.select("store_slug", body.alias("body"))
+    sent = [F.broadcast(missed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)]
+    hits = [bodies.join(block, F.contains("body", F.col("hint"))).groupBy("query_id", "store_slug").agg(F.count(F.lit(1)).alias("n")) for block in sent]
+    by_text = first(reduce(DataFrame.unionByName, hits))
     largest = stores.orderBy(F.desc(F.greatest("product_count", F.lit(0))), F.desc_nulls_last("indexed_at"), "slug").limit(1).select(F.col("slug").alias("_largest"), F.lit(1).alias("_one"))
     out = queries.select("query_id", F.lit(1).alias("_one")).join(by_words.withColumnRenamed("store_slug", "a"), "query_id", "left").join(by_text.withColumnRenamed("store_slug", "b"), "query_id", "left")
     out = out.join(F.broadcast(largest), "_one", "left")  # one row

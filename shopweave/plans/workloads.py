@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import baskets as B, catalog, dedup, discovery, extract, feeds, merge, search
 
@@ -10,13 +10,18 @@ RAW_COLUMNS = ["store_slug", "store_url", "id", "url", "title", "handle", "descr
 
 
 def raw_candidates(feed: DataFrame | None, pages: DataFrame | None) -> DataFrame:
-    """Raw products of feeds and pages with their order: feeds first, then pages by plan rank and place."""
+    """Raw products of feeds and pages with their order: feeds by page and place first, then pages by plan rank and place.
+
+    pages may have the `rank` of plan_crawl; those without one come last, by URL. seq is a
+    struct, so that no page or place runs into the next one.
+    """
     found = []
     if feed is not None:
-        found.append(feeds.map_feed(feed).withColumn("seq", F.col("pos").cast("long")))
+        found.append(feeds.map_feed(feed).withColumn("seq", _order(F.lit(False), "page", F.lit(""), "pos")))
     if pages is not None:
-        rows = extract.extract_products(pages)
-        rows = rows.withColumn("seq", F.lit(1 << 40) + F.pmod(F.xxhash64("page_url"), F.lit(1 << 30)) * 4096 + F.col("pos"))
+        ranked = pages if "rank" in pages.columns else pages.withColumn("rank", F.lit(None).cast("long"))
+        rows = extract.extract_products(ranked)
+        rows = rows.withColumn("seq", _order(F.lit(True), F.coalesce(F.col("rank").cast("long"), F.lit((1 << 62))), F.col("page_url"), "pos"))
         found.append(rows.withColumn("options", F.array().cast("array<struct<name:string,values:array<string>>>")))
     out = found[0].select(*RAW_COLUMNS)
     for other in found[1:]:
@@ -24,6 +29,10 @@ def raw_candidates(feed: DataFrame | None, pages: DataFrame | None) -> DataFrame
     return out
 
 
+def _order(from_page: Column, rank: Column | str, page_url: Column, pos: str) -> Column:
+    return F.struct(from_page.alias("from_page"), (F.col(rank) if isinstance(rank, str) else rank).alias("rank"), page_url.alias("page_url"), F.col(pos).cast("long").alias("pos"))
+
+
 def refresh_catalog(stored: DataFrame, feed: DataFrame | None = None, pages: DataFrame | None = None, force: bool = False) -> DataFrame:
     """The catalog after a run: candidates normalized, dedupped, compared by hash, upserted. The stored columns decide the schema."""
     new = dedup.dedup(feeds.normalize_products(raw_candidates(feed, pages)))

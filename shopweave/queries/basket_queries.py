@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..operators import baskets as B
+from ..sources.shared import new_path
 from ..streaming import baskets as stream
 from . import views as V
 from .catalog_queries import SQL_RESOLVE, resolve_requests
@@ -107,7 +107,7 @@ def b7_prepare_adds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("request_id", "variant_id", "quantity", "unit_price", F.nullif("url", F.lit("")).alias("url"), "reason")
 
 
-@query(f"""with {PS}, ranked as (select *, row_number() over (partition by store_slug order by partkey) as k from products), ask as (select store_slug as request_id, k as line, store_slug, handle, partkey from ranked where k <= 3 or k % 7 = 0),
+@query(f"""with {PS}, ranked as (select *, row_number() over (partition by store_slug order by partkey) as k from products), ask as (select store_slug as request_id, k as line, store_slug, handle, partkey from ranked),
 best as (select partkey, id from (select partkey, id, row_number() over (partition by partkey order by id) as rn from variants where available) where rn = 1),
 pick as (select a.*, b.id, coalesce(v.price_cents, 0) as price, case when b.id is null then 'variant_not_found' end as reason from ask a left join best b using (partkey) left join variants v on v.id = b.id),
 bad as (select request_id, min(line) as failed_line, min_by(reason, line) as failed_reason from pick where reason is not null group by 1),
@@ -120,7 +120,7 @@ def b8_checkout_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.products(spark, sf_dir)
     k = F.row_number().over(W.partitionBy("store_slug").orderBy("p_partkey"))
     first = F.try_element_at(F.filter("variants", lambda v: v["available"]), F.lit(1))["id"]
-    lines = p.withColumn("line", k).where("line <= 3 or line % 7 = 0").select(
+    lines = p.withColumn("line", k).select(
         F.col("store_slug").alias("request_id"), "line", "store_slug", "handle", F.coalesce(first, F.lit("none")).alias("variant_id"), F.lit(None).cast("map<string,string>").alias("options"), F.lit(2).cast("long").alias("quantity")
     )
     return B.checkout_batch(lines, p, V.stores(spark, sf_dir)).select("request_id", "added_count", "failed_line", "subtotal", "reason", "checkout_url")
@@ -130,8 +130,7 @@ def b8_checkout_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b9_stream_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replays the event table as a stream; the last state of each basket equals the batch fold."""
     stream.use_state_store(spark)
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")).rstrip("/")
-    at = f"{shared}/baskets-{spark._jvm.java.util.UUID.randomUUID()}"
+    at = new_path(spark, "baskets")
     schema = V.table(spark, sf_dir, "events").schema
     files = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     live = stream.stream_baskets(V.basket_events_of(files))

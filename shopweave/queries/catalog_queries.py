@@ -31,9 +31,11 @@ def joined(c: str, sep: str = "|"):
 
 # ---- feeds
 
+FEED_SPAN = 500  # part keys on a page of all stores' feeds, some 20 products of each store
+
 
 def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One feed text per store, as a platform would serve it: (store_slug, store_url, body)."""
+    """Feed texts as a platform would serve them, in pages: (store_slug, store_url, page, body)."""
     p = V.products(spark, sf_dir)
     euros = lambda c: F.format_string("%d.%02d", F.floor(c / 100).cast("long"), (c % 100).cast("long"))
     variant = F.transform(
@@ -45,15 +47,16 @@ def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("id"), "handle", F.concat(F.lit(" "), "title").alias("title"), F.concat(F.lit("<p>All about&nbsp;"), "title", F.lit("</p>")).alias("body_html"), "vendor", "product_type",
         F.array_join("tags", ", ").alias("tags"), options.alias("options"), variant.alias("variants"),
     )
-    one = p.groupBy("store_slug").agg(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("b")))).alias("l"))
+    page = F.floor(F.col("p_partkey") / FEED_SPAN).cast("long").alias("page")
+    one = p.groupBy("store_slug", page).agg(F.sort_array(F.collect_list(F.struct("p_partkey", body.alias("b")))).alias("l"))
     text = F.to_json(F.struct(F.transform("l", lambda x: x["b"]).alias("products")))
-    return one.select("store_slug", F.concat(F.lit("https://"), "store_slug", F.lit(".example.com")).alias("store_url"), text.alias("body"))
+    return one.select("store_slug", F.concat(F.lit("https://"), "store_slug", F.lit(".example.com")).alias("store_url"), "page", text.alias("body"))
 
 
-@query(f"""with {P} select store_slug, (row_number() over (partition by store_slug order by partkey) - 1)::int as pos, product_id as id, handle, ' ' || title as title, array_to_string(tags, ', ') as tags, n_variants::int as n_variants from products""")
+@query(f"""with {P} select store_slug, partkey // {FEED_SPAN} as page, (row_number() over (partition by store_slug, partkey // {FEED_SPAN} order by partkey) - 1)::int as pos, product_id as id, handle, ' ' || title as title, array_to_string(tags, ', ') as tags, n_variants::int as n_variants from products""")
 def io1_read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = io.explode_feed(feed_bodies(spark, sf_dir))
-    return rows.select("store_slug", "pos", "product.id", "product.handle", "product.title", "product.tags", F.size("product.variants").alias("n_variants"))
+    return rows.select("store_slug", "page", "pos", "product.id", "product.handle", "product.title", "product.tags", F.size("product.variants").alias("n_variants"))
 
 
 @query("select count(*) as n, count(distinct url) as urls, sum(length(html))::bigint as chars from pages")

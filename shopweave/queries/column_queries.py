@@ -55,15 +55,15 @@ def c2_serve_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.table(spark, sf_dir, "supplier").select("s_suppkey", C.serve_cents(text).alias("units"), C.serve_cents(whole).alias("whole"))
 
 
-_STOCK = ["InStock", " out of stock", "https://schema.org/OutOfStock", "maybe", "1"]
-_STOCK_SQL = f"([{quoted(_STOCK)}])[(l_orderkey % 5 + 1)::int]"
+_STOCK = ["InStock", " out of stock", "https://schema.org/OutOfStock", "maybe", "1", " 7", "-2.5"]
+_STOCK_SQL = f"([{quoted(_STOCK)}])[(l_orderkey % 7 + 1)::int]"
 
 
 def _stock():
-    return F.element_at(F.array(*map(F.lit, _STOCK)), (F.col("l_orderkey") % 5 + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, _STOCK)), (F.col("l_orderkey") % 7 + 1).cast("int"))
 
 
-@query(f"""select l_returnflag, x as word, case when lower(trim(x)) in ({quoted(C.INGEST_YES)}) then true when lower(trim(x)) in ({quoted(C.INGEST_NO)}) then false end as available, count(*) as n
+@query(f"""select l_returnflag, x as word, case when lower(trim(x)) in ({quoted(C.INGEST_YES)}) then true when lower(trim(x)) in ({quoted(C.INGEST_NO)}) then false when try_cast(trim(x) as double) is not null then try_cast(trim(x) as double) > 0 end as available, count(*) as n
 from (select l_returnflag, {_STOCK_SQL} as x from lineitem) group by all""")
 def c3_to_available(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = V.table(spark, sf_dir, "lineitem").select("l_returnflag", _stock().alias("word"))
@@ -264,12 +264,12 @@ def c20_budget_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.products(spark, sf_dir).select(F.col("p_partkey").alias("partkey"), F.round(C.budget_fit(F.col("price_min"), F.col("price_max"), lo, hi), 6).alias("fit"))
 
 
-@query(f"""with t as (select doc_id, (['Deep', 'medium ', 'fair', 'teal', ''])[(doc_id % 5 + 1)::int] as tone, lower(substring(text, 1, 200)) as q from documents)
+@query(f"""with t as (select doc_id, (['Deep', 'medium ', 'fair', 'teal', ''])[(doc_id % 5 + 1)::int] as tone, lower(text) as q from documents)
 select doc_id, case lower(trim(tone)) when 'deep' then '{"|".join(C.TONES[0][1])}' when 'medium' then '{"|".join(C.TONES[1][1])}' when 'fair' then '{"|".join(C.TONES[2][1])}' else lower(trim(tone)) end as tokens,
 case when regexp_matches(q, 'deep|dark|darker|deeper|rich') then 'dark' when regexp_matches(q, 'tan|medium|olive') then 'medium' when regexp_matches(q, 'light|fair|pale') then 'light' end as inferred from t""")
 def c21_tones(spark: SparkSession, sf_dir: str) -> DataFrame:
     tone = F.element_at(F.array(*map(F.lit, ["Deep", "medium ", "fair", "teal", ""])), (F.col("doc_id") % 5 + 1).cast("int"))
-    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(C.tone_tokens(tone), "|").alias("tokens"), C.infer_tone(F.substring("text", 1, 200)).alias("inferred"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", F.array_join(C.tone_tokens(tone), "|").alias("tokens"), C.infer_tone(F.col("text")).alias("inferred"))
 
 
 @query(f"""with {SQL_TOKENS}, w as (select partkey, unnest(string_split_regex(translate(lower(title || ' ' || product_type || ' ' || handle || ' ' || array_to_string(tags, ' ') || ' ' || array_to_string(option_tokens, ' ')), '/-', '  '), '\\s+')) as word

@@ -8,6 +8,7 @@ from ..functions.urls import host, normalize_url
 from ..operators import discovery as D, extract as X, feeds
 from ..plans import workloads
 from ..sources import io
+from ..sources.shared import new_path
 from . import views as V
 from .basket_queries import SQL_CLOSED, SQL_LINES
 from .catalog_queries import feed_bodies
@@ -225,8 +226,10 @@ def w3_checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workloads.checkout(events, baskets, stores).select("basket_id", "item_count", "subtotal", "reason", "checkout_url")
 
 
-@query()
+@query(ORACLES["d1_parse_sitemaps"])
 def io3_read_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed files as sitemap bodies; the files of the pages table stand in, of which none is XML."""
-    rows = io.read_sitemaps(spark, f"{sf_dir}/pages.parquet").withColumn("store_slug", F.lit("s"))
-    return rows.select("store_slug", F.length("body").cast("long").alias("bytes"))
+    """Landed, compressed sitemap files, one of each host, read and parsed."""
+    at = new_path(spark, "sitemaps")
+    sitemap_bodies(spark, sf_dir).select("store_slug", F.decode("body", "utf-8").alias("body")).write.partitionBy("store_slug").option("compression", "gzip").text(at)
+    rows = io.read_sitemaps(spark, at).withColumn("store_slug", F.regexp_extract("url", "/store_slug=([^/]+)/", 1))
+    return D.parse_sitemaps(rows).select("store_slug", "kind", "loc")

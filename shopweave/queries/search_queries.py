@@ -39,11 +39,11 @@ def doc_queries(spark: SparkSession, sf_dir: str, texts: list[str]) -> DataFrame
     return langs.select("store_slug", asked.alias("q")).select(F.concat_ws("/", "store_slug", F.col("q.n").cast("string")).alias("query_id"), "store_slug", "q.text")
 
 
-@query(f"with {SQL_DOC_WORDS} select store_slug, term, count(*) as n, count(distinct product_id) as n_docs from words group by 1, 2 having count(*) >= 5")
+@query(f"with {SQL_DOC_WORDS} select store_slug, term, count(*) as n, count(distinct product_id) as n_docs from words group by 1, 2")
 def s1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.postings(doc_items(spark, sf_dir))
     per_doc = rows.groupBy("store_slug", "term", "product_id").agg(F.count(F.lit(1)).alias("k"))
-    return per_doc.groupBy("store_slug", "term").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs")).where("n >= 5")
+    return per_doc.groupBy("store_slug", "term").agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_docs"))
 
 
 @query(f"""with {SQL_DOC_WORDS}, has as (select store_slug, product_id, max((term = 'the')::int) as the, max((term = 'and')::int) as a, max((term = 'of')::int) as o, max((term = 'token')::int) as t, max((term in ('der', 'para', 'la'))::int) as alt from words group by 1, 2),

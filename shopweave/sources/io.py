@@ -41,7 +41,9 @@ def read_feed(spark: SparkSession, path: str, store_slug: str, store_url: str) -
 
 
 def explode_feed(bodies: DataFrame) -> DataFrame:
-    rows = bodies.select("store_slug", "store_url", F.posexplode(feed_products(F.col("body"))).alias("pos", "product"))
+    """(store_slug, store_url, page, pos, product) of feed bodies (store_slug, store_url, body and, where a feed has several, page)."""
+    page = F.col("page") if "page" in bodies.columns else F.lit(0)
+    rows = bodies.select("store_slug", "store_url", page.cast("long").alias("page"), F.posexplode(feed_products(F.col("body"))).alias("pos", "product"))
     return rows.where("product is not null")
 
 

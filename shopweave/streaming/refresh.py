@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import dedup, feeds, merge
+from ..plans import workloads
 from ..sources import io
 
 STORED = ["store_slug", "product_id", "handle", "title", "url", "tags", "search_text", "available", "source", "price_min", "price_max", "currency", "description", "brand", "vendor", "product_type", "image_url", "is_catalog_product", "summary_short", "option_tokens", "content_hash", "variants", "options"]
@@ -13,7 +14,7 @@ STORED = ["store_slug", "product_id", "handle", "title", "url", "tags", "search_
 
 def refresh_batch(spark: SparkSession, bodies: DataFrame, catalog_path: str, version: int) -> None:
     """One batch of feed bodies (store_slug, store_url, body) merged into the catalog; versions are whole tables, the last one is current."""
-    raw = feeds.map_feed(io.explode_feed(bodies)).withColumn("seq", F.monotonically_increasing_id())
+    raw = workloads.raw_candidates(io.explode_feed(bodies), None)
     new = dedup.dedup(feeds.normalize_products(raw)).select(*STORED)
     before = f"{catalog_path}/v{version - 1}"
     path = spark._jvm.org.apache.hadoop.fs.Path(before)
