@@ -13,7 +13,7 @@ from . import views as V
 from .basket_queries import SQL_CLOSED, SQL_LINES
 from .catalog_queries import feed_bodies
 from .column_queries import SQL_SHOP_URL, shop_url, sql_part, sql_score, sql_url
-from .search_queries import ORACLES as SEARCH_ORACLES, store_queries
+from .search_queries import ORACLES as SEARCH_ORACLES, SQL_ROUTED, SQL_SCORED, hybrid
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,7 +84,15 @@ def d4_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.extract_links(p.withColumn("body", F.when(F.col("page_id") % 2 == 0, put("products")).otherwise(put("collections"))))
 
 
-@query()
+SQL_COLLECTION_LINKS = f"""link_pages as (select {sql_part('url', 2)} as store_slug, url, replace(html, 'href="/', 'href="/collections/') as body from pages),
+raw as (select store_slug, url as page_url, lower({sql_part('url', 1)}) || '://' || {sql_part('url', 2)} || unnest(list_distinct(regexp_extract_all(body, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']+)["'']', 1) || regexp_extract_all(body, '(?i)["''](/[^"'']*/(?:products?|collections)/[^"'']+)["'']', 1))) as u from link_pages),
+links as (select distinct store_slug, page_url, {sql_url('u')} as url from raw where contains(lower(u), '/collections/') and not (contains(lower(u), '/products/') or contains(lower(u), '/product/') or contains(lower(u), 'variant=')))"""
+
+
+@query(f"""with recursive {SQL_COLLECTION_LINKS}, seeds as (select *, row_number() over (partition by store_slug order by case when regexp_matches(page_url, '/collections/all/?$') then 0 else 1 end, page_url) as n from (select distinct store_slug, page_url from links)),
+walk as (select store_slug, page_url as url, 0 as depth from seeds where n <= 17 union select w.store_slug, l.url, depth + 1 from walk w join links l on l.store_slug = w.store_slug and l.page_url = w.url where depth < 12),
+best as (select store_slug, url, min(depth) as depth from walk group by 1, 2)
+select store_slug, url, depth::int as depth from (select *, row_number() over (partition by store_slug order by depth, url) as n from best) where n <= 12""")
 def d5_expand_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pages(spark, sf_dir)
     links = X.extract_links(p.withColumn("body", F.replace("body", F.lit('href="/'), F.lit('href="/collections/'))))
@@ -209,9 +217,11 @@ def w1_refresh_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("store_slug", "handle", "product_id", "title", "price_min", "price_max", "available", "source")
 
 
-@query(SEARCH_ORACLES["s9_search_v2"])
+@query(SEARCH_ORACLES["s9_search_v2"].replace(SQL_SCORED, SQL_ROUTED))
 def w2_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = workloads.ranked_search(V.full_products(spark, sf_dir), store_queries(spark, sf_dir), V.stores(spark, sf_dir))
+    """Keyword and vector rankings fused, for questions to each store and to none, which are routed to one."""
+    products, asked = hybrid(spark, sf_dir)
+    found = workloads.ranked_search(products, asked, V.stores(spark, sf_dir))
     return found.select("query_id", "rank", "product_id", "price_min", "price_max", "available", F.round("total", 6).alias("total"))
 
 

@@ -60,7 +60,16 @@ def s3_fts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fts_rank(posts, asked, S.fts_match(posts, asked), asked.select("query_id", F.lit(50).alias("k"))).select("query_id", "product_id", "rank")
 
 
-@query()
+@query(rf"""with {SQL_DOC_WORDS}, terms(n, t, term) as (values (0, 1, 'and'), (0, 2, 'the'), (1, 1, 'of'), (2, 1, 'der'), (2, 2, 'la'), (2, 3, 'para'), (3, 1, 'of'), (3, 2, 'the')),
+phrase as (select distinct x.product_id from words x join words y on x.product_id = y.product_id and y.pos = x.pos + 1 where x.term = 'of' and y.term = 'the'),
+has as (select product_id, max((term = 'the')::int) * max((term = 'and')::int) as q0, max((term = 'of')::int) * (1 - max((term = 'token')::int)) as q1, max((term in ('der', 'para', 'la'))::int) as q2 from words group by 1),
+hits as (select n, store_slug, product_id, t, pos from words join terms using (term) join has using (product_id) where case n when 0 then q0 when 1 then q1 when 2 then q2 else (product_id in (from phrase))::int end = 1),
+near as (select * from hits qualify row_number() over (partition by n, product_id, t order by pos) <= 256),
+width as (select n, product_id, count(distinct t) as k, count(*) as places from near group by 1, 2),
+ends as (select n, store_slug, product_id, pos, k, places, max(case when t = 1 then pos end) over w as a, max(case when t = 2 then pos end) over w as b, max(case when t = 3 then pos end) over w as c from near join width using (n, product_id) window w as (partition by n, product_id order by pos)),
+covers as (select n, store_slug, product_id, k, places, least(a, b, c) as s, min(pos) as e from ends where (a is not null)::int + (b is not null)::int + (c is not null)::int = k group by all),
+scores as (select n, store_slug, product_id, case when any_value(k) = 1 then any_value(places)::double else list_reduce(list(1.0::double / (1 + greatest(0, e - s + 1 - k)) order by e), lambda x, y: x + y) end as score from covers group by 1, 2, 3)
+select store_slug || '/' || n as query_id, product_id, rank from (select *, row_number() over (partition by store_slug, n order by score desc, product_id)::int as rank from scores) where rank <= 50""")
 def s3_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts, asked = S.postings(doc_items(spark, sf_dir)), doc_queries(spark, sf_dir, DOC_QUERIES)
     return S.fts_rank(posts, asked, S.fts_match(posts, asked), asked.select("query_id", F.lit(50).alias("k"))).select("query_id", "product_id", "rank")
@@ -132,27 +141,26 @@ def _values() -> str:
     return ", ".join(f"({i}, {', '.join(map(lit, row))})" for i, row in enumerate(ASKED))
 
 
-SQL_ASKED = (
-    SQL_TOKENS
-    + rf""", asked as (select store_slug || '/' || n as query_id, store_slug, text, available_only, budget_min::bigint as budget_min, budget_max::bigint as budget_max, tone, sort, lim::int as lim from (select distinct store_slug from products),
+SQL_OWN = rf"""asked as (select store_slug || '/' || n as query_id, store_slug, text, available_only, budget_min::bigint as budget_min, budget_max::bigint as budget_max, tone, sort, lim::int as lim from (select distinct store_slug from products),
   (values {_values()}) q(n, text, available_only, budget_min, budget_max, tone, sort, lim)),
-texts as (select *, title || ' ' || handle || ' ' || vendor || ' ' || product_type || ' ' || array_to_string(tags, ' ') as search_text from products),
-words as (select store_slug, product_id, unnest(list_filter(string_split_regex(lower(search_text), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) as term from texts),
-hits as (select a.query_id, w.store_slug, w.product_id, count(*) as n from asked a join words w on w.store_slug = a.store_slug and w.term = string_split(a.text, ' ')[1]
+"""
+SQL_TEXTS = r"""texts as (select *, title || ' ' || handle || ' ' || vendor || ' ' || product_type || ' ' || array_to_string(tags, ' ') as search_text from products),
+words as (select store_slug, product_id, unnest(list_filter(string_split_regex(lower(search_text), '[^\p{L}\p{N}]+'), lambda w: w <> '')) as term from texts),
+"""
+SQL_HITS = """hits as (select a.query_id, w.store_slug, w.product_id, count(*) as n from asked a join words w on w.store_slug = a.store_slug and w.term = string_split(a.text, ' ')[1]
   where not exists (select 1 from words x where a.text = 'blue -anvil' and x.term = 'anvil' and x.product_id = w.product_id) group by 1, 2, 3),
 ranked as (select *, row_number() over (partition by query_id order by n desc, product_id) as rank from hits)"""
-)
-SQL_SCORED = (
-    SQL_ASKED
-    + f""", cand as (select a.*, p.* exclude (store_slug), 1.0::double / (60 + rank) as score, greatest(1, least(8, coalesce(lim, 5))) as n_results from ranked r join asked a using (query_id) join products p on p.store_slug = r.store_slug and p.product_id = r.product_id
-  where rank <= greatest(100, greatest(1, least(8, coalesce(lim, 5))) * 20)),
-reasoned as (select *, case when available_only and not available then 'unavailable' when price_min > budget_max then 'over_budget' when price_max < budget_min then 'over_budget' end as reason,
+SQL_ASKED = f"{SQL_TOKENS}, {SQL_OWN}{SQL_TEXTS}{SQL_HITS}"
+
+SQL_TOTAL = f"""reasoned as (select *, case when available_only and not available then 'unavailable' when price_min > budget_max then 'over_budget' when price_max < budget_min then 'over_budget' end as reason,
   {SQL_BUDGET.format(lo='budget_min', hi='budget_max')}::double as fit from cand),
 toned as (select r.*, coalesce(list_has_any(string_split_regex(translate(lower(title || ' ' || product_type || ' ' || handle || ' ' || array_to_string(tags, ' ') || ' ' || array_to_string(option_tokens, ' ')), '/-', '  '), '\\s+'),
   case tone when 'dark' then ['deep', 'rich', 'dark', 'berry', 'plum', 'cocoa', 'espresso', 'mahogany', 'fig', 'ember', 'vesper', 'brown'] when 'light' then ['light', 'fair', 'pink', 'peach', 'nude', 'cool', 'soft'] else [tone] end), false) and tone is not null as tone_hit,
   exists (select 1 from variants v where v.partkey = r.partkey and v.available) and contains(color, coalesce(tone, '?')) as color_hit from reasoned r join tokens using (partkey)),
 scored as (select *, 0.5 * score + 0.2 * fit + 0.15 * available::int + 0.1 * case when tone is null then 0.5 when tone_hit then 1.0 else 0.2 end + 0.05 as total from toned)"""
-)
+SQL_SCORED = f"""{SQL_ASKED}, cand as (select a.*, p.* exclude (store_slug), 1.0::double / (60 + rank) as score, greatest(1, least(8, coalesce(lim, 5))) as n_results from ranked r join asked a using (query_id) join products p on p.store_slug = r.store_slug and p.product_id = r.product_id
+  where rank <= greatest(100, greatest(1, least(8, coalesce(lim, 5))) * 20)),
+{SQL_TOTAL}"""
 
 
 @query(f"""with {SQL_ASKED}, f as (select *, row_number() over (partition by query_id order by rank) as place from ranked r join products p using (store_slug, product_id) join (select query_id, available_only, lim from asked) using (query_id)
@@ -224,3 +232,38 @@ def s15_route_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     color = F.split("title", " ")[0]
     asked = p.select(F.explode(F.array(F.struct(color.alias("query_id"), color.alias("text")), F.struct(F.concat(F.lit("x"), F.substring(color, 1, 3)).alias("query_id"), F.substring(color, 2, 2).alias("text")), F.struct(F.lit("none").alias("query_id"), F.lit("zzzz").alias("text")))).alias("q"))
     return S.route_queries(asked.select("q.*").distinct(), p, V.stores(spark, sf_dir))
+
+
+#: Questions without a store, besides those asked of each: one that words route, one that nothing but the stores' sizes does.
+ANY_STORE = ["red", "zzzz"]
+SQL_ROUTED = f"""{SQL_TOKENS}, {V.SQL_STORES.removeprefix(V.SQL_PRODUCTS).lstrip(", ")}, {SQL_OWN.replace("asked as", "own as", 1)}{SQL_TEXTS}
+asked as (select * from own union all
+  select 'any/0', (select store_slug from words where term = 'red' group by 1 order by count(distinct product_id) desc, store_slug limit 1), 'red', false, null, null, null, 'best_match', 8 union all
+  select 'any/1', (select slug from stores order by product_count desc, indexed_at desc nulls last, slug limit 1), 'zzzz', false, null, null, null, 'best_match', 8),
+{SQL_HITS},
+limits as (select query_id, greatest(1, least(8, coalesce(lim, 5))) as n_results from asked),
+vectors as (select a.query_id, a.store_slug, e.embedding from asked a join embeddings e on e.vec_id = ascii(right(a.query_id, 1)) + ascii(substring(a.query_id, length(a.query_id) - 2, 1))),
+near as (select q.query_id, p.store_slug, p.product_id, row_number() over (partition by q.query_id order by round(1 - list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 9), p.product_id) as rank
+  from vectors q join products p using (store_slug) join embeddings e on e.vec_id = p.partkey),
+both_ranks as (select query_id, store_slug, product_id, rank from ranked union all select query_id, store_slug, product_id, rank from near),
+fused as (select query_id, store_slug, product_id, sum(1.0::double / (60 + rank)) as score from both_ranks join limits using (query_id) where rank <= greatest(100, n_results * 20) group by all),
+placed as (select *, row_number() over (partition by query_id order by round(score, 12) desc, product_id) as place from fused),
+cand as (select a.*, p.* exclude (store_slug), score, n_results from placed f join asked a using (query_id) join limits using (query_id) join products p on p.store_slug = f.store_slug and p.product_id = f.product_id where place <= greatest(120, n_results * 20)),
+{SQL_TOTAL}"""
+
+
+def hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Products and questions with embeddings, where the table of vectors has one for them, and questions without a store."""
+    vectors = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    p = V.full_products(spark, sf_dir)
+    p = p.join(vectors, p.p_partkey == vectors.vec_id, "left").drop("vec_id")
+    own = store_queries(spark, sf_dir)
+    kinds = dict(own.dtypes)
+    fixed = {"available_only": False, "sort": "best_match", "limit": 8}
+    anywhere = spark.range(len(ANY_STORE)).select(
+        F.concat(F.lit("any/"), "id").alias("query_id"), F.element_at(F.array(*map(F.lit, ANY_STORE)), (F.col("id") + 1).cast("int")).alias("text"),
+        *[F.lit(fixed.get(c)).cast(kinds[c]).alias(c) for c in own.columns if c not in ("query_id", "text")],
+    )
+    asked = own.unionByName(anywhere)
+    near = F.ascii(F.right("query_id", F.lit(1))) + F.ascii(F.substr("query_id", F.length("query_id") - 2, F.lit(1)))
+    return p, asked.join(vectors, near == F.col("vec_id"), "left").drop("vec_id")
