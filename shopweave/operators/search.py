@@ -22,6 +22,8 @@ RRF_K = 60  # fixed value: the constant of reciprocal rank fusion
 PAYLOAD_BYTES = 12288
 #: Queries are sent to all tasks only up to so many at a time; more are joined by shuffles.
 BROADCAST_QUERIES = 100_000
+#: Vectors that are held against a block of queries at a time.
+SLICE = 2048
 
 
 def _few(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
@@ -146,13 +148,18 @@ def vector_topk(items: DataFrame, queries: DataFrame, k: int, block: int = 4096)
                 for store, own in b.groupby("store_slug"):
                     if store not in by_store:
                         continue
-                    v = np.array(own["embedding"].tolist(), np.float64)
-                    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                    d = np.round(1.0 - v @ q[by_store[store]].T, 9)  # equal vectors are equally far, whatever their place
-                    ids = own["product_id"].to_numpy()
-                    for c, j in enumerate(by_store[store]):
-                        top = np.lexsort((ids, d[:, c]))[:k]
-                        best.append(pd.DataFrame({"query_id": names[j], "store_slug": store, "product_id": ids[top], "distance": d[top, c]}))
+                    asked_here = by_store[store]
+                    for at in range(0, len(own), SLICE):
+                        some = own.iloc[at : at + SLICE]
+                        v = np.array(some["embedding"].tolist(), np.float64)
+                        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                        d = np.round(1.0 - v @ q[asked_here].T, 9)  # equal vectors are equally far, whatever their place
+                        ids = some["product_id"].to_numpy()
+                        last = np.partition(d, k - 1, axis=0)[k - 1] if len(d) > k else np.full(len(asked_here), np.inf)
+                        for c, j in enumerate(asked_here):
+                            near = np.nonzero(d[:, c] <= last[c])[0]  # the k nearest and what ties with the last of them
+                            top = near[np.lexsort((ids[near], d[near, c]))[:k]]
+                            best.append(pd.DataFrame({"query_id": names[j], "store_slug": store, "product_id": ids[top], "distance": d[top, c]}))
                 if len(best) > 256:
                     best = [_best(best, k)]
             if best:
