@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import texts
-from .license_texts import KNOWN, SPELLINGS
+from .license_texts import DIGESTS, KNOWN, SPELLINGS
 
 #: Patterns that Java and RE2 read alike. A copyright line names a year, a holder in brackets or the sign.
 COPYRIGHT = r"(^|\n)[^\p{L}\p{N}\n]*(copyright[ \t]*(\(c\)|©|[0-9<\[])|\(c\)[ \t]*(copyright|[0-9])|©|all rights reserved)[^\n]*"
@@ -36,7 +36,8 @@ def digest(text: Column) -> Column:
 def licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line, license_id, digest) for each whole text (line 0) and each whole line (from 1) that is a known one.
 
-    The digests of the known texts, a fixed small list, are broadcast. Only texts of
+    known: (licence, text); without it the listed texts and the listed digests of long
+    licences. The digests, a fixed small list, are broadcast. Only texts of
     known first words are spelt out and hashed, which loses none: equal digests have
     equal first words. Null texts count as empty; texts without a word never match;
     a text of one line gives line 0 and line 1; repeated rows match each; an empty
@@ -44,7 +45,10 @@ def licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col
     """
     spark = docs.sparkSession
     listed = spark.createDataFrame([(i, t, t.strip()) for i, t in (known or KNOWN)], "license_id string, text string, key string")
-    listed = listed.select("license_id", digest(F.col("text")).alias("digest"), first_words(plain(F.col("text"))).alias("start")).dropDuplicates(["digest", "license_id"])
+    listed = listed.select("license_id", digest(F.col("text")).alias("digest"), first_words(plain(F.col("text"))).alias("start"))
+    if not known:
+        listed = listed.unionByName(spark.createDataFrame([(i, d, f" {s} ") for i, s, d in DIGESTS], "license_id string, digest string, start string"))
+    listed = listed.dropDuplicates(["digest", "license_id"])
     rows = texts(docs, id_col, text_col)
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     units = rows.select("doc_id", F.lit(0).alias("line"), "text").unionByName(lines.withColumn("line", F.col("line") + 1))
@@ -66,8 +70,9 @@ def oracle(quote: Callable[[str], str] = lambda s: "'" + s.replace("'", "''") +
     for other, usual in PAIRS:
         spell = f"replace({spell}, {quote(f' {other} ')}, {quote(f' {usual} ')})"
     known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    digests = ", ".join(f"({quote(i)}, {quote(d)})" for i, _, d in DIGESTS)
     return f"""
-with known as (select distinct license_id, sha256({spell}) as digest from (values {known}) k(license_id, t)),
+with known as (select distinct license_id, sha256({spell}) as digest from (values {known}) k(license_id, t) union select * from (values {digests}) d(license_id, digest)),
 units as (
   select doc_id, 0 as line, coalesce(text, '') as t from documents
   union all

@@ -1,4 +1,4 @@
-"""Licence texts and one-line notices, and spellings that licence matching holds equal."""
+"""Licence texts and one-line notices, digests of long licences, and spellings that licence matching holds equal."""
 
 # fixed values: equivalent spellings (left is read as right), single words in lower case
 SPELLINGS = """
@@ -19,6 +19,7 @@ favour favor
 favourite favorite
 fulfil fulfill
 fulfilment fulfillment
+https http
 initialise initialize
 judgement judgment
 labelling labeling
@@ -131,3 +132,27 @@ See the License for the specific language governing permissions and limitations
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
+
+# fixed values: (licence, first two words, canonical digest) of long licences, as published: whole, and up to the end of the terms
+DIGESTS = [
+    ("Apache-2.0", "apache license", "2a0e79f9ef770a2c026a8996e68c55752825d9e5dd24151e44f7800e98620598"),
+    ("Apache-2.0", "apache license", "336afa221a66766e5d71af3cfb899191b0659de3327b5746e8790a2eaf85fe05"),
+    ("Artistic-1.0-Perl", "the artistic", "ab9e0a4960f3366c6e09c86510fe9dd469d242185a905b440792fcc4a45b46ef"),
+    ("BSD-3-Clause", "redistribution and", "48c8a35a4353dae3524b849cfd2c781b3c935e964f465e15fb0bc23f23cf96ad"),
+    ("CC0-1.0", "creative commons", "3e6e368fd02abd67188d1bf25b196ac79f5782b2079e9579134c5e3f71f9ab74"),
+    ("GFDL-1.2-only", "gnu free", "763fd67087ee54c1928a00c7e66bd59138dfa48fb7cf636fe42a828b1c489bcd"),
+    ("GFDL-1.3-only", "gnu free", "d76fb8c45f11b761aa1870334672b79fa828bbbd142bbd27f820e7f118b97ad6"),
+    ("GPL-1.0-only", "gnu general", "3b7c00b08d5c6de2349faf7a31bb6e49ff8a2273a7cfdd16f96859720b00d9ef"),
+    ("GPL-1.0-only", "gnu general", "f4d5622e8488e9135bbad4562a4dddb47eb06044ce19b0c0d2064503f5933de5"),
+    ("GPL-2.0-only", "gnu general", "9aae015a6322bbdec1a61c624a33b2c7d3b56283db1642e6e18d7820d4957b61"),
+    ("GPL-2.0-only", "gnu general", "3c9f4977ae65ec51dce2737640196c8c2d45aa4ba394ba71168fae3b8a4cc93f"),
+    ("GPL-3.0-only", "gnu general", "ab75edbf73a72121bdba9fb3af792f1b33a1533edb22a286043c7478d958ee63"),
+    ("GPL-3.0-only", "gnu general", "5d527914d4539f34149cd198edb1e5de52322047d37781b3bd66403f12dc40e1"),
+    ("LGPL-2.0-only", "gnu library", "2f0a8618627c179dd830ddb8fa74635ae037468a5880f3b46a73915ae1990c24"),
+    ("LGPL-2.0-only", "gnu library", "d449b5d838ee652333de62d88304ddcf67663cda782f1c7257ee9c9dae33dfb4"),
+    ("LGPL-2.1-only", "gnu lesser", "56d21d93f6012cbd7f1195b72528da245ccf843598ff833a87101eb36863f95b"),
+    ("LGPL-2.1-only", "gnu lesser", "a7bd7bcc6f59de5c915482fc3cacdd5a1b6b27c24354df724c2ef3672dce9475"),
+    ("LGPL-3.0-only", "gnu lesser", "f0cae4b317f4f263dca8e79625f8d9c7618c87e0ca6665c79b0f1c12ac856938"),
+    ("MPL-1.1", "mozilla public", "37c464d014e7991cce21efad605e9a1549cdb4a1f6536357a7290d78a40ee996"),
+    ("MPL-2.0", "mozilla public", "7eb42cd7f8edde0699d303a531b8d604a4370bd579346f5e1d615398ffe83791"),
+]

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 from urllib.parse import quote
 
 import numpy as np
@@ -110,6 +111,20 @@ def test_licenses(spark):
     assert LS.licenses(table(spark, [])).count() == 0
 
 
+LONG = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause"}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses/GPL-3").exists(), reason="the system has no licence texts")
+def test_long_licenses(spark):
+    """Whole licences, joined into one line, shouted and of British spelling; one with a word more is none."""
+    texts = {n: Path("/usr/share/common-licenses", f).read_text() for f, n in LONG.items()}
+    rows = [(k, t) for k, t in enumerate(texts.values())]
+    rows += [(10 + k, "Copyright (C) 2020 Someone\n" + re.sub(r"\bLICENSE\b", "licence", t.upper()).replace("HTTP:", "https:")) for k, t in rows]
+    rows += [(20 + k, t + " besides") for k, t in rows[: len(texts)]]
+    want = [(k + more, n) for more in (0, 10) for k, n in enumerate(texts)]
+    assert sorted((r.doc_id, r.license_id) for r in LS.licenses(table(spark, rows)).where("line = 0").collect()) == sorted(want)
+
+
 def base_spans(t):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
