@@ -8,6 +8,7 @@ from ..functions.columns import product_link
 from .catalog import resolve_variants
 
 MOST = 99  # fixed value: the largest quantity of one change
+STRETCH = 4096  # seqs of one basket that are looked through together
 
 
 def bounded(quantity: Column) -> Column:
@@ -28,16 +29,14 @@ def fold_lines(events: DataFrame) -> DataFrame:
 
     events: (basket_id, seq, op, variant_id, quantity, ...), op add, set, remove or
     clear, in the order of seq. Adds sum up, a set replaces the quantity of a line that
-    is there, remove, clear and a set below 1 delete it. A clear is dealt to each
-    variant of its basket, so every line is folded by itself, partitioned by basket
-    and variant.
+    is there, remove, clear and a set below 1 delete it. Of the clears only the last of
+    a basket counts: what comes before it is left out before any line is folded, and
+    every line is folded by itself, partitioned by basket and variant.
     """
     events = checked_changes(events).where("reason is null and op in ('add', 'set', 'remove', 'clear')")
-    lines = events.where("op <> 'clear'")
-    variants = lines.select("basket_id", "variant_id").distinct()
-    clears = events.where("op = 'clear'").drop("variant_id").join(variants, "basket_id").select(*lines.columns)
-    log = lines.unionByName(clears)
-    gone = F.col("op").isin("remove", "clear") | ((F.col("op") == "set") & (F.col("quantity") <= 0))
+    cleared = events.where("op = 'clear'").groupBy("basket_id").agg(F.max("seq").alias("_cleared"))
+    log = events.where("op <> 'clear'").join(cleared, "basket_id", "left").where("_cleared is null or seq > _cleared").drop("_cleared")
+    gone = (F.col("op") == "remove") | ((F.col("op") == "set") & (F.col("quantity") <= 0))
     whole = W.partitionBy("basket_id", "variant_id")
     log = log.withColumn("_gone", F.max(F.when(gone, F.col("seq"))).over(whole)).where("_gone is null or seq > _gone")
     # what is left has no delete: adds and sets after the first add
@@ -52,25 +51,43 @@ def fold_lines(events: DataFrame) -> DataFrame:
 def closings(events: DataFrame, platforms: DataFrame | None = None) -> DataFrame:
     """(basket_id, closed_seq): the first marked checkout of a basket with a line in it, on the supported platform.
 
-    platforms: (basket_id, platform); without it every basket is on that platform. The
-    live lines at each checkout are a running sum of lines born less lines dead.
+    platforms: (basket_id, platform); without it every basket is on that platform. A
+    checkout counts if some add stands before it with neither a delete of its variant
+    nor a clear of the basket in between; of the checkouts behind an add the next one
+    decides. Deletes are looked up by basket and variant, the next checkout and clear
+    in stretches of each basket's log, so a long log is not one task's work.
     """
     log = checked_changes(events).where("reason is null")
-    lines = log.where("op in ('add', 'set', 'remove')")
-    variants = lines.select("basket_id", "variant_id").distinct()
-    clears = log.where("op = 'clear'").select("basket_id", "seq", "op").join(variants, "basket_id").withColumn("quantity", F.lit(None).cast("long"))
-    every = lines.select("basket_id", "seq", "op", "variant_id", F.col("quantity").cast("long").alias("quantity")).unionByName(clears.select("basket_id", "seq", "op", "variant_id", "quantity"))
-    gone = F.col("op").isin("remove", "clear") | ((F.col("op") == "set") & (F.col("quantity") <= 0))
-    w = W.partitionBy("basket_id", "variant_id").orderBy("seq")
-    state = F.when(gone, 0).when(F.col("op") == "add", 1)  # a set of a positive quantity changes nothing here
-    every = every.withColumn("_now", F.last(state, True).over(w))
-    steps = every.withColumn("_step", F.coalesce("_now", F.lit(0)) - F.coalesce(F.lag("_now").over(w), F.lit(0))).where("_step <> 0").select("basket_id", "seq", "_step", F.lit(False).alias("_ends"))
-    ends = log.where("op = 'checkout' and mark").select("basket_id", "seq", F.lit(0).alias("_step"), F.lit(True).alias("_ends"))
-    live = F.sum("_step").over(W.partitionBy("basket_id").orderBy("seq").rangeBetween(W.unboundedPreceding, 0))
-    out = steps.unionByName(ends).withColumn("_live", live).where("_ends and _live > 0")
+    gone = (F.col("op") == "remove") | ((F.col("op") == "set") & (F.col("quantity") <= 0))
+    lines = log.where("op in ('add', 'set', 'remove')").withColumn("_gone", F.when(gone, F.col("seq")))
+    ahead = W.partitionBy("basket_id", "variant_id").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)  # read backwards, so what was seen last is next
+    adds = lines.withColumn("_until", F.last("_gone", True).over(ahead)).where("op = 'add'")
+    stops = log.where("op = 'clear' or op = 'checkout' and mark")
+    out = _next_stops(adds.select("basket_id", "seq", "_until"), stops.select("basket_id", "seq", "op"))
+    out = out.where("_checkout is not null and (_until is null or _checkout < _until) and (_clear is null or _checkout < _clear)")
     if platforms is not None:
         out = out.join(platforms.where("platform = 'shopify'").select("basket_id"), "basket_id", "left_semi")
-    return out.groupBy("basket_id").agg(F.min("seq").alias("closed_seq"))
+    return out.groupBy("basket_id").agg(F.min("_checkout").alias("closed_seq"))
+
+
+def _next_stops(adds: DataFrame, stops: DataFrame) -> DataFrame:
+    """adds with _checkout and _clear, the seq of the next marked checkout and clear of the basket.
+
+    Each basket's log is cut into stretches of STRETCH seqs. A stretch is looked
+    through by itself; what it lacks is taken from the first stops of later ones, of
+    which there is one row a stretch.
+    """
+    kinds = {"_checkout": "checkout", "_clear": "clear"}
+    seqs = {c: F.when(F.col("op") == op, F.col("seq")) for c, op in kinds.items()}
+    stretch = F.floor(F.col("seq") / STRETCH).alias("_stretch")
+    rows = adds.withColumn("op", F.lit("add")).unionByName(stops, allowMissingColumns=True).select("*", stretch)
+    firsts = rows.groupBy("basket_id", "_stretch").agg(*[F.min(s).alias(c) for c, s in seqs.items()])
+    later = W.partitionBy("basket_id").orderBy(F.desc("_stretch")).rowsBetween(W.unboundedPreceding, -1)
+    firsts = firsts.select("basket_id", "_stretch", *[F.last(c, True).over(later).alias(f"{c}_later") for c in kinds])
+    here = W.partitionBy("basket_id", "_stretch").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.last(s, True).over(here).alias(c) for c, s in seqs.items()]).where("op = 'add'")
+    rows = rows.join(firsts, ["basket_id", "_stretch"], "left")
+    return rows.select("basket_id", "seq", "_until", *[F.coalesce(c, f"{c}_later").alias(c) for c in kinds])
 
 
 def open_events(events: DataFrame, closed: DataFrame) -> DataFrame:
