@@ -201,3 +201,26 @@ def test_refresh_by_stream(spark, tmp_path):
         stream = spark.readStream.schema("store_slug string, store_url string, body string").parquet(str(tmp_path / "in"))
         stream_refresh(spark, stream, str(tmp_path / "catalog"), str(tmp_path / "state")).awaitTermination()
         assert [r.price_min for r in spark.read.parquet(str(tmp_path / f"catalog/v{i}")).collect()] == [int(float(price) * 100)]
+
+
+def test_refresh_writes_only_the_stores_of_a_batch(spark, tmp_path, monkeypatch):
+    import json
+
+    from shopweave.streaming import refresh
+
+    monkeypatch.setattr(refresh, "FULL", 3)
+    at = str(tmp_path / "catalog")
+
+    def batch(version, *landed):
+        rows = [(s, f"https://{s}.com", json.dumps({"products": [{"id": i, "handle": f"h{i}", "title": "A", "variants": [{"id": i, "price": price}]}]})) for s, i, price in landed]
+        refresh.refresh_batch(spark, spark.createDataFrame(rows, "store_slug string, store_url string, body string"), at, version)
+        return {(r.store_slug, r.handle): r.price_min for r in refresh.current(spark, at, version).collect()}
+
+    assert batch(0, ("s", 1, "1.00"), ("t", 1, "2.00")) == {("s", "h1"): 100, ("t", "h1"): 200}
+    want = {("s", "h1"): 150, ("s", "h2"): 300, ("t", "h1"): 200}
+    assert batch(1, ("s", 1, "1.50"), ("s", 2, "3.00")) == want
+    assert batch(1, ("s", 1, "1.50"), ("s", 2, "3.00")) == want  # run again
+    assert {r.store_slug for r in spark.read.parquet(f"{at}/v1").collect()} == {"s"}
+    assert batch(2) == want
+    assert batch(3, ("t", 1, "2.50")) == want | {("t", "h1"): 250}
+    assert {r.store_slug for r in spark.read.parquet(f"{at}/v3").collect()} == {"s", "t"}
