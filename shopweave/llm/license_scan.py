@@ -48,11 +48,11 @@ def licenses(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col
     listed = listed.select("license_id", digest(F.col("text")).alias("digest"), first_words(plain(F.col("text"))).alias("start"))
     if not known:
         listed = listed.unionByName(spark.createDataFrame([(i, d, f" {s} ") for i, s, d in DIGESTS], "license_id string, digest string, start string"))
-    listed = listed.dropDuplicates(["digest", "license_id"])
+    listed = listed.where("trim(start) <> ''").dropDuplicates(["digest", "license_id"])  # what has no word matches nothing
     rows = texts(docs, id_col, text_col)
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     units = rows.select("doc_id", F.lit(0).alias("line"), "text").unionByName(lines.withColumn("line", F.col("line") + 1))
-    units = units.select("doc_id", "line", plain(F.col("text")).alias("plain")).where("plain <> '  '")
+    units = units.select("doc_id", "line", plain(F.col("text")).alias("plain"))
     starts = F.broadcast(listed.select("start").distinct())  # no more than the known texts
     units = units.withColumn("start", first_words(F.col("plain"))).join(starts, "start", "left_semi")
     units = units.select("doc_id", "line", F.sha2(spelt(F.col("plain")), 256).alias("digest"))
