@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, interpolation_lm, license_scan, line_dedup, packing, pii_surrogates, quality_fm, secret_scan, simhash_bktree
+from . import decontaminate, interpolation_lm, license_scan, line_dedup, merkle, packing, pii_surrogates, quality_fm, secret_scan, simhash_bktree
 from . import fingerprints as minhash
 from .common import table
 
@@ -59,6 +59,10 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_bktree": op8_simhash_bktree,
     "op9_packing": op9_packing,
     "op10_string_tiling": op10_string_tiling,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle()}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op11_merkle_manifest": merkle.oracle()}
