@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, interpolation_lm, license_scan, line_dedup, merkle, packing, pii_surrogates, quality_fm, secret_scan, simhash_bktree
+from . import decontaminate, interpolation_lm, license_scan, line_dedup, merkle, packing, pii_surrogates, quality_fm, secret_scan, simhash_bktree, spelling
 from . import fingerprints as minhash
 from .common import table
 
@@ -63,6 +63,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_string_tiling": op10_string_tiling,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op11_merkle_manifest": merkle.oracle()}
+ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op11_merkle_manifest": merkle.oracle(), "op12_spelling_variants": spelling.oracle()}
