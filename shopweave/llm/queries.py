@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, interpolation_lm, license_scan, line_dedup, merkle, packing, pii_surrogates, quality_fm, secret_scan, simhash_bktree, spelling
+from . import decontaminate, interpolation_lm, license_scan, line_dedup, merkle, packing, pii_surrogates, quality_fm, secret_scan, simhash_bktree, spelling, suffix_dedup
 from . import fingerprints as minhash
 from .common import table
 
@@ -67,6 +67,10 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.grouped(table(spark, sf_dir, "documents"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_license_scan": op2_license_scan,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_string_tiling": op10_string_tiling,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {"op2_license_scan": license_scan.oracle(), "op11_merkle_manifest": merkle.oracle(), "op12_spelling_variants": spelling.oracle()}
