@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -26,11 +27,6 @@ BROADCAST_QUERIES = 100_000
 SLICE = 2048
 
 
-def _few(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
-    """df marked for broadcast if a count shows that it is small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def words(text: Column) -> Column:
     """Runs of letters and digits in lower case, no stemming, no stop words."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -58,63 +54,82 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     return rows.where("size(terms) > 0")
 
 
-def _matches(posts: DataFrame, parts: DataFrame) -> DataFrame:
-    """(query_id, store_slug, product_id, clause, negative, i) where a product has all terms of a clause's alternative side by side."""
-    asked = parts.select("query_id", "store_slug", "clause", "negative", "i", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
-    hits = posts.join(_few(asked), ["store_slug", "term"])
-    places = hits.groupBy("query_id", "store_slug", "product_id", "clause", "negative", "i", (F.col("pos") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("k"), F.max("n").alias("n"))
-    return places.where("k = n").select("query_id", "store_slug", "product_id", "clause", "negative", "i").distinct()
+class Hits(NamedTuple):
+    """Places of asked terms: rows (query_id, store_slug, product_id, pos, t, want, uses), dealt by query and product, and the most positive terms of a query."""
+
+    rows: DataFrame
+    terms: int
 
 
-def fts_match(posts: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, store_slug, product_id) of the products that match a query: every clause, none excluded."""
+def asked_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, store_slug, term, t, want, uses): one row per term of a query.
+
+    t numbers the terms that are not excluded, want is how many clauses are asked for, uses
+    lists where the term stands in the query: clause, alternative, place in it and its length.
+    """
     parts = parse_queries(queries)
-    found = _matches(posts, parts)
-    wanted = parts.where("not negative").groupBy("query_id").agg(F.countDistinct("clause").alias("want"))
-    good = found.where("not negative").groupBy("query_id", "store_slug", "product_id").agg(F.countDistinct("clause").alias("have"))
-    good = good.join(wanted, "query_id").where("have = want").select("query_id", "store_slug", "product_id")
-    return good.join(found.where("negative").select("query_id", "product_id").distinct(), ["query_id", "product_id"], "left_anti").select("query_id", "store_slug", "product_id")
+    clauses = F.size(F.collect_set(F.when(~F.col("negative"), F.col("clause"))).over(W.partitionBy("query_id")))
+    one = parts.withColumn("want", clauses).select("query_id", "store_slug", "want", "clause", "negative", "i", F.size("terms").alias("n"), F.posexplode("terms").alias("at", "term"))
+    uses = F.collect_list(F.struct("clause", "negative", "i", "at", "n"))
+    per_term = one.groupBy("query_id", "store_slug", "term", "want").agg(uses.alias("uses"), F.max(~F.col("negative")).alias("_counts"))
+    number = F.row_number().over(W.partitionBy("query_id", "_counts").orderBy("term"))
+    return per_term.withColumn("t", F.when(F.col("_counts"), number)).drop("_counts")
 
 
-@F.pandas_udf(T.DoubleType())
-def cover_density(places: pd.Series, terms: pd.Series) -> pd.Series:
-    """Sum over the minimal covers of a query's terms of 1 / (1 + other words inside); one term: how often it stands."""
+def fts_hits(posts: DataFrame, queries: DataFrame) -> Hits:
+    """The postings that queries ask for, scanned once for matching and ranking.
+
+    The asked terms are written, counted, and sent to all tasks only if they are few; hits
+    are dealt by query and product once, for all that follows.
+    """
+    asked = written(asked_terms(queries), "asked-terms")
+    size = asked.agg(F.count(F.lit(1)).alias("n"), F.max("t").alias("t")).first()
+    rows = posts.join(F.broadcast(asked) if size["n"] <= BROADCAST_QUERIES else asked, ["store_slug", "term"])
+    return Hits(rows.select("query_id", "store_slug", "product_id", "pos", "t", "want", "uses").repartition("query_id", "store_slug", "product_id"), size["t"] or 0)
 
-    def one(at: list, n: int) -> float:
-        if n <= 1:
-            return float(len(at))
-        last: dict[int, int] = {}
-        covers: list[tuple[int, int]] = []
-        for p in sorted(at, key=lambda x: x["pos"]):
-            last[p["term"]] = p["pos"]
-            if len(last) == n:
-                start = min(last.values())
-                if not covers or start > covers[-1][0]:
-                    covers.append((start, p["pos"]))
-        return float(sum(1.0 / (1 + max(0, e - s + 1 - n)) for s, e in covers))
 
-    return pd.Series([one(list(a), int(n)) for a, n in zip(places, terms, strict=True)])
+def fts_match(hits: Hits) -> DataFrame:
+    """(query_id, store_slug, product_id) of the products that match a query: every clause, none excluded.
+
+    A clause is met where all terms of an alternative stand side by side.
+    """
+    key = ["query_id", "store_slug", "product_id"]
+    used = hits.rows.select(*key, "want", "pos", F.explode("uses").alias("u")).select(*key, "want", "u.clause", "u.negative", "u.i", "u.n", "u.at", (F.col("pos") - F.col("u.at")).alias("start"))
+    places = used.groupBy(*key, "want", "clause", "negative", "i", "n", "start").agg(F.count(F.lit(1)).alias("k")).where("k = n")
+    met = places.groupBy(*key, "want").agg(F.countDistinct(F.when(~F.col("negative"), F.col("clause"))).alias("have"), F.max("negative").alias("excluded"))
+    return met.where("have > 0 and have = want and not excluded").select(*key)
 
 
-def fts_rank(posts: DataFrame, queries: DataFrame, matched: DataFrame, most: DataFrame | None = None, most_places: int = 256) -> DataFrame:
-    """(query_id, store_slug, product_id, rank) of matched products by cover density, then id.
+def cover_densities(hits: Hits, matched: DataFrame) -> DataFrame:
+    """(query_id, store_slug, product_id, score) of matched products: the sum over the minimal covers of the query's terms in it of 1 / (1 + other words inside).
 
-    most: (query_id, k), how many to keep. Of a term at most `most_places` first places count.
+    Places are gone through in order with the last place of each term so far; a cover ends
+    where the earliest of these moves. Of a single term that is how often it stands.
     """
-    terms = parse_queries(queries).where("not negative").select("query_id", "store_slug", F.explode("terms").alias("term")).distinct()
-    terms = terms.withColumn("t", F.dense_rank().over(W.partitionBy("query_id").orderBy("term")))
-    hits = posts.join(_few(terms), ["store_slug", "term"]).join(matched, ["query_id", "store_slug", "product_id"], "left_semi")
-    near = F.row_number().over(W.partitionBy("query_id", "store_slug", "product_id", "t").orderBy("pos"))
-    hits = hits.withColumn("_n", near).where(F.col("_n") <= most_places)
-    grouped = hits.groupBy("query_id", "store_slug", "product_id").agg(F.collect_list(F.struct("pos", F.col("t").alias("term"))).alias("places"), F.countDistinct("t").alias("n"))
-    scored = grouped.withColumn("score", F.when(F.col("n") <= 1, F.size("places").cast("double")).otherwise(cover_density("places", F.col("n").cast("int"))))
-    return ranked(scored, [F.desc("score"), F.col("product_id")], most)
+    key = ["query_id", "store_slug", "product_id"]
+    rows = hits.rows.where("t is not null").select(*key, "pos", "t").join(matched, key, "left_semi")
+    order = W.partitionBy(*key).orderBy("pos")
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    last = [f"_l{k}" for k in range(1, hits.terms + 1)]
+    rows = rows.withColumns({c: F.max(F.when(F.col("t") == k, F.col("pos"))).over(so_far) for k, c in enumerate(last, 1)})
+    seen = reduce(lambda x, y: x + y, [F.col(c).isNotNull().cast("int") for c in last], F.lit(0))
+    start = F.least(*last) if len(last) > 1 else F.col(last[0]) if last else F.lit(None).cast("int")
+    rows = rows.select(*key, "pos", seen.alias("seen"), start.alias("start"))
+    rows = rows.withColumns({"width": F.max("seen").over(W.partitionBy(*key)), "before": F.lag(F.struct("seen", "start")).over(order)})
+    new = (F.col("seen") == F.col("width")) & (F.coalesce(F.col("before.seen") < F.col("width"), F.lit(True)) | (F.col("start") > F.col("before.start")))
+    other = F.greatest(F.lit(0), F.col("pos") - F.col("start") + 1 - F.col("width"))
+    return rows.where(new).groupBy(*key).agg(F.sum(1.0 / (1 + other)).alias("score"))
+
+
+def fts_rank(hits: Hits, matched: DataFrame, most: DataFrame | None = None) -> DataFrame:
+    """(query_id, store_slug, product_id, rank) of matched products by cover density, then id. most: (query_id, k), how many to keep."""
+    return ranked(cover_densities(hits, matched), [F.desc("score"), F.col("product_id")], most)
 
 
 def ranked(rows: DataFrame, order: list[Column], most: DataFrame | None) -> DataFrame:
     out = rows.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
     if most is not None:
-        out = out.join(_few(most), "query_id").where(F.col("rank") <= F.col("k"))
+        out = out.join(most, "query_id").where(F.col("rank") <= F.col("k"))
     return out.select("query_id", "store_slug", "product_id", "rank")
 
 
@@ -184,7 +199,7 @@ def rrf_fuse(*rankings: DataFrame, most: DataFrame | None = None, k: int = RRF_K
     fused = rows.groupBy("query_id", "store_slug", "product_id").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"))
     fused = fused.withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "product_id")))
     if most is not None:
-        fused = fused.join(_few(most), "query_id").where(F.col("place") <= F.col("k")).drop("k")
+        fused = fused.join(most, "query_id").where(F.col("place") <= F.col("k")).drop("k")
     return fused
 
 
@@ -206,14 +221,15 @@ def candidates(products: DataFrame, queries: DataFrame, version: int = 2) -> Dat
     shop = products.where(F.coalesce("is_catalog_product", F.lit(True)))
     posts = postings(shop)
     most = sized.select("query_id", F.col("n_candidates").alias("k"))
-    rankings = [fts_rank(posts, sized, fts_match(posts, sized), most)]
+    hits = fts_hits(posts, sized)
+    rankings = [fts_rank(hits, fts_match(hits), most)]
     if "embedding" in shop.columns and "embedding" in sized.columns:
         k = 1000 if version == 1 else 160  # no query has more candidates
         near = vector_topk(shop, sized, k).join(most, "query_id").where(F.col("rank") <= F.col("k"))
         rankings.append(near)
     fused = rrf_fuse(*rankings, most=sized.select("query_id", F.col("n_fused").alias("k")))
     asked = sized.drop("store_slug", *(["embedding"] if "embedding" in sized.columns else []))
-    return fused.join(_few(asked), "query_id").join(shop.drop("embedding"), ["store_slug", "product_id"])
+    return fused.join(asked, "query_id").join(shop.drop("embedding"), ["store_slug", "product_id"])
 
 
 def excluded_reason(row_available: Column) -> Column:
@@ -306,11 +322,8 @@ def route_queries(queries: DataFrame, products: DataFrame, stores: DataFrame) ->
     the keyword rung has missed, sent in blocks as the asked side.
     """
     shop = products.where(F.coalesce("is_catalog_product", F.lit(True)))
-    parts = parse_queries(queries.withColumn("store_slug", F.lit("")))
-    found = _matches(postings(shop).withColumns({"product_id": F.concat_ws("\u0001", "store_slug", "product_id"), "store_slug": F.lit("")}), parts)
-    wanted = parts.where("not negative").groupBy("query_id").agg(F.countDistinct("clause").alias("want"))
-    good = found.where("not negative").groupBy("query_id", "product_id").agg(F.countDistinct("clause").alias("have")).join(wanted, "query_id").where("have = want")
-    good = good.join(found.where("negative").select("query_id", "product_id").distinct(), ["query_id", "product_id"], "left_anti")
+    posts = postings(shop).withColumns({"product_id": F.concat_ws("\u0001", "store_slug", "product_id"), "store_slug": F.lit("")})
+    good = fts_match(fts_hits(posts, queries.withColumn("store_slug", F.lit(""))))
     counted = good.groupBy("query_id", F.substring_index("product_id", "\u0001", 1).alias("store_slug")).agg(F.count(F.lit(1)).alias("n"))
     first = lambda df: df.groupBy("query_id").agg(F.min_by("store_slug", F.struct(F.negative("n"), "store_slug")).alias("store_slug"))
     by_words = first(counted)

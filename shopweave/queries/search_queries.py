@@ -50,29 +50,30 @@ def s1_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 phrase as (select distinct x.store_slug, x.product_id from words x join words y on x.product_id = y.product_id and y.pos = x.pos + 1 where x.term = 'of' and y.term = 'the')
 select store_slug || '/0' as query_id, product_id from has where the = 1 and a = 1 union all select store_slug || '/1', product_id from has where o = 1 and t = 0 union all select store_slug || '/2', product_id from has where alt = 1 union all select store_slug || '/3', product_id from phrase""")
 def s2_fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.fts_match(S.postings(doc_items(spark, sf_dir)), doc_queries(spark, sf_dir, DOC_QUERIES)).select("query_id", "product_id")
+    return S.fts_match(S.fts_hits(S.postings(doc_items(spark, sf_dir)), doc_queries(spark, sf_dir, DOC_QUERIES))).select("query_id", "product_id")
 
 
 @query(f"""with {SQL_DOC_WORDS}, n as (select store_slug || '/' || case term when 'the' then 0 else 1 end as query_id, product_id, count(*) as n from words where term in ('the', 'de') group by 1, 2)
 select * from (select query_id, product_id, row_number() over (partition by query_id order by n desc, product_id)::int as rank from n) where rank <= 50""")
 def s3_fts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts, asked = S.postings(doc_items(spark, sf_dir)), doc_queries(spark, sf_dir, ["the", "de"])
-    return S.fts_rank(posts, asked, S.fts_match(posts, asked), asked.select("query_id", F.lit(50).alias("k"))).select("query_id", "product_id", "rank")
+    asked = doc_queries(spark, sf_dir, ["the", "de"])
+    hits = S.fts_hits(S.postings(doc_items(spark, sf_dir)), asked)
+    return S.fts_rank(hits, S.fts_match(hits), asked.select("query_id", F.lit(50).alias("k"))).select("query_id", "product_id", "rank")
 
 
 @query(rf"""with {SQL_DOC_WORDS}, terms(n, t, term) as (values (0, 1, 'and'), (0, 2, 'the'), (1, 1, 'of'), (2, 1, 'der'), (2, 2, 'la'), (2, 3, 'para'), (3, 1, 'of'), (3, 2, 'the')),
 phrase as (select distinct x.product_id from words x join words y on x.product_id = y.product_id and y.pos = x.pos + 1 where x.term = 'of' and y.term = 'the'),
 has as (select product_id, max((term = 'the')::int) * max((term = 'and')::int) as q0, max((term = 'of')::int) * (1 - max((term = 'token')::int)) as q1, max((term in ('der', 'para', 'la'))::int) as q2 from words group by 1),
 hits as (select n, store_slug, product_id, t, pos from words join terms using (term) join has using (product_id) where case n when 0 then q0 when 1 then q1 when 2 then q2 else (product_id in (from phrase))::int end = 1),
-near as (select * from hits qualify row_number() over (partition by n, product_id, t order by pos) <= 256),
-width as (select n, product_id, count(distinct t) as k, count(*) as places from near group by 1, 2),
-ends as (select n, store_slug, product_id, pos, k, places, max(case when t = 1 then pos end) over w as a, max(case when t = 2 then pos end) over w as b, max(case when t = 3 then pos end) over w as c from near join width using (n, product_id) window w as (partition by n, product_id order by pos)),
+width as (select n, product_id, count(distinct t) as k, count(*) as places from hits group by 1, 2),
+ends as (select n, store_slug, product_id, pos, k, places, max(case when t = 1 then pos end) over w as a, max(case when t = 2 then pos end) over w as b, max(case when t = 3 then pos end) over w as c from hits join width using (n, product_id) window w as (partition by n, product_id order by pos)),
 covers as (select n, store_slug, product_id, k, places, least(a, b, c) as s, min(pos) as e from ends where (a is not null)::int + (b is not null)::int + (c is not null)::int = k group by all),
 scores as (select n, store_slug, product_id, case when any_value(k) = 1 then any_value(places)::double else list_reduce(list(1.0::double / (1 + greatest(0, e - s + 1 - k)) order by e), lambda x, y: x + y) end as score from covers group by 1, 2, 3)
 select store_slug || '/' || n as query_id, product_id, rank from (select *, row_number() over (partition by store_slug, n order by score desc, product_id)::int as rank from scores) where rank <= 50""")
 def s3_cover_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts, asked = S.postings(doc_items(spark, sf_dir)), doc_queries(spark, sf_dir, DOC_QUERIES)
-    return S.fts_rank(posts, asked, S.fts_match(posts, asked), asked.select("query_id", F.lit(50).alias("k"))).select("query_id", "product_id", "rank")
+    asked = doc_queries(spark, sf_dir, DOC_QUERIES)
+    hits = S.fts_hits(S.postings(doc_items(spark, sf_dir)), asked)
+    return S.fts_rank(hits, S.fts_match(hits), asked.select("query_id", F.lit(50).alias("k"))).select("query_id", "product_id", "rank")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

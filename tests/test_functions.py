@@ -126,9 +126,28 @@ def test_embedding_failures_give_nulls(spark):
     assert sorted(r.handle for r in found if r.embedding is None) == ["h2", "h3"]
 
 
+def plain_density(places):
+    """Sum over the minimal covers of (pos, term) places, as told in words: each start counts with its first end."""
+    n, last, covers = len({t for _, t in places}), {}, []
+    for p, t in sorted(places):
+        last[t] = p
+        if len(last) == n and (not covers or min(last.values()) > covers[-1][0]):
+            covers.append((min(last.values()), p))
+    return sum(1.0 / (1 + max(0, e - s + 1 - n)) for s, e in covers)
+
+
 def test_cover_density(spark):
-    rows = spark.createDataFrame([([{"pos": 0, "term": 1}, {"pos": 1, "term": 2}, {"pos": 5, "term": 1}], 2), ([{"pos": 4, "term": 1}], 1)], "places array<struct<pos:int,term:int>>, n int")
-    assert [r[0] for r in rows.select(search.cover_density("places", "n")).collect()] == [1 + 1 / 4, 1.0]
+    import random
+
+    rng = random.Random(7)
+    products = {"a": [(0, 1), (1, 2), (5, 1)], "b": [(4, 1)], "c": [(p, 1) for p in range(700)]}
+    for k in range(20):
+        products[f"r{k}"] = [(p, rng.randint(1, 1 + k % 4)) for p in range(0, 900) if rng.random() < 0.5]
+    rows = spark.createDataFrame([("q", "s", name, p, t) for name, places in products.items() for p, t in places], "query_id string, store_slug string, product_id string, pos int, t int")
+    rows = rows.repartition("query_id", "store_slug", "product_id")
+    found = search.cover_densities(search.Hits(rows, 4), rows.select("query_id", "store_slug", "product_id").distinct())
+    assert {r["product_id"]: r["score"] for r in found.collect()} == {name: plain_density(places) for name, places in products.items()}
+    assert plain_density(products["a"]) == 1 + 1 / 4 and plain_density(products["c"]) == 700
 
 
 def test_fusion_ignores_the_order_of_rankings(spark):
