@@ -146,7 +146,7 @@ def test_cover_density(spark):
     rows = spark.createDataFrame([("q", "s", name, p, t) for name, places in products.items() for p, t in places], "query_id string, store_slug string, product_id string, pos int, t int")
     rows = rows.repartition("query_id", "store_slug", "product_id")
     found = search.cover_densities(search.Hits(rows, 4), rows.select("query_id", "store_slug", "product_id").distinct())
-    assert {r["product_id"]: r["score"] for r in found.collect()} == {name: plain_density(places) for name, places in products.items()}
+    assert {r["product_id"]: r["score"] for r in found.collect()} == pytest.approx({name: plain_density(places) for name, places in products.items()}, rel=1e-12)
     assert plain_density(products["a"]) == 1 + 1 / 4 and plain_density(products["c"]) == 700
 
 
