@@ -8,6 +8,8 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,8 +30,10 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 _BREAK = r"(?:\r\n|\r|\n|\\r\\n|\\n)[ \t>]*"
 _WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{_BREAK}[A-Za-z0-9+/_-]++)++={{0,2}}")
 _BREAKS = re.compile(_BREAK)
-#: How base64 of compressed data starts: gzip, zlib, bzip2 and xz.
-_PACKED64 = ("H4s", "eA", "eF", "eJ", "eN", "Qlpo", "/Td6")
+#: How base64 of compressed data starts: gzip, zlib at its four levels, bzip2 and xz.
+_PACKED64 = re.compile(r"H4sI|eA[E-H]|eF[4-7]|eJ[w-z]|eN[o-r]|Qlpo[MNOQRS]|/Td6WFoA")
+#: Stretches of decoded bytes that can hold a match or a further layer: both are ASCII, and no match has fewer characters.
+_CLEAN = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
 #: First bytes of gzip, zlib, bzip2 and xz data.
 _PACKED = (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda", b"BZh", b"\xfd7zXZ\x00")
 
@@ -52,7 +56,7 @@ def base_spans(text: str) -> list[Span]:
 class Layer:
     """A decoded text and, for each of its characters, where it comes from in the document (None: the document itself)."""
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None, whole: tuple[int, int] | None = None, cut: bool = False, sure: bool = True):
+    def __init__(self, text: str, starts: array | None = None, ends: array | None = None, whole: tuple[int, int] | None = None, cut: bool = False, sure: bool = True):
         self.text, self.starts, self.ends = text, starts, ends
         # the one place that all characters come from; whether text stands before this one; whether it is no guess
         self.whole, self.cut, self.sure = whole, cut, sure
@@ -70,13 +74,13 @@ class Layer:
                 text += [self.text[at:s], new]
                 at = e
             return Layer("".join([*text, self.text[at:]]), whole=self.whole, cut=self.cut, sure=self.sure)
-        text, starts, ends, at = [], [], [], 0
+        text, starts, ends, at = [], array("q"), array("q"), 0
         own_s = self.starts if self.starts is not None else range(len(self.text))
         own_e = self.ends if self.ends is not None else range(1, len(self.text) + 1)
         for s, e, new, sources in [*parts, (len(self.text), len(self.text), "", [])]:
             text.append(self.text[at:s])
-            starts += own_s[at:s]
-            ends += own_e[at:s]
+            starts.extend(own_s[at:s])
+            ends.extend(own_e[at:s])
             text.append(new)
             for a, b in sources:
                 x, y = self.origin(a, b)
@@ -182,12 +186,12 @@ def _taken(chunks: Iterator[bytes], most: int) -> bytes:
     return b"".join(got)
 
 
-def _unfolded(data: bytes, window: int) -> Iterator[tuple[str, bool]]:
-    """(text, whether it is UTF-8): decoded data, unpacked as often as it is packed, in windows of about `window` bytes, each half over the one before.
+def _unfolded(data: bytes, window: int, chunks: Iterator[bytes] = iter(())) -> Iterator[tuple[str, bool]]:
+    """(text, whether it is UTF-8): decoded data and the chunks after it, unpacked as often as it is packed, in windows of about `window` bytes, each half over the one before.
 
     UTF-8 where it is such, else Latin-1: any byte is a character, so nothing is thrown away.
     """
-    chunks, head, seen = iter(()), data, set()
+    head, seen = data, set()
     while head.startswith(_PACKED) and (h := hashlib.blake2b(head).digest()) not in seen:
         seen.add(h)
         inner = _unpacked(chain([head], chunks))
@@ -221,51 +225,112 @@ def _decoded(body: str) -> bytes:
     return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _wrapped(lines: list[str]) -> Iterator[tuple[int, int]]:
-    """(first, end) of the lines to decode together.
-
-    Blocks of lines of one length with a last one that is no longer, as encoders write
-    them; then, as what stands before may not belong to it, all lines from each place
-    in a group of four characters and from each line that starts as packed data does.
-    """
+def _blocks(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """(first, end) of the blocks of lines of one length with a last one that is no longer, as encoders write them."""
     i = 0
-    while i < len(lines):
+    while i < len(lengths):
         j = i + 1
-        while j < len(lines) and len(lines[j]) == len(lines[i]):
+        while j < len(lengths) and lengths[j] == lengths[i]:
             j += 1
-        end = j + 1 if j < len(lines) and len(lines[j]) < len(lines[i]) else j
+        end = j + 1 if j < len(lengths) and lengths[j] < lengths[i] else j
         if end - i > 1:
             yield i, end
         i = j
-    places, at = set(), 0
-    for k, x in enumerate(lines[:-1]):
-        if at % 4 not in places or x.startswith(_PACKED64):
-            places.add(at % 4)
-            yield k, len(lines)
-        at += len(x)
+
+
+class Run:
+    """Characters of base64, with the line breaks inside them left out, and where they stand in the text."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.start, self.end, self.at, self.places, lines, at = start, end, [], [], [], start
+        for x in [*((m.start(), m.end()) for m in _BREAKS.finditer(text, start, end)), (end, end)]:
+            self.at.append(sum(map(len, lines[-1:])) + (self.at[-1] if self.at else 0))
+            self.places.append(at)
+            lines.append(text[at : x[0]])
+            at = x[1]
+        lines[-1] = lines[-1].rstrip("=")
+        self.lines, self.body = lines, "".join(lines)
+
+    def place(self, i: int) -> int:
+        """Where character i of the body stands; the end of the run for what lies behind it."""
+        if i >= len(self.body):
+            return self.end
+        k = bisect_right(self.at, i) - 1
+        return self.places[k] + i - self.at[k]
+
+    def after(self, i: int) -> int:
+        return self.end if i >= len(self.body) else self.place(i - 1) + 1
+
+
+class Members:
+    """What the compressed data whose base64 starts at a place holds, decoded piece by piece; taken: the characters that whole members fill."""
+
+    STEP = 1 << 12
+
+    def __init__(self, body: str, at: int):
+        self.body, self.at, self.taken = body, at, 0
+
+    def __iter__(self) -> Iterator[bytes]:
+        pieces = (_decoded(self.body[i : i + self.STEP]) for i in range(self.at, len(self.body), self.STEP))
+        data, read = next(pieces, b""), 0
+        try:
+            while data.startswith(_PACKED):
+                own = _decompressor(data)
+                if isinstance(own, bz2.BZ2Decompressor) and data[4:10] != b"1AY&SY":
+                    return
+                while not own.eof:
+                    if out := own.decompress(data, 1 << 20):
+                        yield out
+                    left = getattr(own, "unconsumed_tail", b"")
+                    read, data = read + len(data) - len(left), left
+                    if not own.eof and not data and (isinstance(own, type(zlib.decompressobj())) or own.needs_input):
+                        if not (data := next(pieces, b"")):
+                            return
+                read, data = read - len(own.unused_data), own.unused_data
+                self.taken = read // 3 * 4
+                while len(data) < 10 and (more := next(pieces, b"")):
+                    data += more
+        except (OSError, ValueError, EOFError, zlib.error, lzma.LZMAError):
+            return
 
 
 def _base64(layer: Layer, window: int) -> Iterator[Layer]:
-    for m in _BASE64.finditer(layer.text):
-        body = m[0].rstrip("=")
-        for skip in range(4 if layer.cut and m.start() == 0 else 1):  # a cut run may start within a group
-            for k, (new, sure) in enumerate(_unfolded(_decoded(body[skip:]), window)):
-                yield layer.isolated(m.start(), m.end(), new, k > 0, sure)
-    for m in _WRAPPED.finditer(layer.text):
-        lines, at = [], m.start()
-        for x in _BREAKS.finditer(layer.text, m.start(), m.end()):
-            lines.append((at, layer.text[at : x.start()]))
-            at = x.end()
-        lines.append((at, layer.text[at : m.end()].rstrip("=")))
-        done = set()
-        for i, end in _wrapped([x for _, x in lines]):
-            body = "".join(x for _, x in lines[i:end])
-            if len(body) < 16 or (i, end) in done:
+    """What base64 in the text holds, wherever in a run of its characters it starts.
+
+    Names and paths put letters, dashes and slashes right before it. So a run is decoded
+    whole, then from its second, third and fourth character on, of which the stretches
+    of plain characters are kept, each at its own place; then from each place where
+    packed data starts, past which the search goes on. A run that lines cut is read
+    as one, and so is each block of lines as encoders write them. All of that takes time
+    in proportion to the text.
+    """
+    found = [(m.start(), m.end()) for m in _BASE64.finditer(layer.text)]
+    lone = len(found)
+    found += [(m.start(), m.end()) for m in _WRAPPED.finditer(layer.text)]
+    for number, (start, stop) in enumerate(found):
+        run = Run(layer.text, start, stop)
+        for i, end in [(0, len(run.lines)), *(_blocks([*map(len, run.lines)]) if number >= lone else ())]:
+            body = run.body if end - i == len(run.lines) else "".join(run.lines[i:end])
+            if len(body) < 16 or (i == 0 and end == len(run.lines) and body is not run.body):
                 continue
-            done.add((i, end))
-            stop = m.end() if end == len(lines) else lines[end - 1][0] + len(lines[end - 1][1])
+            last = run.end if end == len(run.lines) else run.places[end - 1] + len(run.lines[end - 1])
             for k, (new, sure) in enumerate(_unfolded(_decoded(body), window)):
-                yield layer.isolated(lines[i][0], stop, new, k > 0, sure)
+                yield layer.isolated(run.places[i], last, new, k > 0, sure)
+        if len(run.body) < 16:
+            continue
+        for skip in (1, 2, 3):
+            for m in _CLEAN.finditer(_decoded(run.body[skip:])):
+                a, b = skip + m.start() // 3 * 4, skip - -m.end() // 3 * 4
+                yield layer.isolated(run.place(a), run.after(b), m[0].decode())
+        at = 1
+        while (m := _PACKED64.search(run.body, at)) is not None:
+            at = m.start() + 1
+            inner = Members(run.body, m.start())
+            chunks = iter(inner)
+            if first := next(chunks, b""):
+                for k, (new, sure) in enumerate(_unfolded(first, window, chunks)):
+                    yield layer.isolated(run.place(m.start()), run.end, new, k > 0, sure)
+                at += max(inner.taken - 1, 0)
 
 
 def _is_text(text: str) -> bool:

@@ -98,3 +98,69 @@ def test_every_nesting_is_unwrapped():
         spans = SS.scan(text)[1]
         found = [(s, e) for s, k, e in spans if k == 0]
         assert found and all(7 <= s and e <= 7 + len(body) for s, e in found), (names, text[:200], found)
+
+
+@pytest.mark.parametrize("before", ["", " ", "https://a.com/", "https://a.com/d/", "v-", "id_", "a/b/c/", "x+", "ab", "abc", "files/2024-01-02/key_"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_what_stands_before_hides_nothing(before, pack):
+    packed = b64(pack(b"password: hunter2hunter2"))
+    for after in ("", "/tail", " z"):
+        text = before + packed.rstrip("=") + after if after == "/tail" else before + packed + after
+        found = assigns(text)
+        assert found and all(e > len(before) for _, e in found), (text, found)
+
+
+def test_place_behind_a_name():
+    packed = b64(b"password: hunter2hunter2")
+    assert (3, 3 + len(packed)) in assigns(f"id_{packed} z")
+
+
+@pytest.mark.parametrize("head", ["eA", "eAE", "eJw", "H4sI", "QlpoO"])
+def test_lines_that_look_packed_take_linear_time(head):
+    import time
+
+    rng = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    lines = [head + "".join(rng.choices(letters, k=76 - len(head))) for _ in range(50_000)]
+    began = time.process_time()
+    SS.scan("\n".join(lines))
+    assert time.process_time() - began < 60
+    secret = textwrap.wrap(b64(zlib.compress(PLAIN.encode() * 9)), 76)
+    assert assigns("\n".join(lines[:3000] + secret))
+
+
+def test_worklist_against_all_decodings():
+    """A plain worklist that tries each decoder from each character finds no secret that the scan misses."""
+    from urllib.parse import unquote
+
+    def plain(text):
+        work, seen, hits = [text], {text}, 0
+        while work:
+            own = work.pop()
+            hits += any(k == 0 for _, k, _ in SS.base_spans(own))
+            new = [unquote(own, errors="replace")]
+            for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", own):
+                for i in range(len(m[0]) - 15):
+                    body = m[0][i:].replace("-", "+").replace("_", "/")
+                    data = base64.b64decode(body[: len(body) // 4 * 4])
+                    new.append(data.decode("latin-1"))
+                    for unpack in (lambda d: zlib.decompressobj(47).decompress(d), lambda d: bz2.BZ2Decompressor().decompress(d)):
+                        try:
+                            new.append(unpack(data).decode("latin-1"))
+                        except (OSError, zlib.error):
+                            pass
+            for x in new:
+                if x not in seen and any(c in x for c in "=:%") or re.search("[A-Za-z0-9+/_-]{16,}", x) and x not in seen and x.isascii():
+                    seen.add(x)
+                    work.append(x)
+        return hits > 0
+
+    import re
+
+    rng = random.Random(9)
+    for _ in range(40):
+        text = rng.choice([PLAIN, "nothing to see here at all"])
+        for _ in range(rng.randint(1, 3)):
+            wrap = rng.choice([lambda t: b64(t.encode()), lambda t: b64(zlib.compress(t.encode())), lambda t: b64(bz2.compress(t.encode())), lambda t: quote(t, safe="")])
+            text = rng.choice(["", "a/", "id_", "v1-", "x ", "key/"]) + wrap(text).rstrip("=")
+        assert bool(assigns(text)) == plain(text), text
