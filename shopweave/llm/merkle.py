@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import grouped, numbered, written
 
 FANOUT = 3
 #: What a leaf covers, in this order.
@@ -31,40 +31,6 @@ def leaf(values: dict[str, Column]) -> Column:
     return digest(*[field(v) for v in values.values()])
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows, written, with `at`, their place in the given order from 0 over all rows, and `part`, the task that placed them.
-
-    Rows are dealt by ranges of the order, so no task gets a group whole; each range is
-    numbered by itself and moved by what stands before it. Rows equal in all of the
-    order columns are told apart by their place in the input, so that ranges can cut them.
-    """
-    told = rows.withColumn("_tie", F.monotonically_increasing_id())
-    sorted_ = told.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
-    placed = written(sorted_.withColumn("_id", F.monotonically_increasing_id()), "numbered").withColumn("part", F.shiftright("_id", 33))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each task
-    starts, before = [], 0
-    for part, n in sorted(sizes):
-        starts.append((part, before))
-        before += n
-    offsets = rows.sparkSession.createDataFrame(starts, "part long, _start long")
-    row = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(offsets), "part").withColumn("at", F.col("_start") + row).drop("_id", "_start")
-
-
-def grouped(rows: DataFrame, group: str, *order: str) -> DataFrame:
-    """rows with g, i and n: their group as a long (ascending as the group does, null first), place in it and its size.
-
-    Each task's stretch of a group is looked up by itself, so a group that holds most rows gathers nowhere.
-    """
-    placed = numbered(rows, group, *order)
-    runs = placed.groupBy("part", group).agg(F.min("at").alias("g"), F.count(F.lit(1)).alias("n"))
-    whole = runs.groupBy(group).agg(F.min("g").alias("g"), F.sum("n").alias("n"))
-    runs = runs.select("part", F.col(group).alias("_group")).join(whole.withColumnRenamed(group, "_whole"), F.col("_group").eqNullSafe(F.col("_whole")))
-    runs = runs.select(F.col("part").alias("_part"), "_group", "g", "n")
-    found = placed.join(runs, (F.col("part") == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group")))
-    return found.withColumn("i", F.col("at") - F.col("g")).drop("part", "at", "_part", "_group", group)
-
-
 def pivoted(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The parents (g, i, n, h, c0, c1, ...) of nodes (g, i, n, h, more): child k as a struct in column ck, h over all of them.
 

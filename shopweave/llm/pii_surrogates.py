@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import row_key, texts, written
+from .common import grouped, row_key, texts, written
 
 # fixed values: titles by gender, given names by gender and script
 TITLES = {"m": ["Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин"], "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"], "u": ["Dr", "Prof", "Mx"]}
@@ -17,8 +17,14 @@ GIVEN = {
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}?[\p{Ll}\p{M}]+)?"
+# fixed values: small words inside names, what names stand before and what they stand behind
+PARTICLES = "van|von|der|den|de|del|della|da|dos|di|la|le|bin|ibn|al|el|ter|zu"
+ACTS = "met|said|says|wrote|writes|told|asked|replied|answered|called|lives|lived|works|worked|joined|emailed|phoned|signed|explained|added"
+CUES = "met|told|asked|called|contact|Contact|Dear|Hello|Hi|Name:|name:|Author:|author:|From:|To:|Cc:|Attn:|Signed,|Regards,|Sincerely,"
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _FIRST = "|".join(n for g in GIVEN.values() for n in g)
+#: Initials and small words between the first and last word of a name.
+_INNER = rf"(?: (?:\p{{Lu}}\.|(?:{PARTICLES})(?!\p{{L}})))*+"
 #: One pattern for each kind, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.(?=\p{L}{2}|[\p{L}\p{N}-]++\.))++\p{L}{2,}+",
@@ -26,11 +32,11 @@ PATTERNS = {
     "ssn": r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])\+(?=(?:[ .()-]{0,2}[0-9]){8,15}(?![0-9]))[0-9]{1,3}[ .-]?\(?[0-9]{1,14}\)?(?:[ .-]?[0-9]{2,8}){0,4}(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[0-9]{13,19}(?![\p{L}\p{N}])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME})?|(?:{_FIRST}) {_NAME})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_TITLE})\.? {_NAME}(?:{_INNER} {_NAME})?|(?:{_FIRST}){_INNER} {_NAME}|{_NAME}{_INNER} {_NAME}(?= (?:{ACTS})(?!\p{{L}}))|(?<=(?<!\p{{L}})(?:{CUES}) ){_NAME}{_INNER} {_NAME})(?![\p{{L}}\p{{N}}])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without one of these has no entity: a cheap test before the patterns.
-HINT = rf"[@0-9]|(?<![\p{{L}}])(?:{_TITLE}|{_FIRST})[ .]"
+HINT = rf"[@0-9]|(?<![\p{{L}}])(?:{_TITLE}|{_FIRST})[ .]|(?<![\p{{L}}])(?:{CUES}) \p{{Lu}}|\p{{Ll}} (?:{ACTS})(?!\p{{L}})"
 
 # fixed values: what a letter of each script is replaced from, sixteen for the sixteen hexadecimal digits
 LETTERS = {"latin": "abdefghiklmnorst", "cyrillic": "абвгдезиклмнорст", "greek": "αβγδεζηικλμνοπρσ"}
@@ -138,11 +144,14 @@ def _made_up(kind: Column, value: Column, stream: Column, attempt: Column) -> Co
 
 
 def with_surrogate(entities: DataFrame, key: str, mention: str) -> DataFrame:
-    """entities (kind, canon, attempt ...) and `new`: the replacement of a mention, a keyed function of its canonical form, in the mention's format.
+    """entities (kind, canon, attempt, other ...) and `new`: the replacement of a mention, a keyed function of its canonical form, in the mention's format.
+
+    `other` is the canonical form that it takes over instead, or null.
 
     The hash streams are columns of their own, so that they are worked out once and not for each character.
     """
     kind, canon, attempt, value = (F.col(c) for c in ("kind", "canon", "attempt", mention))
+    swapped = F.col("other")
     mail, domain = kind == "email", F.substring_index(value, "@", -1)
     tail = F.regexp_extract(domain, r"\.\p{L}+$", 0)
     local, host = F.substring_index(value, "@", 1), F.substr(domain, F.lit(1), F.length(domain) - F.length(tail))
@@ -159,7 +168,8 @@ def with_surrogate(entities: DataFrame, key: str, mention: str) -> DataFrame:
     octet = [(F.conv(F.substr(own, F.lit(1 + 8 * i), F.lit(7)), 16, 10).cast("long") % 254 + 1).cast("string") for i in range(4)]
     phone = _by_digit(value, own, F.length(_digits(value)) - F.length(F.substring_index(canon, " ", -1)))
     new = (
-        F.when(mail, email).when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "phone", phone).when(kind == "ssn", _by_digit(value, own, F.lit(0)))
+        F.when(swapped.isNotNull(), F.when(kind == "ip", swapped).otherwise(_by_digit(value, _digits(swapped), F.greatest(F.length(_digits(value)) - F.length(_digits(swapped)), F.lit(0)))))
+        .when(mail, email).when(kind == "ip", F.concat_ws(".", *octet)).when(kind == "phone", phone).when(kind == "ssn", _by_digit(value, own, F.lit(0)))
         .when(kind == "card", _card(value, own)).when(kind == "as_is", value).otherwise(_made_up(kind, value, own, attempt))
     )
     return rows.select(*entities.columns, new.alias("new"))
@@ -175,45 +185,73 @@ def _parts(mention: Column) -> Column:
 
     def part(w: Column, i: Column) -> Column:
         first = F.when(titled, 1).otherwise(0)
-        kind = F.when(titled & (i == 0), "as_is").when((i == first) & (F.size(words) > first + 1), F.coalesce(listed(w), by_title)).otherwise("surname")
+        inner = w.rlike(rf"^(?:\p{{Lu}}\.|{PARTICLES})$")
+        kind = F.when((titled & (i == 0)) | inner, "as_is").when((i == first) & (F.size(words) > first + 1), F.coalesce(listed(w), by_title)).otherwise("surname")
         return F.struct(kind.alias("kind"), w.alias("value"))
 
     kind = kind_of(mention)
     return F.when(kind == "name", F.transform(words, part)).otherwise(F.array(F.struct(kind.alias("kind"), mention.alias("value"))))
 
 
-def attempts(entities: DataFrame, key: str, most: int = 40) -> DataFrame:
-    """(kind, canon, attempt) of the entities whose first surrogate is another's, or is itself an entity.
+def _space(kind: Column, canon: Column) -> Column:
+    """What a number must have in common with one whose digits it takes over: kind, country code, count of digits and whether the check digit is right."""
+    valid = F.when(kind == "card", F.pmod(_luhn(_digits(canon)), F.lit(10)) == 0).otherwise(False)
+    code = F.when(canon.startswith("+"), F.substring_index(canon, " ", 1)).otherwise("")
+    length = F.when(kind == "ip", 0).otherwise(F.length(_digits(canon)))
+    return F.concat_ws(" ", kind, code, length.cast("string"), valid.cast("string"))
+
+
+def attempts(entities: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """(kind, canon, attempt, other) of the entities whose first surrogate is another's, or is itself an entity.
 
-    Of entities with one surrogate the smallest stays, the others try again, until all
-    surrogates are distinct and none is a canonical form found in the texts. Emails and
-    names grow with the attempts, so there is room for any number of them; the other
-    kinds keep their length, which leaves over 10**8 values each.
+    Of entities that ask for one free surrogate the smallest gets it and keeps it, and only
+    the rest try again, so all surrogates are distinct and none is a canonical form found
+    in the texts. Emails and names grow with the attempts until all have one. Numbers keep
+    their length, so a space can have fewer free values than entities, the more so the
+    shorter they are: those still without one after `most` attempts take over the
+    value of the next such entity of their space, around in a circle. These values do
+    occur in the texts, but are no one else's surrogate. An entity left alone in its space
+    changes with the first one that had got a surrogate there.
     """
     entities = written(entities.where("kind <> 'as_is'").select("kind", "canon").distinct(), "entities")
-    again = written(entities.limit(0).withColumn("attempt", F.lit(0)), "attempts")
-    for _ in range(most):
-        now = entities.join(again, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("attempt", F.lit(0)).alias("attempt"))
-        made = with_surrogate(now, key, "canon").withColumn("made", F.lower("new")).drop("new")
-        group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
-        made = made.withColumn("group", group)
-        keep = made.groupBy("group", "made").agg(F.min(F.struct("kind", "canon")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        real = made.select("group", F.col("canon").alias("made")).distinct().withColumn("real", F.lit(True))
-        bad = keep.join(real, ["group", "made"], "left").where("n > 1 or real")
-        bad = made.join(bad, ["group", "made"]).where("real or not (keep.kind = kind and keep.canon = canon)")
-        bad = written(bad.select("kind", "canon", (F.col("attempt") + 1).alias("attempt")), "collisions")
-        if bad.isEmpty():
-            return again
-        rest = again.join(bad, ["kind", "canon"], "left_anti")
-        again = written(rest.unionByName(bad), "attempts")
-    raise RuntimeError(f"surrogates still collide after {most} attempts")
+    group = F.when(F.col("kind").startswith("given"), "given").otherwise(F.col("kind"))
+    grows = (F.col("kind") == "email") | F.col("kind").startswith("given") | (F.col("kind") == "surname")
+    real = entities.select(group.alias("group"), F.col("canon").alias("made")).distinct()
+    todo, got, stuck, attempt = entities, [], [], 0
+    while True:
+        asked = todo.select("kind", "canon", F.lit(attempt).alias("attempt"), F.lit(None).cast("string").alias("other"))
+        made = with_surrogate(asked, key, "canon").select("kind", "canon", "attempt", "other", group.alias("group"), F.lower("new").alias("made"))
+        made = written(made, "surrogates")
+        first = made.groupBy("group", "made").agg(F.min(F.struct("kind", "canon")).alias("keep")).select("keep.kind", "keep.canon", "group", "made")
+        for taken in [real, *(g.select("group", "made") for g in got)]:
+            first = first.join(taken, ["group", "made"], "left_anti")
+        got.append(written(first.withColumn("attempt", F.lit(attempt)), "accepted"))
+        todo = written(made.join(got[-1], ["kind", "canon"], "left_anti").select("kind", "canon"), "collisions")
+        attempt += 1
+        if attempt == most:
+            stuck.append(todo.where(~grows))
+            todo = todo.where(grows)
+        if todo.isEmpty():
+            break
+    all_got = reduce(DataFrame.unionByName, got)
+    again = all_got.where("attempt > 0").select("kind", "canon", "attempt", F.lit(None).cast("string").alias("other"))
+    if not stuck or stuck[0].isEmpty():
+        return again
+    left = stuck[0].withColumn("space", _space(F.col("kind"), F.col("canon")))
+    alone = left.groupBy("space").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("space")
+    partner = all_got.select("kind", "canon", _space(F.col("kind"), F.col("canon")).alias("space")).join(alone, "space", "left_semi").groupBy("space").agg(F.min(F.struct("kind", "canon")).alias("p"))
+    ring = grouped(left.unionByName(partner.select("p.kind", "p.canon", "space")), "space", "canon")
+    follows = ring.select("g", F.pmod(F.col("i") - 1, F.col("n")).alias("i"), F.col("canon").alias("other"))
+    swapped = written(ring.join(follows, ["g", "i"]).select("kind", "canon", F.lit(attempt).alias("attempt"), "other"), "swapped")
+    return again.join(swapped, ["kind", "canon"], "left_anti").unionByName(swapped)
 
 
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_entities) for each row: detected entities replaced by surrogates.
 
     Emails, IPv4 addresses, phone, card and social security numbers and names (after a
-    title, or a listed given name before a surname) are replaced. Equal entities get equal
+    title, a listed given name before a surname, or two capitalised words beside what
+    people do or how they are addressed, with initials and particles) are replaced. Equal entities get equal
     surrogates in all documents, different ones different surrogates. Letters stay
     letters of their script and case, separators, country codes, top-level domains,
     valid check digits and titles stay, given names keep their gender. `key` decides the

@@ -5,7 +5,7 @@ from hashlib import sha256
 
 import pytest
 
-from shopweave.llm import merkle
+from shopweave.llm import common, merkle
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, g int, path string"
 
@@ -81,6 +81,6 @@ def test_other_fanouts_give_proofs_that_fold_to_the_root(spark):
     docs = spark.createDataFrame([row(i, str(i), source=f"s{i % 4}") for i in range(40)], SCHEMA)
     leaves = docs.select("doc_id", "source", merkle.leaf({"doc_id": docs.doc_id}).alias("h"))
     for fanout in (2, 5):
-        found = merkle.proofs(merkle.grouped(leaves, "source", "doc_id"), fanout)
+        found = merkle.proofs(common.grouped(leaves, "source", "doc_id"), fanout)
         rows = found.select("top.root", merkle.folded(found.h, found.path).alias("back")).collect()
         assert len(rows) == 40 and len({r["root"] for r in rows}) == 1 and all(r["root"] == r["back"] for r in rows)

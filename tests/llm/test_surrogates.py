@@ -57,3 +57,20 @@ def test_very_long_texts(spark):
     assert len(found) == len(rows)
     assert found[0] == (len(rows[0]), 1)  # the whole address
     assert all(found[i][0] >= 0.9 * len(x) for i, x in enumerate(rows))
+
+
+def test_a_short_space_that_is_over_half_full(spark):
+    """60,000 of the 100,000 numbers of one country with five digits: all get another number, no two the same one."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.format_string("call +354 %05d now", "id").alias("text"))
+    found = PII.pseudonymised(docs, "k").join(docs.withColumnRenamed("text", "before"), "doc_id")
+    row = found.agg(F.count_distinct("text").alias("n"), F.count_if(F.col("text") == F.col("before")).alias("same"), F.count_if(~F.col("text").rlike(r"^call \+354 [0-9]{5} now$")).alias("odd")).first()
+    assert (row["n"], row["same"], row["odd"]) == (60_000, 0, 0)
+
+
+def test_names_beyond_the_list(spark):
+    rows = ["Priya Sharma met Wei Zhang at noon.", "Dear Chinwe Okafor,", "Author: Ludwig van der Berg", "Mr. Tomasz K. Nowak said so", "Hello World", "The Big House was cold", "We met Monday"]
+    out = {r.doc_id: r.text for r in PII.pseudonymised(spark.createDataFrame(list(enumerate(rows)), SCHEMA), "k").collect()}
+    for i, gone in enumerate([["Priya", "Sharma", "Wei", "Zhang"], ["Chinwe", "Okafor"], ["Ludwig", "Berg"], ["Tomasz", "Nowak"]]):
+        assert not any(x in out[i] for x in gone), out[i]
+    assert re.fullmatch(r"\w+ \w+ met \w+ \w+ at noon\.", out[0]) and re.fullmatch(r"Author: \w+ van der \w+", out[2]) and re.fullmatch(r"Mr\. \w+ K\. \w+ said so", out[3])
+    assert [out[i] for i in (4, 5, 6)] == rows[4:]
