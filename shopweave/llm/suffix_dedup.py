@@ -27,6 +27,8 @@ GRAMS = WIDTH - K + 1
 PIECE = 1 << 20
 #: Stretches above which a bucket is dealt out by whole suffixes instead.
 WIDE = 1024
+#: Parts that the stretches of a bucket are dealt to when it is told whether it is a wide one.
+SALTS = 32
 #: Bytes whose suffixes a task sorts at a time.
 BLOCK = 1 << 20
 #: A perfect difference set: any two residues meet in it after the same number of steps.
@@ -390,7 +392,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = F.col("at").bitwiseAND(F.lit(3)) == GONE
     left = judged.where(~told)
     wide = left.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select("m", F.lit(True).alias("wide"))
-    left = left.join(wide, "m", "left").withColumn("at", F.when(F.col("wide"), F.col("at") - OPEN + GONE).otherwise(F.col("at")))
+    copies = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # at most SALTS rows for WIDE ones of left
+    left = left.withColumn("salt", F.pmod(F.xxhash64("d", "h", "at"), F.lit(SALTS)).cast("int")).join(copies, ["m", "salt"], "left").withColumn("at", F.when(F.col("wide"), F.col("at") - OPEN + GONE).otherwise(F.col("at")))
     per_doc = left.groupBy("d", "h").agg(F.collect_list(F.struct("at", "m")).alias("l")).select("d", "h", F.col("l.at").alias("ats"), F.col("l.m").alias("ms"))
     opened = keyed.join(per_doc, ["d", "h"]).select("d", "h", "text", "ats", "ms").mapInPandas(_opened, "k long, d long, h long, at long, bytes binary")
     found = opened.repartition(parts(spark), "k").sortWithinPartitions("k").mapInPandas(_sorted, "d long, h long, at long")
