@@ -16,6 +16,8 @@ from .links import components
 BITS, SHINGLE, RADIUS = 64, 4, 4
 #: Codes that a shard, and so a tree, should have at most.
 SHARD_CODES = 4096
+#: Codes up to which all shard trees are sent to all tasks: a quarter of a megabyte of codes, all of which ask all trees. More meet by blocks of bits.
+SENT = 1 << 15
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -77,6 +79,10 @@ class BKTree:
             if (down := asked[np.abs(away - step) <= radius]).size:
                 yield from kid.near(down, radius)
 
+    def inner(self) -> int:
+        """Nodes with children."""
+        return 0 if self.leaf is not None else 1 + sum(kid.inner() for kid in self.kids.values())
+
 
 def _links(trees: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links of one shard: each code to the smallest code that its links reach here."""
@@ -124,18 +130,26 @@ def blocks_for(n: int, radius: int, per_shard: int = SHARD_CODES) -> int:
     return 2 * radius + 1
 
 
+def forest(codes: np.ndarray, tree_codes: int = SHARD_CODES) -> list[BKTree]:
+    """BK-trees of codes dealt at random to shards of about tree_codes."""
+    shard = (codes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(max(1, -(-len(codes) // tree_codes)))
+    return [BKTree(codes[shard == s]) for s in np.unique(shard)]
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", tree_codes: int = SHARD_CODES) -> DataFrame:
     """(doc_id, fp, component_id) for each row; component_id is the smallest doc_id reachable.
 
     Fingerprints that differ in at most `radius` bits are linked. Equal ones are one code.
-    The 64 bits are cut into blocks; each code goes to one shard for each choice of
-    blocks that linked codes can agree on, so any two linked codes meet in a shard.
-    A task turns a shard into a BK-tree and follows the edges within the radius. Trees
-    go to the tasks by the shuffle of their shard, not by broadcast: together they are
-    all fingerprints, which have no bound. A shard of over `tree_codes`
-    codes is cut into that many trees as needed, each with all codes of the shard as
-    queries in slices, so that no task holds more than two slices. Only spanning links
-    leave a task. Empty and null texts have fingerprint 0 and link as others do; an
+    Codes are counted. Up to SENT of them are dealt at random to shards of about
+    `tree_codes`, each a BK-tree; the trees are broadcast, and each task asks all of them
+    with its own codes, following only edges within the radius. As a radius of 4 out of
+    64 bits prunes little, that takes the square of their number, and more codes have no
+    bound to be sent under: so their 64 bits are cut into blocks, and each code goes to
+    one shard for each choice of blocks that linked codes can agree on; any two linked
+    codes meet in one. A task turns a shard into a tree; one of over `tree_codes` codes is
+    cut into that many trees as needed, each with all codes of the shard as queries in
+    slices, so that no task holds more than two slices. Only spanning links leave a shard.
+    Empty and null texts have fingerprint 0 and link as others do; an
     empty table gives an empty result; repeated rows stay and share a component. Null
     ids are never a component's id unless it has no other.
     """
@@ -166,10 +180,29 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS, tree_codes: int = SHARD_C
     return numbered.join(stay, "_n", "left_semi").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def _labels(rows: DataFrame, radius: int, tree_codes: int) -> DataFrame:
+def _asked(codes: DataFrame, radius: int, tree_codes: int) -> DataFrame:
+    """Links (a, b) of at most SENT codes: the shard trees of all are sent to the tasks, each of which asks them with its own codes."""
+    spark = codes.sparkSession
+    every = np.sort(codes.toPandas()["fp"].to_numpy(np.int64)).view(np.uint64)
+    sent = spark.sparkContext.broadcast(forest(every, tree_codes))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = b["fp"].to_numpy(np.int64).view(np.uint64)
+            found = [x for tree in sent.value for at in range(0, len(own), 512) for x in tree.near(own[at : at + 512], radius)]
+            a, c = (np.concatenate([np.empty(0, np.uint64), *(f[k] for f in found)]) for k in (0, 1))
+            yield pd.DataFrame({"a": a[a > c].view(np.int64), "b": c[a > c].view(np.int64)})
+
+    return codes.repartition(parts(spark)).mapInPandas(run, "a long, b long")
+
+
+def _labels(rows: DataFrame, radius: int, tree_codes: int, sent: int = SENT) -> DataFrame:
     """(node, root): the component of each fingerprint of rows that is linked to another."""
     spark = rows.sparkSession
-    n = rows.select("fp").distinct().count()
+    codes = rows.select("fp").distinct()
+    n = codes.count()
+    if n <= sent:
+        return components(_asked(codes, radius, tree_codes))
     masks = block_masks(blocks_for(max(n, 1), radius), radius)
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
     keyed = rows.select("fp").distinct().select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "block"))

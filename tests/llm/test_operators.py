@@ -285,6 +285,9 @@ def test_simhash(spark, corpus):
     ids = [d for d, _ in rows]
     assert Counter((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in found) == Counter(zip(ids, codes, lowest(ids, roots), strict=True))
     assert SH.near_duplicates(table(spark, [])).count() == 0
+    rows = SH.fingerprints(table(spark, corpus))
+    by_trees, by_blocks = ({(r["node"], r["root"]) for r in SH._labels(rows, 4, 3, sent).collect()} for sent in (SH.SENT, 0))
+    assert by_trees == by_blocks
     small = SH.near_duplicates(table(spark, corpus), tree_codes=3).collect()  # shards cut into several trees
     assert Counter(map(tuple, small)) == Counter(map(tuple, found))
 
@@ -470,3 +473,16 @@ def test_scores_follow_their_definition(spark):
             p = [two[a, b] / one[a] if one[a] else 0, one[b] / n, 1 / (v + 1)]
             want += math.log10(sum(m * x for m, x in zip(mix[octave(one[a])], p, strict=True)))
         assert math.isclose(found[d], want, rel_tol=0.01), (d, found[d], want)
+
+
+def test_broadcast_trees_have_inner_nodes_on_real_codes():
+    """Trees of the fingerprints of sf0.1: nearly all codes stand below inner nodes, and edges outside the radius are not followed."""
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:3000]]
+    codes = np.unique(np.array([SH.fingerprint(t) for t in texts], np.uint64))
+    trees = SH.forest(codes, 1024)
+    assert len(trees) > 1 and sum(t.inner() for t in trees) > len(codes) / 40
+    found = {(int(a), int(b)) for t in trees for x, y in t.near(codes, 4) for a, b in zip(x, y, strict=True)}
+    want = {(int(a), int(b)) for a in codes for b in codes[np.bitwise_count(codes ^ a) <= 4]}
+    assert found == want
