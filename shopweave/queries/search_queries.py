@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import tone_tokens
-from ..operators import catalog as K, search as S
+from ..operators import catalog as K, search as S, vector_index as VI
+from ..sources.shared import new_path
 from . import views as V
 from .column_queries import SQL_BUDGET, SQL_TOKENS
 
@@ -91,6 +92,15 @@ def s4_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.vector_topk(v, v.where("query_id % 50 = 0"), 20).select("query_id", "product_id", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def s4_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search in the nearest lists of an index built over all rows; approximate, so its recall is tested, not its rows."""
+    v = vectors(spark, sf_dir)
+    path = new_path(spark, "vector-index")
+    VI.build(v.select("store_slug", "product_id", "embedding"), path)
+    return VI.search(spark, path, v.where("query_id % 100 = 0"), 20, n_probe=VI.PROBES).select("query_id", "product_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(f"""with {SQL_NEAR}, other as (select * from (select query_id, store_slug, product_id, row_number() over (partition by query_id order by product_id desc)::int as rank from near) where rank <= 20),
 f as (select query_id, product_id, sum(1.0 / (60 + rank)) as score from (select query_id, product_id, rank from top union all select query_id, product_id, rank from other) group by 1, 2)
 select * from (select query_id, product_id, round(score, 9)::double as score, row_number() over (partition by query_id order by round(score, 12) desc, product_id)::int as place from f) where place <= 15""")
