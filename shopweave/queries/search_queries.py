@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import tone_tokens
-from ..operators import catalog as K, search as S, vector_index as VI
+from ..operators import catalog as K, search as S, text_index as TI, vector_index as VI
 from ..sources.shared import new_path
 from . import views as V
 from .column_queries import SQL_BUDGET, SQL_TOKENS
@@ -54,6 +54,30 @@ def s2_fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.fts_match(S.fts_hits(S.postings(doc_items(spark, sf_dir)), doc_queries(spark, sf_dir, DOC_QUERIES))).select("query_id", "product_id")
 
 
+def changed_docs(spark: SparkSession, sf_dir: str):
+    """(old, new, changed) documents as items: an older version with other texts, some missing and some that are gone since, the present one, and what changed, gone ones with a null text."""
+    from ..operators import merge as M
+
+    new = doc_items(spark, sf_dir).select("store_slug", "product_id", F.col("product_id").alias("handle"), "search_text", F.xxhash64("search_text").alias("content_hash"))
+    number = F.col("product_id").cast("long")
+    text = F.when(number % 5 == 0, F.concat(F.lit("the of token and der "), "search_text")).when(number % 7 == 0, F.lit("")).otherwise(F.col("search_text"))
+    old = new.where(number % 6 != 1).withColumn("search_text", text).withColumn("content_hash", F.xxhash64("search_text"))
+    gone = new.where(number % 9 == 0).withColumns({"product_id": F.concat(F.lit("gone-"), "product_id"), "handle": F.concat(F.lit("gone-"), "handle")})
+    old = old.unionByName(gone)
+    changed = M.changed_products(new, old).unionByName(M.vanished_products(old, new).withColumn("search_text", F.lit(None).cast("string")))
+    return old, new, changed
+
+
+@query(ORACLES["s2_fts_match"])
+def s2_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The match of s2 on a stored index that was built from an older version of the documents and updated by the changed ones."""
+    old, _, changed = changed_docs(spark, sf_dir)
+    path = new_path(spark, "text-index")
+    TI.build(old, path)
+    TI.update(changed, path, 1)
+    return S.fts_match(TI.hits(spark, path, doc_queries(spark, sf_dir, DOC_QUERIES))).select("query_id", "product_id")
+
+
 @query(f"""with {SQL_DOC_WORDS}, n as (select store_slug || '/' || case term when 'the' then 0 else 1 end as query_id, product_id, count(*) as n from words where term in ('the', 'de') group by 1, 2)
 select * from (select query_id, product_id, row_number() over (partition by query_id order by n desc, product_id)::int as rank from n) where rank <= 50""")
 def s3_fts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
