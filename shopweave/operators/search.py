@@ -23,6 +23,8 @@ RRF_K = 60  # fixed value: the constant of reciprocal rank fusion
 PAYLOAD_BYTES = 12288
 #: Queries are sent to all tasks only up to so many at a time; more are joined by shuffles.
 BROADCAST_QUERIES = 100_000
+#: Characters of the stretches by which texts are looked up.
+GRAM = 3
 #: Vectors that are held against a block of queries at a time.
 SLICE = 2048
 
@@ -314,12 +316,35 @@ def cap_payload(results: DataFrame, most_bytes: int = PAYLOAD_BYTES, head_bytes:
     return rows.where(F.col("_sum") <= most_bytes).drop("_b", "_sum")
 
 
+def _grams(text: Column, size: Column | int) -> Column:
+    """All stretches of so many characters of a text that has as many."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substr(text, i, F.lit(size) if isinstance(size, int) else size))
+
+
+def substring_hits(bodies: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, store_slug, n): how many bodies (store_slug, body) of each store have the hint of an asked (query_id, hint) in them.
+
+    Bodies are looked up by trigrams (hints of one or two characters by these). Each
+    hint waits only at its rarest one, counted over all bodies; a hint with one that no body
+    has is left at once. What meets there is held against the whole hint.
+    """
+    size = F.least(F.lit(GRAM), F.length("hint"))
+    grams = asked.where("hint <> ''").select("query_id", "hint", F.explode(F.array_distinct(_grams(F.col("hint"), size))).alias("gram"))
+    own = [F.when(F.length("body") >= k, _grams(F.col("body"), k)).otherwise(F.array().cast("array<string>")) for k in range(1, GRAM + 1)]
+    held = bodies.select("store_slug", "body", F.explode(F.array_distinct(F.concat(*own))).alias("gram"))
+    counts = held.select("gram").join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = grams.join(counts, "gram", "left").groupBy("query_id", "hint").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("without"))
+    rarest = written(rarest.where("without = 0").select("query_id", "hint", "gram"), "rarest-grams")
+    found = held.join(rarest, "gram").where(F.contains("body", F.col("hint")))
+    return found.groupBy("query_id", "store_slug").agg(F.count(F.lit(1)).alias("n"))
+
+
 def route_queries(queries: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
     """(query_id, store_slug, rung): the store that a query without one goes to.
 
     That with the most keyword matches, else the most products with the text in them,
-    else the largest, else the last indexed. The text rung compares only queries that
-    the keyword rung has missed, sent in blocks as the asked side.
+    else the largest, else the last indexed. The text rung looks only for queries that
+    the keyword rung has missed, by their rarest trigrams.
     """
     shop = products.where(F.coalesce("is_catalog_product", F.lit(True)))
     posts = postings(shop).withColumns({"product_id": F.concat_ws("\u0001", "store_slug", "product_id"), "store_slug": F.lit("")})
@@ -329,11 +354,7 @@ def route_queries(queries: DataFrame, products: DataFrame, stores: DataFrame) ->
     by_words = first(counted)
     missed = queries.select("query_id", F.lower(F.trim("text")).alias("hint")).where("hint <> ''").join(by_words, "query_id", "left_anti")
     body = F.lower(F.concat_ws("\u0001", "title", "handle", "product_type", F.array_join("tags", "\u0001")))
-    missed = written(missed, "missed-queries")
-    blocks, bodies = -(-missed.count() // BROADCAST_QUERIES) or 1, shop.select("store_slug", body.alias("body"))
-    sent = [F.broadcast(missed.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)) for i in range(blocks)]
-    hits = [bodies.join(block, F.contains("body", F.col("hint"))).groupBy("query_id", "store_slug").agg(F.count(F.lit(1)).alias("n")) for block in sent]
-    by_text = first(reduce(DataFrame.unionByName, hits))
+    by_text = first(substring_hits(shop.select("store_slug", body.alias("body")), written(missed, "missed-queries")))
     largest = stores.orderBy(F.desc(F.greatest("product_count", F.lit(0))), F.desc_nulls_last("indexed_at"), "slug").limit(1).select(F.col("slug").alias("_largest"), F.lit(1).alias("_one"))
     out = queries.select("query_id", F.lit(1).alias("_one")).join(by_words.withColumnRenamed("store_slug", "a"), "query_id", "left").join(by_text.withColumnRenamed("store_slug", "b"), "query_id", "left")
     out = out.join(F.broadcast(largest), "_one", "left")  # one row

@@ -243,3 +243,16 @@ def test_refresh_writes_only_the_stores_of_a_batch(spark, tmp_path, monkeypatch)
     assert batch(2) == want
     assert batch(3, ("t", 1, "2.50")) == want | {("t", "h1"): 250}
     assert {r.store_slug for r in spark.read.parquet(f"{at}/v3").collect()} == {"s", "t"}
+
+
+def test_substrings_are_found_by_their_rarest_grams(spark):
+    bodies = [("a", "red wool hat"), ("a", "hatter"), ("b", "red\u0001what"), ("b", "x"), ("c", ""), ("c", None), ("b", "aaaa")]
+    asked = [(1, "hat"), (2, "d w"), (3, "x"), (4, "re"), (5, "zzz"), (6, "hatters"), (7, "aaa"), (8, ""), (9, "red wool hat")]
+    found = search.substring_hits(spark.createDataFrame(bodies, "store_slug string, body string"), spark.createDataFrame(asked, "query_id int, hint string"))
+    want = {}
+    for q, hint in asked:
+        for store, body in bodies:
+            if hint and hint in (body or ""):
+                want[q, store] = want.get((q, store), 0) + 1
+    assert {(r["query_id"], r["store_slug"]): r["n"] for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
