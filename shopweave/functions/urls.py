@@ -9,7 +9,10 @@ from pyspark.sql import Column, functions as F, types as T
 
 from .columns import slugify
 
-SHAPE = r"^(?i:(https?))://([^/?#:]+)(:[0-9]+)?([^?#]*)(\?[^#]*)?"
+#: Scheme, host (a name, or an IPv6 address in brackets), port, path and query of a whole URL; what stands before an @ is USER's.
+SHAPE = r"(?s)^(?i:(https?))://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]\s]+)(:[0-9]*)?(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
+USER = r"^(?i:https?)://([^/?#]*)@"
+# fixed values: names of tracking parameters, and the language parts that stand before product paths
 TRACKING = "(?i)^(utm_|fbclid$|gclid$|mc_cid$|mc_eid$)"
 LOCALE = r"(?i)^/(?:[a-z]{2}(?:-[a-z]{2})?|undefined-undefined)/(products?/.+)$"
 
@@ -28,12 +31,18 @@ def normalize_url(url: Column) -> Column:
 
     Fragment, default port, tracking parameters, locale prefixes of product paths and
     spare slashes go; parameters are sorted by name, then value; product URLs lose
-    their parameters. Names and values keep their escapes.
+    their parameters. Names, values and credentials keep their escapes; credentials
+    without a name or password, empty ports and zeros before a port go, a port above
+    65535 gives null. Hosts are lower-cased; names of other scripts stay as they are.
     """
     u = F.trim(url)
     scheme = F.lower(F.regexp_extract(u, SHAPE, 1))
-    port = F.regexp_extract(u, SHAPE, 3)
-    port = F.when((scheme == "http") & (port == ":80") | (scheme == "https") & (port == ":443"), "").otherwise(port)
+    number = F.regexp_replace(F.regexp_extract(u, SHAPE, 3), "^:(?:0+(?=[0-9]))?", "")
+    default = (scheme == "http") & (number == "80") | (scheme == "https") & (number == "443")
+    port = F.when((number == "") | default, "").otherwise(F.concat(F.lit(":"), number))
+    user = F.regexp_replace(F.regexp_extract(u, USER, 1), ":$", "")
+    user = F.when(user == "", "").otherwise(F.concat(user, F.lit("@")))
+    possible = (F.length(number) < 5) | (F.length(number) == 5) & (number <= "65535")
     path = F.regexp_replace(F.regexp_extract(u, SHAPE, 4), "/+", "/")
     path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
     path = F.regexp_replace(path, LOCALE, "/$1")
@@ -44,7 +53,7 @@ def normalize_url(url: Column) -> Column:
     low = F.lower(path)
     product = F.contains(low, F.lit("/products/")) | F.contains(low, F.lit("/product/"))
     query = F.when(product | (query == ""), "").otherwise(F.concat(F.lit("?"), query))
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), host(u), port, path, query))
+    return F.when((scheme != "") & possible, F.concat(scheme, F.lit("://"), user, host(u), port, path, query))
 
 
 def normalize_store_url(url: Column) -> Column:

@@ -133,6 +133,21 @@ def c8_normalize_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""with u as (select page_id, regexp_extract(trim(url), '^https?://([^/?#]+)', 1) as h, regexp_replace({sql_url('trim(url)')}, '^https?://[^/?#]+', '') as tail from pages)
+select page_id, case (page_id % 7)::int when 0 then 'https://user:p%40w@' || lower(h) || tail when 1 then 'http://[2001:db8::a]:8080' || tail when 2 then 'https://name@' || lower(h) || tail when 3 then 'https://' || lower(h) || tail
+  when 4 then 'http://a@b:c@' || lower(h) || ':8443' || tail end as url_norm, case (page_id % 7)::int when 1 then '[2001:db8::a]' when 5 then lower(h) when 6 then '' else lower(h) end as host from u""")
+def c8_url_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with credentials, IPv6 hosts, odd ports, and two that are none: a port out of range and a bracket left open."""
+    url = F.trim("url")
+    h, rest = F.regexp_extract(url, "^https?://([^/?#]+)", 1), F.regexp_replace(url, "^https?://[^/?#]+", "")
+    heads = [
+        F.concat(F.lit("https://user:p%40w@"), F.upper(h), F.lit(":443")), F.lit("http://[2001:DB8::A]:8080"), F.concat(F.lit("HTTPS://name:@"), h, F.lit(":00443")), F.concat(F.lit("https://@"), h, F.lit(":")),
+        F.concat(F.lit("http://a@b:c@"), h, F.lit(":8443")), F.concat(F.lit("https://"), h, F.lit(":99999")), F.lit("http://[::1"),
+    ]
+    made = F.concat(F.element_at(F.array(*heads), (F.col("page_id") % 7 + 1).cast("int")), rest)
+    return V.table(spark, sf_dir, "pages").select("page_id", U.normalize_url(made).alias("url_norm"), U.host(made).alias("host"))
+
+
 def sql_score(x: str) -> str:
     path, query = f"lower({sql_part(x, 4)})", sql_part(x, 5)
     return f"""(case when contains({path}, '/products/') then 100 else 0 end + case when contains({path}, '/product/') then 80 else 0 end + case when contains({path}, '/collections/') then 8 else 0 end
