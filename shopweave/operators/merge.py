@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import is_catalog_product, no_strings
+from ..sources.shared import written
 
 KEYS = ["store_slug", "handle"]
 
@@ -136,22 +137,50 @@ def hashing_embedding(texts: list[str], dims: int = 64) -> list[list[float]]:
     return (out / np.where(norm == 0, 1, norm)).tolist()
 
 
+def _embedded(texts: list[str], embed: Callable[[list[str]], list[list[float]]], batch: int) -> list[list[float] | None]:
+    vectors: list[list[float] | None] = []
+    for at in range(0, len(texts), batch):
+        part = texts[at : at + batch]
+        try:
+            vectors += embed(part)
+        except Exception:  # the callable is the user's: whatever it raises, these rows stay without a vector
+            vectors += [None] * len(part)
+    return vectors
+
+
 def embed_changed(changed: DataFrame, embed: Callable[[list[str]], list[list[float]]] = hashing_embedding, batch: int = 64, max_chars: int = 8000, parallelism: int | None = None) -> DataFrame:
-    """changed with an embedding of search_text; a batch that fails gives nulls. parallelism spreads the calls."""
+    """changed with an embedding of search_text; a batch that fails gives nulls. parallelism spreads the calls.
+
+    Rows go through the calls whole, so they are worked out once and joined to nothing.
+    """
     if parallelism:
         changed = changed.repartition(parallelism)
+    rows = changed.drop("embedding")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [(t or "")[:max_chars] for t in b["search_text"]]
-            vectors: list[list[float] | None] = []
-            for at in range(0, len(texts), batch):
-                part = texts[at : at + batch]
-                try:
-                    vectors += embed(part)
-                except Exception:  # the callable is the user's: whatever it raises, these rows stay without a vector
-                    vectors += [None] * len(part)
-            yield b[["store_slug", "handle"]].assign(embedding=vectors)
-
-    vectors = changed.select("store_slug", "handle", "search_text").mapInPandas(run, "store_slug string, handle string, embedding array<float>")
-    return changed.drop("embedding").join(vectors, KEYS)
+            texts = [(t or "")[:max_chars] for t in b.column("search_text").to_pylist()]
+            vectors = pa.array(_embedded(texts, embed, batch), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([*b.columns, vectors], [*b.schema.names, "embedding"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+
+
+def text_key(text: Column, max_chars: int = 8000) -> Column:
+    """What a vector is stored under: the digest of the text that is embedded."""
+    return F.sha2(F.substring(F.coalesce(text, F.lit("")), 1, max_chars), 256)
+
+
+def embed_texts(changed: DataFrame, vectors: DataFrame | None, embed: Callable[[list[str]], list[list[float]]] = hashing_embedding, batch: int = 64, max_chars: int = 8000) -> tuple[DataFrame, DataFrame]:
+    """(changed with an embedding, new vectors): each text is asked for once, and only if no stored vector has its key.
+
+    vectors is the stored table (text_key, embedding); the new ones, written, are to be
+    appended to it. Texts without a vector, as their batch failed, are asked for again next time.
+    """
+    rows = changed.drop("embedding").withColumn("text_key", text_key(F.col("search_text"), max_chars))
+    texts = rows.groupBy("text_key").agg(F.any_value(F.coalesce("search_text", F.lit(""))).alias("search_text"))
+    if vectors is not None:
+        texts = texts.join(vectors.select("text_key"), "text_key", "left_anti")
+    new = written(embed_changed(texts, embed, batch, max_chars).where("embedding is not null").select("text_key", "embedding"), "vectors")
+    known = new if vectors is None else new.unionByName(vectors.select("text_key", "embedding"))
+    return rows.join(known, "text_key", "left").drop("text_key"), new

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import columns as C
 from ..operators import catalog as K, dedup as D, feeds, merge as M
 from ..sources import io
+from ..sources.shared import new_path
 from . import views as V
 from .column_queries import SQL_TOKENS, sql_url
 
@@ -61,8 +62,13 @@ def io1_read_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select count(*) as n, count(distinct url) as urls, sum(length(html))::bigint as chars from pages")
 def io2_read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = io.read_table(spark, f"{sf_dir}/pages.parquet")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"), F.sum(F.length("html")).alias("chars"))
+    """The pages table landed as fetched pages, then read with their schema."""
+    path = new_path(spark, "landed-pages")
+    pages = V.table(spark, sf_dir, "pages")
+    landed = pages.select(F.lit("s").alias("store_slug"), "url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.col("html").alias("body"), F.col("page_id").alias("further"))
+    landed.write.parquet(path)
+    rows = io.read_pages(spark, path)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("url").alias("urls"), F.sum(F.length("body")).alias("chars"))
 
 
 @query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2)::double as total from orders group by 1")
@@ -269,10 +275,35 @@ def u13_backfill_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.backfill_metadata(p).select(F.col("p_partkey").alias("partkey"), "is_catalog_product", "summary_short", joined("option_tokens"), "content_hash")
 
 
-@query()
+SQL_LETTERS = "concat_ws(' ', " + ", ".join(f"length(text) - length(replace(text, '{c}', ''))" for c in "aeinorst") + ", length(text))"
+SQL_CHANGED = f"""{SQL_V2}, changed as (select v2.*, replace(v2.handle, '-', ' ') as text from v2 left join v1 using (store_slug, handle) where v1.content_hash is null or v1.content_hash <> v2.content_hash)"""
+
+
+def letter_counts(texts: list[str]) -> list[list[float]]:
+    """An embedding that SQL can work out too: how often some letters stand in a text, and its length."""
+    return [[float(t.count(c)) for c in "aeinorst"] + [float(len(t))] for t in texts]
+
+
+def _with_counts(rows: DataFrame) -> DataFrame:
+    shown = F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ")
+    return rows.select("store_slug", "handle", "product_id", "price_min", "content_hash", "summary_llm", shown.alias("vector"))
+
+
+@query(f"with {SQL_CHANGED} select store_slug, handle, product_id, price_min, content_hash, summary_llm, {SQL_LETTERS} as vector from changed")
 def u14_embed_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = two_versions(spark, sf_dir)
-    return M.embed_changed(M.changed_products(new, old).withColumn("search_text", F.translate("handle", "-", " ")))
+    changed = M.changed_products(new, old).withColumn("search_text", F.translate("handle", "-", " "))
+    return _with_counts(M.embed_changed(changed, letter_counts))
+
+
+@query(f"with {SQL_CHANGED} select store_slug, handle, product_id, price_min, content_hash, summary_llm, case when length(text) % 2 = 0 then '7 7' else {SQL_LETTERS} end as vector from changed")
+def u14_embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same against a stored table that has vectors, told by their values, of all texts of even length."""
+    old, new = two_versions(spark, sf_dir)
+    changed = M.changed_products(new, old).withColumn("search_text", F.translate("handle", "-", " "))
+    texts = new.unionByName(old).select(F.translate("handle", "-", " ").alias("t")).where("length(t) % 2 = 0").distinct()
+    stored = texts.select(M.text_key(F.col("t")).alias("text_key"), F.array(F.lit(7.0), F.lit(7.0)).cast("array<float>").alias("embedding"))
+    return _with_counts(M.embed_texts(changed, stored, letter_counts)[0])
 
 
 # ---- filters and lookups

@@ -199,12 +199,11 @@ def x1_extract_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {P}, first as (select partkey, arg_min(available, id) as av from variants group by 1)
-select store_slug, handle, title, price_min, price_max, av as available from products join first using (partkey) where partkey % 9 <> 0 and partkey % 4 <> 0""")
+select store_slug, handle, title, price_min, case when partkey % 4 = 0 then price_min else price_max end as price_max, partkey % 4 = 0 or av as available from products join first using (partkey) where partkey % 9 <> 0""")
 def x2_normalize_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page's product is available if its first offer is."""
+    """A page's product is available if its first offer is; one of meta tags alone has one price and counts as available."""
     raw = X.extract_products(product_pages(spark, sf_dir)).withColumn("options", F.array().cast("array<struct<name:string,values:array<string>>>"))
-    p = feeds.normalize_products(raw.where("size(variants) > 0"))
-    return p.select("store_slug", "handle", "title", "price_min", "price_max", "available")
+    return feeds.normalize_products(raw).select("store_slug", "handle", "title", "price_min", "price_max", "available")
 
 
 @query(f"""with {P} select store_slug, handle, product_id, title, price_min, price_max, available, 'shopify_json' as source from products""")

@@ -256,3 +256,26 @@ def test_substrings_are_found_by_their_rarest_grams(spark):
                 want[q, store] = want.get((q, store), 0) + 1
     assert {(r["query_id"], r["store_slug"]): r["n"] for r in found.collect()} == want
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_text_is_embedded_once(spark, tmp_path):
+    rows = spark.createDataFrame([("s", f"h{i}", f"text {i % 4}", i) for i in range(40)] + [("s", "none", None, 1), ("t", "none", "", 2)], "store_slug string, handle string, search_text string, n long")
+    log = str(tmp_path)
+
+    def embed(texts):
+        import uuid
+
+        with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(texts))
+        return [[float(len(t))] for t in texts]
+
+    def asked():
+        return sorted(line for f in tmp_path.iterdir() for line in f.read_text().split("\n"))
+
+    found, new = merge.embed_texts(rows, None, embed)
+    assert {(r["handle"], r["n"]): r["embedding"] for r in found.collect()} == {("none", 1): [0.0], ("none", 2): [0.0]} | {(f"h{i}", i): [6.0] for i in range(40)}
+    assert asked() == sorted(["", *(f"text {i}" for i in range(4))])
+    more = rows.unionByName(spark.createDataFrame([("s", "h9", "another text", 9)], rows.schema))
+    again, fresh = merge.embed_texts(more, new, embed)
+    assert again.where("embedding is null").count() == 0 and fresh.count() == 1
+    assert asked() == sorted(["", "another text", *(f"text {i}" for i in range(4))])
