@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
 from ..operators import catalog as K, dedup as D, feeds, merge as M
-from ..sources import io
+from ..sources import io, semistructured as semi
 from ..sources.shared import new_path
 from . import views as V
 from .column_queries import SQL_TOKENS, sql_url
@@ -323,6 +323,15 @@ def f2_filter_by_option(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("store_slug", "product_id", "rank")
 
 
+@query(ORACLES["f2_filter_by_option"])
+def f2_filter_raw_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filter of f2 over products landed as JSON lines and read by path, without a schema."""
+    path = new_path(spark, "product-lines")
+    V.products(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(path)
+    rows = semi.filterable(semi.from_json_lines(spark.read.text(path)))
+    return K.filter_products(rows, options={"SIZE": "m ", "color": "Red"}, available_only=True, limit=500).select("store_slug", "product_id", "rank")
+
+
 SQL_REQUESTS = P + """, requests as (select partkey as request_id, store_slug, case when partkey % 7 = 0 then 'none' else handle end as handle from products where partkey % 3 = 0)"""
 
 

@@ -279,3 +279,25 @@ def test_each_text_is_embedded_once(spark, tmp_path):
     again, fresh = merge.embed_texts(more, new, embed)
     assert again.where("embedding is null").count() == 0 and fresh.count() == 1
     assert asked() == sorted(["", "another text", *(f"text {i}" for i in range(4))])
+
+
+def test_filters_read_semistructured_products_by_path(spark):
+    import json
+
+    from shopweave.operators import catalog
+    from shopweave.sources import semistructured as semi
+
+    items = [
+        {"store_slug": "s", "product_id": "1", "handle": "a", "variants": [{"options": {"Size ": " M", "Color": "Red"}, "available": True}], "extra": {"deep": [1, {"x": "y"}]}},
+        {"store_slug": "s", "product_id": "2", "handle": "b", "variants": [{"options": {"size": "m"}, "available": True}, {"options": {"color": "red"}, "available": True}], "price_min": 5},
+        {"store_slug": "s", "product_id": "3", "handle": "c", "variants": "none", "price_min": "dear", "tags": ["x", "y"]},
+        {"store_slug": "s", "product_id": "4", "handle": "d", "variants": [{"options": {"size": 7, "color": "red"}}], "tags": None},
+    ]
+    lines = spark.createDataFrame([(json.dumps(x),) for x in items] + [("{broken",)], "value string")
+    rows = semi.filterable(semi.from_json_lines(lines))
+    ids = lambda **kw: sorted(r["product_id"] for r in catalog.filter_products(rows.where("store_slug is not null"), **kw).collect())
+    assert ids(options={"size": "M", "color": "red"}, available_only=True) == ["1"]
+    assert ids(options={"size": "7"}) == ["4"] and ids(tags=["y"]) == ["3"] and ids(price_min=5) == ["2"]
+    assert rows.where(semi.field(rows.data, "$.extra.deep[1].x") == "y").count() == 1 and rows.where("data is null").count() == 1
+    back = semi.filterable(semi.to_data(spark.createDataFrame([("s", "9", "h", 4, None)], "store_slug string, product_id string, handle string, price_min long, price_max long"), ("store_slug", "product_id", "handle")))
+    assert tuple(back.select("price_min", "price_max").first()) == (4, None)
