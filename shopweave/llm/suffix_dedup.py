@@ -395,7 +395,8 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = wide.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # at most SALTS rows for WIDE ones of left
     left = left.withColumn("salt", F.pmod(F.xxhash64("d", "h", "at"), F.lit(SALTS)).cast("int")).join(copies, ["m", "salt"], "left").withColumn("at", F.when(F.col("wide"), F.col("at") - OPEN + GONE).otherwise(F.col("at")))
     per_doc = left.groupBy("d", "h").agg(F.collect_list(F.struct("at", "m")).alias("l")).select("d", "h", F.col("l.at").alias("ats"), F.col("l.m").alias("ms"))
-    opened = keyed.join(per_doc, ["d", "h"]).select("d", "h", "text", "ats", "ms").mapInPandas(_opened, "k long, d long, h long, at long, bytes binary")
+    # the same columns as in without_repeats(), so that texts are shuffled once for both joins
+    opened = keyed.join(per_doc, ["d", "h"]).select("d", "h", "no_id", "text", "ats", "ms").mapInPandas(_opened, "k long, d long, h long, at long, bytes binary")
     found = opened.repartition(parts(spark), "k").sortWithinPartitions("k").mapInPandas(_sorted, "d long, h long, at long")
     return keyed, judged.where(told).select("d", "h", "at").unionByName(found)
 
