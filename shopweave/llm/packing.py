@@ -82,14 +82,15 @@ def _plain(text: str) -> bool:
     return not any(c > "ɏ" or c in "İ\xad" or "\x7f" <= c <= "\xa0" for c in set(text))
 
 
-def assign(lengths: np.ndarray, length: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
+def assign(lengths: np.ndarray, length: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC, powers: bool = False) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset).
 
     Whole stretches of a full sequence are cut off first. The rests go, longest first,
     to the sequence of the lowest estimated cost, linear * n + quadratic * n * n summed
     over its pieces, among those with room for all of it; where none has, to the
     cheapest with any room, and what is over is assigned again. There are as many
-    sequences as the tokens need, so less than one sequence is padding.
+    sequences as the tokens need, so less than one sequence is padding; with `powers` what
+    would be a last one is cut into sequences of powers of two, which need no padding.
     """
     pieces, rests, seq = [], [], 0
     for d, n in enumerate(lengths.tolist()):
@@ -99,11 +100,13 @@ def assign(lengths: np.ndarray, length: int = LENGTH, linear: float = LINEAR, qu
         if n % length:
             rests.append((n % length, d, n - n % length))
     total = sum(r[0] for r in rests)
-    count = -(-total // length)
-    used, cost = np.zeros(count, np.int64), np.zeros(count)
+    over = total % length
+    last = [1 << k for k in reversed(range(over.bit_length())) if over >> k & 1] if powers else [length] * (over > 0)
+    most = np.array([length] * (total // length) + last, np.int64)
+    used, cost = np.zeros(len(most), np.int64), np.zeros(len(most))
     for n, d, at in sorted(rests, key=lambda r: (-r[0], r[1])):
         while n:
-            room = length - used
+            room = most - used
             fits = np.where(room >= n, cost, np.inf)
             k = int(fits.argmin())
             if not np.isfinite(fits[k]):
@@ -124,7 +127,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
 
     Each task packs the documents it has read, in chunks of about `chunk_tokens`
     tokens, so there is no shuffle, memory is bounded and a lost executor's tasks run
-    again by themselves. A chunk pads less than one sequence. sequence_id is the
+    again by themselves. Nothing is padded. sequence_id is the
     partition, the chunk and the sequence in it. Null and empty texts are the end id
     alone. A text over a chunk long is a chunk of its own. Repeated rows are packed
     each; null ids stay null; an empty table gives no pieces.
@@ -138,7 +141,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int
         names, held, size, chunk = [], [], 0, 0
 
         def out(part: int) -> pd.DataFrame:
-            pieces = assign(np.array([len(h) for h in held], np.int64), length)
+            pieces = assign(np.array([len(h) for h in held], np.int64), length, powers=True)
             cost: dict[int, float] = {}
             for p in pieces:
                 cost[p[3]] = cost.get(p[3], 0.0) + LINEAR * p[2] + QUADRATIC * p[2] * p[2]

@@ -486,3 +486,25 @@ def test_broadcast_trees_have_inner_nodes_on_real_codes():
     found = {(int(a), int(b)) for t in trees for x, y in t.near(codes, 4) for a, b in zip(x, y, strict=True)}
     want = {(int(a), int(b)) for a in codes for b in codes[np.bitwise_count(codes ^ a) <= 4]}
     assert found == want
+
+
+def test_all_ids_are_packed_and_nothing_is_padded(spark, corpus):
+    """Each document's ids against the whole tokenizer, piece by piece; sequences are full or a power of two."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenizer_path())
+    rows = [(i, t) for i, (_, t) in enumerate(text([*corpus, (90, "don't İx <|endoftext|> é ½ 12ab"), (91, "word " * 9000), (92, "")]))]
+    found = PK.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), tokenizer_path(), chunk_tokens=9000).collect()
+    pieces = {}
+    for r in found:
+        pieces.setdefault(r.doc_id, []).append(r)
+    for d, t in rows:
+        ids, at = np.array([*whole.encode(t or "", add_special_tokens=False).ids, 2], "<u4"), 0
+        for r in sorted(pieces[d], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    sizes = Counter()
+    for r in found:
+        sizes[r.sequence_id] += r.length
+    assert all(n <= 4096 and n & (n - 1) == 0 for n in sizes.values())
