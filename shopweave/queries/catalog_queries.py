@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
-from ..operators import catalog as K, dedup as D, feeds, merge as M
+from ..operators import catalog as K, dedup as D, feeds, merge as M, tallies as TL
 from ..sources import io, semistructured as semi
 from ..sources.shared import new_path
 from . import views as V
@@ -414,11 +414,16 @@ SQL_MANIFEST = (
 )
 
 
+def with_blanks(p: DataFrame) -> DataFrame:
+    """Products some of which have a blank type or no source."""
+    k = F.col("p_partkey")
+    return p.withColumns({"product_type": F.when(k % 5 == 0, " ").otherwise(F.col("product_type")), "source": F.when(k % 4 != 0, F.col("source"))})
+
+
 def manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, k = V.full_products(spark, sf_dir), F.col("p_partkey")
-    urls = p.select("store_slug", F.col("url").alias("url_norm"), (k % 9 == 0).alias("external_discovered"))
-    p = p.withColumns({"product_type": F.when(k % 5 == 0, " ").otherwise(F.col("product_type")), "source": F.when(k % 4 != 0, F.col("source"))})
-    return K.manifest(p, urls)
+    p = V.full_products(spark, sf_dir)
+    urls = p.select("store_slug", F.col("url").alias("url_norm"), (F.col("p_partkey") % 9 == 0).alias("external_discovered"))
+    return K.manifest(with_blanks(p), urls)
 
 
 @query(f"with {SQL_MANIFEST} select * from manifest")
@@ -485,3 +490,45 @@ def r1_stores_with_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {PS} select slug, product_count, indexed_at from stores order by product_count desc, indexed_at desc nulls last, slug limit 10 offset 3")
 def l1_list_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.list_stores(V.stores(spark, sf_dir), "size", 10, 3).select("slug", "product_count", F.col("indexed_at").cast("timestamp_ntz").alias("indexed_at"))
+
+
+# ---- counts kept by changes
+
+
+def kept_counts(p: DataFrame) -> DataFrame:
+    """Counts of an older catalog, in which products had other types, tags and stock, some were missing and some are gone since, with the changes to the present one put in."""
+    new = p.select("handle", *TL.READ, "p_partkey").withColumn("content_hash", F.xxhash64("product_type", "tags", "available", F.size("variants")))
+    k = F.col("p_partkey")
+    old = new.where(k % 7 != 1).withColumns(
+        {
+            "product_type": F.when(k % 5 == 0, "old type").when(k % 5 == 1, "").otherwise(F.col("product_type")), "tags": F.when(k % 4 == 0, F.array(F.lit("old"), F.lit(""))).otherwise(F.col("tags")),
+            "available": F.when(k % 6 == 0, ~F.col("available")).otherwise(F.col("available")), "variants": F.when(k % 10 == 3, F.slice("variants", 1, 1)).otherwise(F.col("variants")),
+        }
+    ).withColumn("content_hash", F.xxhash64("product_type", "tags", "available", F.size("variants")))
+    old = old.unionByName(new.where(k % 8 == 2).withColumns({"handle": F.concat(F.lit("gone-"), "handle"), "store_slug": F.when(k % 3 == 0, "gone").otherwise(F.col("store_slug"))}))
+    return TL.merged(TL.summed(TL.contributions(old)), TL.changes(new, old, gone=True))
+
+
+@query(ORACLES["a1_product_type_facets"])
+def a1_facets_by_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TL.type_facets(kept_counts(V.full_products(spark, sf_dir)))
+
+
+@query(ORACLES["a2_top_tags"])
+def a2_tags_by_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TL.top_tags(kept_counts(V.full_products(spark, sf_dir)))
+
+
+@query(ORACLES["a3_catalog_totals"])
+def a3_totals_by_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TL.totals(kept_counts(V.full_products(spark, sf_dir)))
+
+
+@query(ORACLES["a5_manifest_summary"])
+def a5_summary_by_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TL.summary(kept_counts(V.full_products(spark, sf_dir)))
+
+
+@query(ORACLES["a6_breakdowns"])
+def a6_breakdowns_by_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TL.breakdowns(kept_counts(with_blanks(V.full_products(spark, sf_dir))))
