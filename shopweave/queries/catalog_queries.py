@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
 from ..operators import catalog as K, dedup as D, feeds, merge as M, tallies as TL
-from ..sources import io, semistructured as semi
-from ..sources.shared import new_path
+from ..sources import bucketed, io, semistructured as semi
+from ..sources.shared import new_path, written
 from . import views as V
 from .column_queries import SQL_TOKENS, sql_url
 
@@ -228,6 +230,17 @@ def u9_upsert_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.upsert_products(*two_versions(spark, sf_dir))
 
 
+@query(ORACLES["u9_upsert_products"])
+def u9_bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The upsert of u9 into a catalog stored in buckets of its key."""
+    old, new = two_versions(spark, sf_dir)
+    table = f"catalog_{uuid.uuid4().hex}"
+    bucketed.save(old, table, new_path(spark, table), 16)
+    found = written(bucketed.upserted(spark, table, new, force=True), "upserted")
+    spark.sql(f"drop table {table}")
+    return found
+
+
 SQL_CRAWL = f"""urls as (select page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) as store_slug, {sql_url('url')} as url_norm, ['sitemap', 'shopify_json', 'html_link', 'external'][(page_id % 4 + 1)::int] as source from pages),
 crawl as (select store_slug, url_norm, max_by(source, page_id) as source, max(page_id) as run_id, max((source = 'external')::int) = 1 as external_discovered from urls group by 1, 2)"""
 
