@@ -138,3 +138,23 @@ def b9_stream_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     out = spark.read.parquet(f"{at}/out").withColumn("last", F.max("n").over(W.partitionBy("basket_id")))
     return out.where("n = last and variant_id is not null").select("basket_id", "variant_id", "quantity", "added_seq", "unit_price", "status")
+
+
+@query(ORACLES["b6_fold_baskets"])
+def b9_handover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first half of the log folded as a batch, the rest as a stream that starts from it; some of the first half comes again and is late."""
+    stream.use_state_store(spark)
+    at = new_path(spark, "handover")
+    events = V.basket_events(spark, sf_dir)
+    half = (events.agg(F.max("seq")).first()[0] or 0) // 2
+    so_far = stream.handover(events.where(F.col("seq") <= half))
+    so_far.write.parquet(f"{at}/so-far")
+    so_far = spark.read.parquet(f"{at}/so-far")
+    files = spark.readStream.schema(V.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
+    live = stream.stream_baskets(V.basket_events_of(files).where(F.col("seq") > half - 500), so_far)
+    q = live.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/n={n}")).outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    cols = ["basket_id", "variant_id", "quantity", "added_seq", "unit_price", "status"]
+    out = spark.read.parquet(f"{at}/out").withColumn("last", F.max("n").over(W.partitionBy("basket_id"))).where("n = last")
+    still = so_far.join(out.select("basket_id").distinct(), "basket_id", "left_anti").withColumn("status", F.when(F.col("closed_seq").isNull(), "active").otherwise("checked_out"))
+    return out.select(*cols).unionByName(still.select(*cols)).where("variant_id is not null")

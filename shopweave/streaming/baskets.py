@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from ..operators import baskets as batch
+
 MOST = 99
 LINE = StructType([StructField("quantity", LongType()), StructField("unit_price", LongType()), StructField("added_seq", LongType())])
 HEAD = StructType([StructField("last_seq", LongType()), StructField("closed_seq", LongType()), StructField("late", LongType())])
@@ -46,6 +48,13 @@ class Baskets(StatefulProcessor):
         now = [(key[0], v[0], x[0], x[1], x[2], status, late) for v, x in self.lines.iterator()]
         yield pd.DataFrame(now or [(key[0], None, 0, 0, 0, status, late)], columns=[c.split()[0] for c in OUT.split(", ")])
 
+    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        """Takes over a basket from a batch fold, as handover() gives it: its lines, last event and closing."""
+        for r in initialState.itertuples(index=False):
+            if r.variant_id is not None:
+                self.lines.updateValue((r.variant_id,), (int(r.quantity), int(r.unit_price), int(r.added_seq)))
+            self.head.update((int(r.last_seq), None if pd.isna(r.closed_seq) else int(r.closed_seq), 0))
+
     def _apply(self, e: Any) -> None:
         name = (e.variant_id,)
         quantity = None if pd.isna(e.quantity) else int(e.quantity)
@@ -74,7 +83,19 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def stream_baskets(events: DataFrame) -> DataFrame:
-    """The lines of each basket that a micro-batch has touched (basket_id, seq, op, variant_id, quantity, unit_price, mark in); an empty basket gives one row without a variant."""
+def handover(events: DataFrame) -> DataFrame:
+    """(basket_id, variant_id, quantity, unit_price, added_seq, last_seq, closed_seq): the batch fold of a log so far, from which a stream can go on; a basket without lines is one row."""
+    heads = events.groupBy("basket_id").agg(F.max("seq").alias("last_seq")).join(batch.closings(events), "basket_id", "left")
+    lines = batch.fold_baskets(events).select("basket_id", "variant_id", *[F.col(c).cast("long").alias(c) for c in ("quantity", "unit_price", "added_seq")])
+    return heads.join(lines, "basket_id", "left").select("basket_id", "variant_id", "quantity", "unit_price", "added_seq", F.col("last_seq").cast("long").alias("last_seq"), F.col("closed_seq").cast("long").alias("closed_seq"))
+
+
+def stream_baskets(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
+    """The lines of each basket that a micro-batch has touched (basket_id, seq, op, variant_id, quantity, unit_price, mark in); an empty basket gives one row without a variant.
+
+    initial: handover() of the log before the stream. Its baskets are taken over in the
+    first batch; events that it has seen are late.
+    """
     rows = events.select("basket_id", "seq", "op", "variant_id", F.col("quantity").cast("long").alias("quantity"), "unit_price", F.coalesce("mark", F.lit(False)).alias("mark"))
-    return rows.groupBy("basket_id").transformWithStateInPandas(statefulProcessor=Baskets(), outputStructType=OUT, outputMode="Update", timeMode="None")
+    state = None if initial is None else initial.groupBy("basket_id")
+    return rows.groupBy("basket_id").transformWithStateInPandas(statefulProcessor=Baskets(), outputStructType=OUT, outputMode="Update", timeMode="None", initialState=state)
