@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import tone_tokens
 from ..operators import catalog as K, search as S, text_index as TI, vector_index as VI
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from . import views as V
 from .column_queries import SQL_BUDGET, SQL_TOKENS
 
@@ -164,6 +164,11 @@ ASKED = [
 ]
 
 
+def stored_catalog(products: DataFrame) -> DataFrame:
+    """The catalog as it is searched, from its stored table and not worked out anew for each ranking."""
+    return written(products, "catalog")
+
+
 def store_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = "struct<n:int,text:string,available_only:boolean,budget_min:bigint,budget_max:bigint,tone:string,sort:string,limit:int>"
     asked = [F.struct(F.lit(i), *map(F.lit, row)).cast(kinds) for i, row in enumerate(ASKED)]
@@ -202,26 +207,26 @@ SQL_SCORED = f"""{SQL_ASKED}, cand as (select a.*, p.* exclude (store_slug), 1.0
   where rank <= greatest(1, least(50, coalesce(lim, 10))) * 5 and (available or not available_only))
 select query_id, place::int as rank, product_id, round(1.0::double / (60 + rank), 6) as score, price_min, available from f where place <= greatest(1, least(50, coalesce(lim, 10)))""")
 def s8_search_v1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search_v1(V.full_products(spark, sf_dir), store_queries(spark, sf_dir), V.stores(spark, sf_dir)).select("query_id", "rank", "product_id", "score", "price_min", "available")
+    return S.search_v1(stored_catalog(V.full_products(spark, sf_dir)), store_queries(spark, sf_dir), V.stores(spark, sf_dir)).select("query_id", "rank", "product_id", "score", "price_min", "available")
 
 
 @query(f"""with {SQL_SCORED}, r as (select *, row_number() over (partition by query_id order by case sort when 'price_low_to_high' then price_min when 'price_high_to_low' then -price_max else 0 end, round(total, 9) desc, title, product_id)::int as rank from scored where reason is null)
 select query_id, rank, product_id, price_min, price_max, available, round(total, 6)::double as total from r where rank <= n_results""")
 def s9_search_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = S.search_v2(V.full_products(spark, sf_dir), store_queries(spark, sf_dir), V.stores(spark, sf_dir))
+    found = S.search_v2(stored_catalog(V.full_products(spark, sf_dir)), store_queries(spark, sf_dir), V.stores(spark, sf_dir))
     return found.select("query_id", "rank", "product_id", "price_min", "price_max", "available", F.round("total", 6).alias("total"))
 
 
 @query(f"with {SQL_SCORED} select query_id, count(*) filter (reason = 'over_budget') as over_budget, count(*) filter (reason = 'unavailable') as unavailable, 0::bigint as low_relevance from scored group by 1")
 def s10_excluded_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.excluded_counts(S.scored(S.candidates(V.full_products(spark, sf_dir), store_queries(spark, sf_dir))))
+    return S.excluded_counts(S.scored(S.candidates(stored_catalog(V.full_products(spark, sf_dir)), store_queries(spark, sf_dir))))
 
 
 @query(f"""with {SQL_SCORED} select query_id, product_id, array_to_string(list_filter(['intent_match', case when fit > 0 then 'under_budget' end, case when available then 'in_stock' end,
 case when tone_hit then case when tone = 'dark' then 'deeper_shade_signal' else 'skin_tone_signal' end end, case when color_hit then 'recommended_option' end], lambda x: x is not null), '|') as signals,
 'Matches query intent' || case when fit > 0 then '; within budget' else '' end || case when tone_hit then '; shade fit signal detected' else '' end || case when color_hit then '; tone-aligned options: Color: ' || color else '' end as why from scored""")
 def s11_fit_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = S.scored(S.candidates(V.full_products(spark, sf_dir), store_queries(spark, sf_dir)))
+    rows = S.scored(S.candidates(stored_catalog(V.full_products(spark, sf_dir)), store_queries(spark, sf_dir)))
     return rows.select("query_id", "product_id", F.array_join("fit_signals", "|").alias("signals"), F.col("why_match").alias("why"))
 
 
@@ -291,7 +296,7 @@ def hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Products and questions with embeddings, where the table of vectors has one for them, and questions without a store."""
     vectors = V.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     p = V.full_products(spark, sf_dir)
-    p = p.join(vectors, p.p_partkey == vectors.vec_id, "left").drop("vec_id")
+    p = stored_catalog(p.join(vectors, p.p_partkey == vectors.vec_id, "left").drop("vec_id"))
     own = store_queries(spark, sf_dir)
     kinds = dict(own.dtypes)
     fixed = {"available_only": False, "sort": "best_match", "limit": 8}
