@@ -2,7 +2,7 @@
 
 On disk an index is a folder with `items` (each vector with its list, in cells that a
 search can leave unread), `lists` (how many vectors a list of a store has and in how
-many slices they are cut) and `centroids`.
+many slices they are cut), `centroids` and `probes`, how many lists a query should ask.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from .search import vector_topk
+
 #: Rows that the centroids are fitted on at most, the first by a hash of their ids; at most so many lists.
 SAMPLE_ROWS, MOST_LISTS = 65_536, 1024
-#: Lists that a query is held against.
-PROBES = 8
+#: Vectors that an index is tried with when it is built, neighbours looked for, and the share of them that the lists asked by default must hold.
+TRIED, TRIED_NEAR, FOUND = 200, 20, 0.95
 #: Folders of `items`, and vectors that a slice of a list should have.
 CELLS, SLICE_ROWS = 64, 4096
 
@@ -63,6 +65,27 @@ def build(items: DataFrame, path: str, lists: int | None = None, sample_rows: in
     dealt.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/items")
     sizes = spark.read.parquet(f"{path}/items").groupBy("store_slug", "list").agg(F.count(F.lit(1)).alias("n"))
     sizes.withColumn("slices", F.ceil(F.col("n") / SLICE_ROWS).cast("int")).write.mode("overwrite").parquet(f"{path}/lists")
+    asked = spark.createDataFrame([(_tried(spark, path),)], "n int")
+    asked.write.mode("overwrite").parquet(f"{path}/probes")
+
+
+def _tried(spark: SparkSession, path: str) -> int:
+    """The fewest lists that hold FOUND of the exact neighbours of TRIED vectors, the first by another hash of their ids.
+
+    Vectors in clusters need few lists, those without any order most of them.
+    """
+    items = spark.read.parquet(f"{path}/items")
+    some = items.orderBy(F.xxhash64(F.lit("tried"), "store_slug", "product_id")).limit(TRIED)
+    some = some.select(F.concat_ws("\u0001", "store_slug", "product_id").alias("query_id"), "store_slug", "embedding")
+    near = vector_topk(items, some, TRIED_NEAR + 1).where(F.concat_ws("\u0001", "store_slug", "product_id") != F.col("query_id"))
+    held = near.join(items.select("store_slug", "product_id", "list"), ["store_slug", "product_id"]).groupBy("query_id").agg(F.collect_list("list").alias("lists"))
+    rows = held.join(some, "query_id").select("embedding", "lists").toPandas()  # at most TRIED
+    if rows.empty:
+        return 1
+    centers = np.array(spark.read.parquet(f"{path}/centroids").orderBy("list").toPandas()["center"].tolist(), np.float64)
+    order = _nearest(_unit(rows["embedding"]), centers, len(centers))
+    places = np.concatenate([np.argsort(o)[np.asarray(own, np.int64)] for o, own in zip(order, rows["lists"], strict=True)]) if order.shape[1] > 1 else np.zeros(1)
+    return int(np.quantile(places, FOUND, method="higher")) + 1
 
 
 def _nearest(unit: np.ndarray, centers: np.ndarray, n: int) -> np.ndarray:
@@ -90,14 +113,14 @@ def probes(spark: SparkSession, path: str, queries: DataFrame, n_probe: int) ->
     return rows.withColumn("cell", F.pmod(F.xxhash64("store_slug", "list"), F.lit(CELLS)).cast("int"))
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, k: int, n_probe: int = PROBES) -> DataFrame:
-    """(query_id, store_slug, product_id, distance, rank): the k nearest by cosine distance, then id, among the n_probe nearest lists of the query's store.
+def search(spark: SparkSession, path: str, queries: DataFrame, k: int, n_probe: int | None = None) -> DataFrame:
+    """(query_id, store_slug, product_id, distance, rank): the k nearest by cosine distance, then id, among the n_probe nearest lists of the query's store (as many as the index was tried to need, if not told).
 
     Distances are exact; only vectors of lists that are not asked can be missed. Only the
     cells of asked lists are read, queries meet the slices of their lists by a
     shuffle, and each slice hands on its k best of each query.
     """
-    asked = probes(spark, path, queries, n_probe)
+    asked = probes(spark, path, queries, n_probe or spark.read.parquet(f"{path}/probes").first()["n"])
     cells = [r["cell"] for r in asked.select("cell").distinct().collect()]  # at most CELLS
     slices = spark.read.parquet(f"{path}/lists").where("slices > 0").select("store_slug", "list", "slices")
     asked = asked.join(slices, ["store_slug", "list"])

@@ -122,7 +122,7 @@ def s4_vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     path = new_path(spark, "vector-index")
     VI.build(v.select("store_slug", "product_id", "embedding"), path)
-    return VI.search(spark, path, v.where("query_id % 100 = 0"), 20, n_probe=VI.PROBES).select("query_id", "product_id", "rank", F.round("distance", 6).alias("distance"))
+    return VI.search(spark, path, v.where("query_id % 100 = 0"), 20).select("query_id", "product_id", "rank", F.round("distance", 6).alias("distance"))
 
 
 @query(f"""with {SQL_NEAR}, other as (select * from (select query_id, store_slug, product_id, row_number() over (partition by query_id order by product_id desc)::int as rank from near) where rank <= 20),

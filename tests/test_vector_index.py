@@ -39,6 +39,10 @@ def test_few_lists_find_nine_of_ten(spark, items, path):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_clusters_need_few_lists(spark, items, path):
+    assert 1 <= spark.read.parquet(f"{path}/probes").first()["n"] <= VI.lists_for(items.count()) // 3
+
+
 def test_recall_on_the_table(spark, sf_dir):
     from shopweave.queries import search_queries as Q
 
