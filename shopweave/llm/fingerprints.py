@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .common import parts, texts, written
-from .links import BAND_SHIFT, FIRST_BAND, SALT, bucketed_links
+from .links import BAND_SHIFT, FIRST_BAND, SALT, bucketed_links, one_by_one
 
 SLOTS, SHINGLE, BANDS, ROWS, THRESHOLD = 128, 5, 21, 6, 0.8
 _R = np.random.default_rng(90210)
@@ -174,7 +174,7 @@ def near_copies(signed: DataFrame, docs: DataFrame, threshold: float = THRESHOLD
     bands = [(F.shiftrightunsigned(F.xxhash64(F.substring("fingerprint", 1 + ROWS * i, ROWS)), 64 - BAND_SHIFT) + F.lit(i - FIRST_BAND << BAND_SHIFT)) for i in range(BANDS)]
     distinct = signed.groupBy("h", "l").agg(F.min(F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))).alias("low"), F.max("n_chars").alias("size"), F.first("fingerprint").alias("fingerprint"))
     distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "h", "l", "low", "size", F.array(*bands).alias("bands")), "distinct-texts")
-    labels = bucketed_links(distinct.drop("low"), texts(docs, id_col, text_col), lambda t: [t], distinct_hashes, jaccard, threshold)
+    labels = bucketed_links(distinct.drop("low"), texts(docs, id_col, text_col), lambda t: [t], one_by_one(distinct_hashes), jaccard, threshold)
     return distinct.join(labels, distinct.id == labels.node, "left").select("h", "l", F.coalesce("root", "id").alias("root"), "low")
 
 

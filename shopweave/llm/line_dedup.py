@@ -81,14 +81,28 @@ def jaccard(a: str, b: str) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def distinct_hashes(line: str, k: int = SHINGLE) -> np.ndarray:
-    """The set of a line's shingles as sorted 64-bit hashes."""
-    c = np.frombuffer(line.ljust(k, "\0").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(len(c) - k + 1, np.uint64)
-    for i in range(k):
-        h = (h ^ c[i : i + len(h)]) * np.uint64(0x9FB21C651E98DF25)
-        h ^= h >> np.uint64(32)
-    return np.unique(h)
+def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`links.Shingles` of lines. A shingle below U+0100 is coded by its 8 characters, a byte each, another by a hash; a shorter line is one shingle."""
+    c = np.frombuffer("".join([x.ljust(SHINGLE, "\0") for x in lines]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = np.array([max(len(x), SHINGLE) for x in lines], np.int64)
+    ends, whole = np.cumsum(n), -(-len(c) // SHINGLE) * SHINGLE
+    low, codes = np.zeros(whole + SHINGLE, np.uint8), np.empty(whole, np.uint64)
+    low[: len(c)] = c.astype(np.uint8)
+    for i in range(SHINGLE):
+        codes[i::SHINGLE] = low[i : i + whole].view(np.uint64)
+    inside = np.ones(len(c), bool)
+    inside[(ends[:, None] - np.arange(1, SHINGLE)).ravel()] = False
+    wide = np.concatenate([[0], np.cumsum(c > 255)])
+    if wide[-1]:
+        at = np.nonzero(inside[: len(c) - SHINGLE + 1] & (wide[SHINGLE:] > wide[:-SHINGLE]))[0]
+        h = np.zeros(len(at), np.uint64)
+        for i in range(SHINGLE):
+            h = (h ^ c[at + i]) * np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(32)
+        codes[at] = h
+    plain = np.ones(len(n), bool)
+    plain[np.searchsorted(ends, np.nonzero((c > 255) | (c == 0))[0], side="right")] = False  # a real \0 looks like padding
+    return codes[: len(c)][inside], n - SHINGLE + 1, plain
 
 
 def lines_of(text: str) -> list[str]:
@@ -132,7 +146,7 @@ def _components(places: DataFrame, docs: DataFrame, threshold: float, id_col: st
     bands = [f"b{i}" for i in range(BANDS)]
     distinct = places.groupBy("h", "l").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), *[F.max(b).alias(b) for b in bands])
     distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "h", "l", "n", "size", F.array(*bands).alias("bands")), "distinct-lines")
-    linked = bucketed_links(distinct, texts(docs, id_col, text_col), lines_of, distinct_hashes, jaccard, threshold)
+    linked = bucketed_links(distinct, texts(docs, id_col, text_col), lines_of, shingle_codes, jaccard, threshold)
     named = distinct.select("id", "h", "l", "n").join(linked.withColumnRenamed("node", "id"), "id", "left")
     roots = written(named.where("n > 1 or root is not null").select("h", "l", F.coalesce("root", "id").alias("root")), "line-roots")
     forget(distinct)

@@ -25,8 +25,13 @@ SALT = xxhash.xxh64_intdigest(b"second", 42)
 BAND_SHIFT, FIRST_BAND = 59, 16
 #: A bucket is cut into slices of about so many texts and characters.
 SLICE_TEXTS, SLICE_CHARS = 2048, 1 << 24
+#: Small slices are compared together until they have so many characters.
+CHARS_AT_ONCE = 1 << 18
 #: Slots of the sieve, one bit each: what is sent to tasks has this size whatever the input.
 SIEVE_BITS = 1 << 25
+#: Texts -> their shingles' uint64 codes, one text after the other, repeats allowed; how many each has; which texts are plain:
+#: two plain texts have equal codes for equal shingles only. Equal shingles have equal codes in all calls.
+Shingles = Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -72,6 +77,16 @@ def hashed(text: str) -> list[Column]:
     return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("l")]
 
 
+def one_by_one(hashes: Callable[[str], np.ndarray]) -> Shingles:
+    """Shingles of a function for single texts, whose hashes can collide."""
+
+    def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        made = [hashes(t) for t in texts]
+        return np.concatenate(made), np.array([len(m) for m in made], np.int64), np.zeros(len(made), bool)
+
+    return shingles
+
+
 def keyed(hashes: np.ndarray) -> np.ndarray:
     """(text, band) uint64 hashes of bands -> signed band keys that order by band."""
     band = (np.arange(hashes.shape[1]) - FIRST_BAND).astype(np.int64) << BAND_SHIFT
@@ -108,39 +123,48 @@ def fetched(docs: DataFrame, units: Callable[[str], list[str]], wanted: DataFram
 
 
 class Group:
-    """Texts of one slice as sets of hashed shingles, to be compared with others by exact counts."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets], np.int64)
+    """Texts as sets of shingle codes, to be compared with each other by exact counts."""
+
+    def __init__(self, made: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        codes, n, self.plain = made
+        self.vocabulary, at = np.unique(codes, return_inverse=True)
+        self.bits = len(self.vocabulary).bit_length()
+        both = np.sort((np.repeat(np.arange(len(n)), n) << self.bits) | at)  # of each text, in order, its codes' places in the vocabulary
+        both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+        self.at, self.sizes = both & ((1 << self.bits) - 1), np.bincount(both >> self.bits, minlength=len(n))
         self.ends = np.cumsum(self.sizes)
-        self.vocabulary, self.at = np.unique(np.concatenate(sets), return_inverse=True)
         self.marks = np.zeros(len(self.vocabulary) + 1, bool)
 
     def places(self, i: int) -> np.ndarray:
         return self.at[self.ends[i] - self.sizes[i] : self.ends[i]]
 
-    def foreign(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of the hashes of a text that need not be of this group."""
-        at = np.searchsorted(self.vocabulary, hashes)
+    def foreign(self, codes: np.ndarray) -> np.ndarray:
+        """Places of the sorted codes of a text that need not be of this group."""
+        at = np.searchsorted(self.vocabulary, codes)
         at = at[at < len(self.vocabulary)]
-        return at[self.vocabulary[at] == hashes[: len(at)]]
+        return at[self.vocabulary[at] == codes[: len(at)]]
+
+    def of(self, some: np.ndarray) -> np.ndarray:
+        """The places of some texts, one text after the other."""
+        n = self.sizes[some]
+        return self.at[np.arange(n.sum()) + np.repeat(self.ends[some] - np.cumsum(n), n)]
 
     def shared(self, places: np.ndarray, others: np.ndarray) -> np.ndarray:
         """How many of the places each of the others has."""
         self.marks[places] = True
-        n = self.sizes[others]
-        if not len(others) or not n.sum():
-            out = np.zeros(len(others), np.int64)
-        else:
-            starts = np.cumsum(n) - n
-            take = np.arange(n.sum()) + np.repeat(self.ends[others] - n - starts, n)
-            sums = np.concatenate([[0], np.cumsum(self.marks[self.at[take]])])
-            out = sums[starts + n] - sums[starts]
+        sums = np.concatenate([[0], np.cumsum(self.marks[self.of(others)])])
         self.marks[places] = False
-        return out
+        ends = np.cumsum(self.sizes[others])
+        return sums[ends] - sums[ends - self.sizes[others]]
 
+    def shared_by_pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """How many places x[i] and y[i] share, for each i."""
+        pairs = np.arange(len(x)) << self.bits
+        both = np.sort(np.concatenate([np.repeat(pairs, self.sizes[o]) | self.of(o) for o in (x, y)]))
+        return np.bincount(both[1:][both[1:] == both[:-1]] >> self.bits, minlength=len(x))
 
-def _like(shared: np.ndarray, one: int, sizes: np.ndarray, threshold: float) -> np.ndarray:
+
+def _like(shared: np.ndarray, one: np.ndarray | int, sizes: np.ndarray, threshold: float) -> np.ndarray:
     """Whether sets of these sizes that share so many reach the threshold. Two empty sets are alike."""
     return shared >= threshold * (one + sizes - shared) - 1e-9
 
@@ -148,46 +172,75 @@ def _like(shared: np.ndarray, one: int, sizes: np.ndarray, threshold: float) ->
 class Compared:
     """Links of buckets: exact likeness inside a task, spanning links out."""
 
-    def __init__(self, hashes: Callable[[str], np.ndarray], likeness: Callable[[str, str], float], threshold: float):
-        self.hashes, self.likeness, self.threshold = hashes, likeness, threshold
+    def __init__(self, shingles: Shingles, likeness: Callable[[str, str], float], threshold: float):
+        self.shingles, self.likeness, self.threshold = shingles, likeness, threshold
 
-    def within(self, key: int, ids: list[int], bands: np.ndarray, texts: list[str]) -> Iterator[tuple[int, int]]:
-        """Links that connect what the links of one slice connect.
+    def slices(self, rows: pa.Table) -> Iterator[tuple[int, int]]:
+        """Links within each slice of whole (key, slice) runs of (key, slice, id, bands, z), many small slices at once.
+
+        A pair that shares a lower band too is left to that band's bucket, so no pair is
+        compared in two buckets, and a slice of such pairs only isn't opened.
+        """
+        open_ = zstandard.ZstdDecompressor()
+        key, ids, packed = rows["key"].to_numpy(), rows["id"].to_numpy(), rows["z"].to_pylist()
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        at = _starts(rows)
+        held, texts, chars = [], [], 0
+        for s, e in zip(at, [*at[1:], len(ids)], strict=True):
+            lower = bands[s:e, : (key[s] >> BAND_SHIFT) + FIRST_BAND]
+            if e - s == 1 or (lower == lower[0]).all(axis=0).any():
+                continue
+            held.append((ids[s:e], lower))
+            texts += [open_.decompress(z).decode() for z in packed[s:e]]
+            chars += sum(map(len, texts[s - e :]))
+            if chars >= CHARS_AT_ONCE:
+                yield from self._within(held, texts)
+                held, texts, chars = [], [], 0
+        if held:
+            yield from self._within(held, texts)
+
+    def _within(self, slices: list[tuple[np.ndarray, np.ndarray]], texts: list[str]) -> Iterator[tuple[int, int]]:
+        """Links that connect what the links of each slice connect; texts has those of one slice after the other.
 
         From each text reached so far the links to those not yet reached are taken, so a
-        pair that is connected anyway is not compared. A pair that shares a lower band
-        too is left to that band's bucket, so no pair is compared in two buckets.
+        pair that is connected anyway is not compared.
         """
-        n = len(ids)
-        if n == 2:
-            if self.likeness(*texts) >= self.threshold:
-                yield ids[0], ids[1]
-            return
-        lower = bands[:, : (key >> BAND_SHIFT) + FIRST_BAND]
-        group = Group([self.hashes(t) for t in texts])
-        rest = np.arange(n)
-        while len(rest):
-            reached, rest = [int(rest[0])], rest[1:]
-            for x in reached:
-                s, sizes = group.sizes[x], group.sizes[rest]
-                ok = (np.minimum(s, sizes) >= self.threshold * np.maximum(s, sizes)) & ~(lower[rest] == lower[x]).any(axis=1)
-                asked = np.nonzero(ok)[0]
-                if not len(asked):
-                    continue
-                y = rest[asked]
-                near = _like(group.shared(group.places(x), y), s, group.sizes[y], self.threshold)
-                new = [k for k in asked[near].tolist() if self.likeness(texts[x], texts[int(rest[k])]) >= self.threshold]
-                if new:
-                    found = rest[new].tolist()
-                    yield from ((ids[x], ids[k]) for k in found)
-                    reached += found
-                    rest = np.delete(rest, new)
-                    if not len(rest):
-                        break
+        group, ids = Group(self.shingles(texts)), np.concatenate([i for i, _ in slices])
+        ends = np.cumsum([len(i) for i, _ in slices])
+        twos = np.array([e - 2 for (i, _), e in zip(slices, ends.tolist(), strict=True) if len(i) == 2], np.int64)
+        if len(twos):
+            near = _like(group.shared_by_pairs(twos, twos + 1), group.sizes[twos], group.sizes[twos + 1], self.threshold)
+            yield from ((int(ids[x]), int(ids[x + 1])) for x in twos[near].tolist() if self._checked(group, texts, x, x + 1))
+        for (own, lower), end in zip(slices, ends.tolist(), strict=True):
+            if len(own) == 2:
+                continue
+            start, rest = end - len(own), np.arange(end - len(own), end)
+            while len(rest):
+                reached, rest = [int(rest[0])], rest[1:]
+                for x in reached:
+                    s, sizes = group.sizes[x], group.sizes[rest]
+                    ok = (np.minimum(s, sizes) >= self.threshold * np.maximum(s, sizes)) & ~(lower[rest - start] == lower[x - start]).any(axis=1)
+                    asked = np.nonzero(ok)[0]
+                    if not len(asked):
+                        continue
+                    y = rest[asked]
+                    near = _like(group.shared(group.places(x), y), s, group.sizes[y], self.threshold)
+                    new = [k for k in asked[near].tolist() if self._checked(group, texts, x, int(rest[k]))]
+                    if new:
+                        found = rest[new].tolist()
+                        yield from ((int(ids[x]), int(ids[k])) for k in found)
+                        reached += found
+                        rest = np.delete(rest, new)
+                        if not len(rest):
+                            break
+
+    def _checked(self, group: Group, texts: list[str], x: int, y: int) -> bool:
+        """Whether a pair alike by its codes is alike: codes of plain texts are their shingles, others can collide."""
+        return bool(group.plain[x] and group.plain[y]) or self.likeness(texts[x], texts[y]) >= self.threshold
 
     def across(self, group: Group, own: list[tuple[int, int, str]], asker: tuple[int, int, str]) -> Iterator[tuple[int, int]]:
         """A link of an asker to each other component of a slice's (id, root, text) that it has a link to."""
-        one = self.hashes(asker[2])
+        one = np.unique(self.shingles([asker[2]])[0])
         roots = np.array([o[1] for o in own])
         ok = (roots != asker[1]) & (np.minimum(len(one), group.sizes) >= self.threshold * np.maximum(len(one), group.sizes))
         y = np.nonzero(ok)[0]
@@ -199,19 +252,25 @@ class Compared:
                 yield asker[0], own[k][0]
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with equal (key, slice), one run after the other; names are the further columns."""
-    held, now = [], None
+def _starts(rows: pa.Table) -> list[int]:
+    """Where runs of equal (key, slice) start."""
+    key, part = rows["key"].to_numpy(), rows["slice"].to_numpy()
+    return np.nonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])))[0].tolist()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The batches cut so that no run of equal (key, slice) goes over an end."""
+    held = None
     for b in batches:
-        keys = zip(b.column("key").to_pylist(), b.column("slice").to_pylist(), strict=True)
-        for k, *row in zip(keys, *(b.column(c).to_pylist() for c in names), strict=True):
-            if k != now:
-                if held:
-                    yield now, held
-                held, now = [], k
-            held.append(tuple(row))
-    if held:
-        yield now, held
+        if b.num_rows:
+            rows = pa.Table.from_batches([b])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            cut = _starts(rows)[-1]
+            if cut:
+                yield rows.slice(0, cut)
+            held = rows.slice(cut)
+    if held is not None:
+        yield held
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -229,7 +288,7 @@ def _sent(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     yield _pairs(held)
 
 
-def bucketed_links(distinct: DataFrame, docs: DataFrame, units: Callable[[str], list[str]], hashes: Callable[[str], np.ndarray], likeness: Callable[[str, str], float], threshold: float) -> DataFrame:
+def bucketed_links(distinct: DataFrame, docs: DataFrame, units: Callable[[str], list[str]], shingles: Shingles, likeness: Callable[[str, str], float], threshold: float) -> DataFrame:
     """(node, root) of the links of at least `threshold` by exact likeness between texts that share a band key.
 
     `distinct` has one row per distinct text: id (a unique long), h and l (hashed() of it),
@@ -244,7 +303,7 @@ def bucketed_links(distinct: DataFrame, docs: DataFrame, units: Callable[[str],
        asks all its slices. So every pair of a bucket is either connected or was compared.
     """
     n_parts = parts(docs.sparkSession)
-    compare = Compared(hashes, likeness, threshold)
+    compare = Compared(shingles, likeness, threshold)
     rows = distinct.select(F.explode("bands").alias("key"), "id", "size")
     keys = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor("id").alias("y"), F.sum("size").alias("chars"))
     kept = keys.where("n > 1").groupBy("n", "x", "y", "chars").agg(F.min("key").alias("key"))
@@ -256,14 +315,7 @@ def bucketed_links(distinct: DataFrame, docs: DataFrame, units: Callable[[str],
     own = F.pmod(F.xxhash64(F.lit("slice"), "id"), F.col("k")).cast("int").alias("slice")
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor()
-
-        def found() -> Iterator[tuple[int, int]]:
-            for (key, _), g in _groups(batches, ["id", "bands", "z"]):
-                if len(g) > 1:
-                    yield from compare.within(key, [r[0] for r in g], np.array([r[1] for r in g], np.int64), [open_.decompress(r[2]).decode() for r in g])
-
-        yield from _sent(found())
+        yield from _sent(link for rows in _runs(batches) for link in compare.slices(rows))
 
     dealt = members.select("key", own, "id").join(texts, "id").repartition(n_parts, "key", "slice").sortWithinPartitions("key", "slice")
     found = written(dealt.mapInArrow(inside, "a long, b long"), "spanning-links")
@@ -290,7 +342,7 @@ def bucketed_links(distinct: DataFrame, docs: DataFrame, units: Callable[[str],
                         if not asks:
                             own.append(row)
                         elif own:
-                            group = group or Group([hashes(o[2]) for o in own])
+                            group = group or Group(shingles([o[2] for o in own]))
                             yield from compare.across(group, own, row)
 
             yield from _sent(found())
@@ -304,7 +356,7 @@ def bucketed_links(distinct: DataFrame, docs: DataFrame, units: Callable[[str],
     return settled
 
 
-def all_pairs(texts: list[str], hashes: Callable[[str], np.ndarray], threshold: float) -> list[tuple[int, int]]:
+def all_pairs(texts: list[str], shingles: Shingles, threshold: float) -> list[tuple[int, int]]:
     """All pairs at the threshold by comparing each with each; for tests and recall figures."""
-    sets = [set(hashes(t).tolist()) for t in texts]
+    sets = [set(shingles([t])[0].tolist()) for t in texts]
     return [(i, j) for i, j in combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j])]
