@@ -53,7 +53,7 @@ def to_cents(c: Column, thousands: bool = False) -> Column:
     if thousands:
         s = F.regexp_replace(s, ",", "")
     number = F.regexp_extract(s, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0)
-    return num_to_cents(F.nullif(number, F.lit("")).try_cast("double"))
+    return let(F.nullif(number, F.lit("")).try_cast("double"), num_to_cents)
 
 
 def serve_cents(c: Column) -> Column:
@@ -66,14 +66,12 @@ def serve_cents(c: Column) -> Column:
 def to_bool(c: Column, vocabulary: str = "feed", default: bool | None = None) -> Column:
     """Flag text by a vocabulary; anything else gives the default."""
     yes, no = VOCABULARIES[vocabulary]
-    word = F.lower(F.trim(c))
-    return F.when(word.isin(yes), True).when(word.isin(no), False).otherwise(F.lit(default).cast("boolean"))
+    return let(F.lower(F.trim(c)), lambda word: F.when(word.isin(yes), True).when(word.isin(no), False).otherwise(F.lit(default).cast("boolean")))
 
 
 def to_available(c: Column) -> Column:
     """Availability text at ingest: a listed word, or a number in stock, of which any above 0 is available; null when unknown."""
-    stock = F.trim(c).try_cast("double")
-    return F.coalesce(to_bool(c, "ingest"), F.when(~F.isnan(stock), stock > 0))
+    return F.coalesce(to_bool(c, "ingest"), let(F.trim(c).try_cast("double"), lambda stock: F.when(~F.isnan(stock), stock > 0)))
 
 
 def slugify(c: Column, max_len: int | None = None) -> Column:
@@ -163,9 +161,9 @@ def content_hash(**fields: Column) -> Column:
 def derive_handle(handle: Column, url: Column, title: Column) -> Column:
     """Slug of the given handle, else of the URL's last path part, else of the title, else "product"."""
     path = F.regexp_replace(F.regexp_extract(url, r"^https?://[^/?#]+([^?#]*)", 1), "/+$", "")
-    last = F.nullif(F.regexp_extract(path, "([^/]+)$", 1), F.lit(""))
-    given = text_or_null(handle)
-    return F.when(given.isNotNull(), slugify(given)).when(last.isNotNull(), slugify(last)).otherwise(F.coalesce(F.nullif(slugify(title), F.lit("")), F.lit("product")))
+    last = let(F.regexp_extract(path, "([^/]+)$", 1), lambda x: F.nullif(x, F.lit("")))
+    named = F.coalesce(text_or_null(handle), last)
+    return let(named, lambda x: F.when(x.isNotNull(), slugify(x)).otherwise(F.coalesce(let(slugify(title), lambda t: F.nullif(t, F.lit(""))), F.lit("product"))))
 
 
 def derive_product_id(product_id: Column, handle: Column, url: Column) -> Column:
@@ -203,11 +201,15 @@ def last_by_key(entries: Column) -> Column:
 
 def product_link(url: Column, store_url: Column) -> Column:
     """Absolute link of a product: full URLs stay, //x gets https, a path goes behind the store's URL."""
-    u = F.trim(F.coalesce(url, F.lit("")))
     base = F.regexp_replace(F.trim(F.coalesce(store_url, F.lit(""))), "/+$", "")
-    path = F.when(F.startswith(u, F.lit("/")), u).otherwise(F.concat(F.lit("/"), u))
-    return (
-        F.when(u == "", "").when(F.lower(u).rlike("^https?://"), u).when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).when(base != "", F.concat(base, path)).otherwise(u)
+
+    def behind(u: Column) -> Column:
+        path = F.when(F.startswith(u, F.lit("/")), u).otherwise(F.concat(F.lit("/"), u))
+        return let(base, lambda b: F.when(b != "", F.concat(b, path)).otherwise(u))
+
+    return let(
+        F.trim(F.coalesce(url, F.lit(""))),
+        lambda u: F.when(u == "", "").when(F.lower(u).rlike("^https?://"), u).when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).otherwise(behind(u)),
     )
 
 

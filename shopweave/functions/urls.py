@@ -7,7 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from .columns import slugify
+from .columns import let, slugify
 
 #: Scheme, host (a name, or an IPv6 address in brackets), port, path and query of a whole URL; what stands before an @ is USER's.
 SHAPE = r"(?s)^(?i:(https?))://(?:[^/?#]*@)?(\[[0-9A-Fa-f:.]+\]|[^/?#:@\[\]\s]+)(:[0-9]*)?(/[^?#]*)?(\?[^#]*)?(?:#.*)?$"
@@ -35,25 +35,38 @@ def normalize_url(url: Column) -> Column:
     without a name or password, empty ports and zeros before a port go, a port above
     65535 gives null. Hosts are lower-cased; names of other scripts stay as they are.
     """
-    u = F.trim(url)
-    scheme = F.lower(F.regexp_extract(u, SHAPE, 1))
+    return let(F.trim(url), lambda u: let(_pieces(u), _joined))
+
+
+def _pieces(u: Column) -> Column:
+    """Each piece of a URL is read once: the expressions of _joined name them often."""
     number = F.regexp_replace(F.regexp_extract(u, SHAPE, 3), "^:(?:0+(?=[0-9]))?", "")
+    user = F.regexp_replace(F.regexp_extract(u, USER, 1), ":$", "")
+    path = F.regexp_replace(F.regexp_extract(u, SHAPE, 4), "/+", "/")
+    named = {"scheme": F.lower(F.regexp_extract(u, SHAPE, 1)), "user": user, "host": host(u), "number": number, "path": let(path, _bare_path), "query": F.substring(F.regexp_extract(u, SHAPE, 5), 2, 1 << 30)}
+    return F.struct(*[c.alias(k) for k, c in named.items()])
+
+
+def _bare_path(path: Column) -> Column:
+    return F.regexp_replace(F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", "")), LOCALE, "/$1")
+
+
+def _joined(p: Column) -> Column:
+    scheme, number = p["scheme"], p["number"]
     default = (scheme == "http") & (number == "80") | (scheme == "https") & (number == "443")
     port = F.when((number == "") | default, "").otherwise(F.concat(F.lit(":"), number))
-    user = F.regexp_replace(F.regexp_extract(u, USER, 1), ":$", "")
-    user = F.when(user == "", "").otherwise(F.concat(user, F.lit("@")))
+    user = F.when(p["user"] == "", "").otherwise(F.concat(p["user"], F.lit("@")))
     possible = (F.length(number) < 5) | (F.length(number) == 5) & (number <= "65535")
-    path = F.regexp_replace(F.regexp_extract(u, SHAPE, 4), "/+", "/")
-    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
-    path = F.regexp_replace(path, LOCALE, "/$1")
-    pairs = F.filter(F.split(F.substring(F.regexp_extract(u, SHAPE, 5), 2, 1 << 30), "&"), lambda p: p != "")
+    product = let(F.lower(p["path"]), lambda low: F.contains(low, F.lit("/products/")) | F.contains(low, F.lit("/product/")))
+    query = F.when((p["query"] == "") | product, "").otherwise(let(_sorted_query(p["query"]), lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q))))
+    return F.when((scheme != "") & possible, F.concat(scheme, F.lit("://"), user, p["host"], port, p["path"], query))
+
+
+def _sorted_query(query: Column) -> Column:
+    pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     pairs = F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, "^([^=]*)", 1).alias("k"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("v")))
     pairs = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(TRACKING)))
-    query = F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    low = F.lower(path)
-    product = F.contains(low, F.lit("/products/")) | F.contains(low, F.lit("/product/"))
-    query = F.when(product | (query == ""), "").otherwise(F.concat(F.lit("?"), query))
-    return F.when((scheme != "") & possible, F.concat(scheme, F.lit("://"), user, host(u), port, path, query))
+    return F.array_join(F.transform(pairs, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
 
 
 def normalize_store_url(url: Column) -> Column:
@@ -63,19 +76,20 @@ def normalize_store_url(url: Column) -> Column:
     return F.regexp_replace(normalize_url(u), "/$", "")
 
 
+def absolute(url: str | None, base: str | None) -> str | None:
+    """A page's URL made absolute; an empty one gives None."""
+    if not url or not url.strip():
+        return None
+    try:
+        return urljoin(base or "", url.strip())
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def resolved(url: pd.Series, base: pd.Series) -> pd.Series:
     """URLs of a page made absolute; for normalize_url afterwards. Empty ones give null."""
-
-    def one(u: str | None, b: str | None) -> str | None:
-        if not u or not u.strip():
-            return None
-        try:
-            return urljoin(b or "", u.strip())
-        except ValueError:
-            return None
-
-    return pd.Series([one(u, b) for u, b in zip(url, base, strict=True)], dtype=object)
+    return pd.Series([absolute(u, b) for u, b in zip(url, base, strict=True)], dtype=object)
 
 
 def store_slug(url: Column) -> Column:

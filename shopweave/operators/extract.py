@@ -6,15 +6,18 @@ import json
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.urls import bare_host, host, is_collection_url, is_product_url, normalize_url, resolved
+from ..functions.urls import absolute, bare_host, host, is_collection_url, is_product_url, normalize_url, resolved
 
 _VARIANT = "struct<id:string,title:string,sku:string,price:string,compare_at_price:string,currency:string,available:string,option1:string,option2:string,option3:string,options:map<string,string>>"
-PRODUCT = f"""id string, url string, title string, handle string, description string, brand string, vendor string, product_type string, image_url string, tags array<string>,
-price string, currency string, availability string, variants array<{_VARIANT}>, source string""".replace("\n", " ")
 NAMES = ["id", "url", "title", "handle", "description", "brand", "vendor", "product_type", "image_url", "tags", "price", "currency", "availability", "variants", "source"]
+TEXTS = ["id", "url", "title", "handle", "description", "brand", "vendor", "product_type", "image_url", "price", "currency", "availability", "source"]
+VARIANT_TEXTS = ["id", "title", "sku", "price", "compare_at_price", "currency", "available", "option1", "option2", "option3"]
+#: Pages are parsed, and their products go back to Spark, in parts of so many characters and pages, or one page if it alone is larger.
+PART_CHARS, PART_PAGES = 1 << 22, 1024
 # fixed values: which sources a field is read from, the first that says something. ld is a product node of JSON-LD,
 # offer its first offer; meta, attr and text are the page's meta tags, marked attributes and marked elements
 FIELDS = {
@@ -30,6 +33,8 @@ FIELDS = {
 }
 # fixed values: the same for a variant, from an offer
 VARIANT = {"id": ["offer @id", "offer sku"], "title": ["offer name"], "sku": ["offer sku"], "price": ["offer price"], "compare_at_price": ["offer highPrice"], "currency": ["offer priceCurrency"], "available": ["offer availability", "offer inventoryLevel"]}
+#: What is read of a node: all other keys say nothing.
+USED = {f for sources in [*FIELDS.values(), *VARIANT.values()] for f in sources}
 # fixed values: where products and offers lie, in which key of a node of what type ("": of any), and under which key of each entry
 INNER = {"product": {"": ["@graph"], "itemlist": ["itemListElement", "item"]}, "offer": {"aggregateoffer": ["offers"]}}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -89,16 +94,26 @@ def said(value: object) -> str:
 
 
 def facts_of(node: dict, source: str) -> dict[str, str]:
-    """A JSON object as facts: its scalars, those of objects in it, and the first of each list."""
+    """A JSON object as facts, of those that are used: its scalars, those of objects in it, and the first of each list."""
     out = {}
     for k, v in node.items():
-        inner = {f".{x}": y for x, y in v.items()} if isinstance(v, dict) else {" 0": v[0]} if isinstance(v, list) and v else {"": v}
-        out |= {f"{source} {k}{x}": said(y) for x, y in inner.items()}
+        if isinstance(v, dict):
+            out |= {f: said(y) for x, y in v.items() if (f := f"{source} {k}.{x}") in USED}
+            continue
+        fact = f"{source} {k} 0" if (several := isinstance(v, list) and v) else f"{source} {k}"
+        if fact in USED:
+            out[fact] = said(v[0] if several else v)
     return out
 
 
 def picked(facts: dict[str, str], table: dict[str, list[str]]) -> dict[str, str | None]:
-    return {field: next((facts[k] for k in sources if facts.get(k)), None) for field, sources in table.items()}
+    out: dict[str, str | None] = dict.fromkeys(table)
+    for field, sources in table.items():
+        for k in sources:
+            if facts.get(k):
+                out[field] = facts[k]
+                break
+    return out
 
 
 def kinds(node: dict) -> set[str]:
@@ -148,7 +163,7 @@ def page_products(html: str, product_url: bool) -> list[dict]:
         for node in nodes(value, "product"):
             offers = [facts_of(o, "offer") for o in nodes(node.get("offers"), "offer")]
             p = picked(facts_of(node, "ld") | (offers[0] if offers else {}), FIELDS)
-            p |= {"tags": labels(node.get("category")), "variants": [dict.fromkeys(("option1", "option2", "option3", "options")) | picked(o, VARIANT) for o in offers]}
+            p |= {"tags": labels(node.get("category")), "variants": [picked(o, VARIANT) for o in offers]}
             found[p["id"] or f"{p['url'] or ''}|{p['title'] or ''}"] = p
     if not found and product_url:
         p = picked(page.facts, FIELDS)
@@ -158,25 +173,61 @@ def page_products(html: str, product_url: bool) -> list[dict]:
     return [p | {"source": "html"} for p in found.values()]
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of pages in pieces that hold few pages and characters, however many and large its pages are."""
+    begin, held = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column("body")).to_pylist()):
+        if i > begin and (held + n > PART_CHARS or i - begin == PART_PAGES):
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
+def lists(values: list[list], flat: pa.Array) -> pa.Array:
+    """Lists of the same lengths as `values`, over their elements one after the other."""
+    ends = [0]
+    for v in values:
+        ends.append(ends[-1] + len(v))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+
+def products_of(pages: pa.RecordBatch, keep: list[str]) -> pa.RecordBatch:
+    """The products of pages: columns of their page, place, texts, tags and variants. Links are made absolute."""
+    bodies, urls, like = (pages.column(c).to_pylist() for c in ("body", "page_url", "product_like"))
+    at, pos, found = [], [], []
+    for i, body in enumerate(bodies):
+        for n, p in enumerate(page_products(body, like[i])):
+            p["url"], p["image_url"] = absolute(urls[i] if p["url"] is None else p["url"], urls[i]), absolute(p["image_url"], urls[i])
+            at.append(i)
+            pos.append(n)
+            found.append(p)
+    tags, variants = [p["tags"] for p in found], [p["variants"] for p in found]
+    each = [v for vs in variants for v in vs]
+    of_variant = [pa.array([v.get(c) for v in each], pa.string()) for c in VARIANT_TEXTS] + [pa.nulls(len(each), pa.map_(pa.string(), pa.string()))]
+    columns = {c: pages.column(c).take(pa.array(at, pa.int32())) for c in keep} | {"pos": pa.array(pos, pa.int32())}
+    columns |= {c: pa.array([p.get(c) for p in found], pa.string()) for c in TEXTS}
+    columns["tags"] = lists(tags, pa.array([t for ts in tags for t in ts], pa.string()))
+    columns["variants"] = lists(variants, pa.StructArray.from_arrays(of_variant, [*VARIANT_TEXTS, "options"]))
+    return pa.RecordBatch.from_pydict(columns)
+
+
 def extract_products(pages: DataFrame) -> DataFrame:
     """Raw products of pages (store_slug, store_url, url, etag, last_modified, body, rank if planned), pos being the place on the page."""
     rank = F.col("rank") if "rank" in pages.columns else F.lit(None)
     rows = pages.select("store_slug", "store_url", F.col("url").alias("page_url"), "etag", "last_modified", rank.cast("long").alias("rank"), F.coalesce("body", F.lit("")).alias("body"))
     rows = rows.withColumn("product_like", F.coalesce(is_product_url(F.coalesce(normalize_url(F.col("page_url")), F.col("page_url"))), F.lit(False)))
     keep = ["store_slug", "store_url", "page_url", "etag", "last_modified", "rank"]
+    kinds_of = [f"{c} string" for c in TEXTS] + ["tags array<string>", f"variants array<{_VARIANT}>"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_dict("records"):
-                for pos, p in enumerate(page_products(r["body"], r["product_like"])):
-                    out.append({**dict.fromkeys(NAMES), **p, **{k: r[k] for k in keep}, "rank": None if pd.isna(r["rank"]) else int(r["rank"]), "pos": pos})
-            yield pd.DataFrame(out, columns=[*keep, "pos", *NAMES]).astype({"rank": "Int64"})
-
-    found = rows.mapInPandas(run, "store_slug string, store_url string, page_url string, etag string, last_modified string, rank long, pos int, " + PRODUCT)
-    url = normalize_url(resolved(F.coalesce("url", "page_url"), F.col("page_url")))
-    image = normalize_url(resolved(F.col("image_url"), F.col("page_url")))
-    found = found.withColumns({"url": url, "image_url": image})
+            for part in parts(b):
+                yield products_of(part, keep)
+
+    found = rows.mapInArrow(run, "store_slug string, store_url string, page_url string, etag string, last_modified string, rank long, pos int, " + ", ".join(kinds_of))
+    found = found.select(*keep, "pos", *NAMES).withColumns({"url": normalize_url(F.col("url")), "image_url": normalize_url(F.col("image_url"))})
     return found.withColumn("handle", F.nullif(F.regexp_extract(F.regexp_extract("url", "^https?://[^/?#]+([^?#]*)", 1), "([^/]+)/*$", 1), F.lit("")))
 
 
