@@ -53,7 +53,8 @@ def to_cents(c: Column, thousands: bool = False) -> Column:
     if thousands:
         s = F.regexp_replace(s, ",", "")
     number = F.regexp_extract(s, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0)
-    return let(F.nullif(number, F.lit("")).try_cast("double"), num_to_cents)
+    # a plain price, the usual form, is read as it stands
+    return F.when(c.rlike(r"^[0-9]{1,9}\.[0-9]{2}$"), F.replace(c, F.lit("."), F.lit("")).cast("long")).otherwise(let(F.nullif(number, F.lit("")).try_cast("double"), num_to_cents))
 
 
 def serve_cents(c: Column) -> Column:
@@ -120,7 +121,7 @@ def option_tokens(tags: Column, options: Column, variants: Column, title: Column
         return F.concat(F.array(v["title"]), pairs)
 
     of_variants = F.flatten(F.transform(F.coalesce(variants, F.array()), of_variant))
-    return lower_tokens(F.concat(F.coalesce(tags, no_strings()), of_options, of_variants, F.array(title, product_type)))
+    return lower_tokens(F.array_distinct(F.concat(F.coalesce(tags, no_strings()), of_options, of_variants, F.array(title, product_type))))  # variants say the same again and again
 
 
 def search_text(title: Column, handle: Column, description: Column, brand: Column, vendor: Column, product_type: Column, tags: Column) -> Column:
@@ -195,8 +196,9 @@ def variant_options(options: Column, positional: Column, title_case: bool = Fals
 
 def last_by_key(entries: Column) -> Column:
     """Entries with each key once, the last value, in order of the key's first place."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
+    each = lambda keys: F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1))
+    several = let(F.array_distinct(F.transform(entries, lambda e: e["key"])), lambda keys: F.when(F.size(keys) == F.size(entries), entries).otherwise(each(keys)))
+    return F.when(F.size(entries) < 2, entries).otherwise(several)
 
 
 def product_link(url: Column, store_url: Column) -> Column:

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.columns import let
 from ..functions.urls import absolute, bare_host, host, is_collection_url, is_product_url, normalize_url, resolved
 
 _VARIANT = "struct<id:string,title:string,sku:string,price:string,compare_at_price:string,currency:string,available:string,option1:string,option2:string,option3:string,options:map<string,string>>"
@@ -33,8 +34,8 @@ FIELDS = {
 }
 # fixed values: the same for a variant, from an offer
 VARIANT = {"id": ["offer @id", "offer sku"], "title": ["offer name"], "sku": ["offer sku"], "price": ["offer price"], "compare_at_price": ["offer highPrice"], "currency": ["offer priceCurrency"], "available": ["offer availability", "offer inventoryLevel"]}
-#: What is read of a node: all other keys say nothing.
-USED = {f for sources in [*FIELDS.values(), *VARIANT.values()] for f in sources}
+#: What is read of a node, by its source: key -> fact. All other keys say nothing.
+USED = {of: {f.removeprefix(f"{of} "): f for sources in [*FIELDS.values(), *VARIANT.values()] for f in sources if f.startswith(f"{of} ")} for of in ("ld", "offer")}
 # fixed values: where products and offers lie, in which key of a node of what type ("": of any), and under which key of each entry
 INNER = {"product": {"": ["@graph"], "itemlist": ["itemListElement", "item"]}, "offer": {"aggregateoffer": ["offers"]}}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -88,21 +89,24 @@ class Page(HTMLParser):
 
 def said(value: object) -> str:
     """The text of a JSON scalar; lists, objects, truth values and nothing say nothing."""
+    if isinstance(value, str):
+        return value.strip()
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         return str(int(value)) if float(value).is_integer() else str(value)
-    return value.strip() if isinstance(value, str) else ""
+    return ""
 
 
 def facts_of(node: dict, source: str) -> dict[str, str]:
     """A JSON object as facts, of those that are used: its scalars, those of objects in it, and the first of each list."""
-    out = {}
+    out, used = {}, USED[source]
     for k, v in node.items():
         if isinstance(v, dict):
-            out |= {f: said(y) for x, y in v.items() if (f := f"{source} {k}.{x}") in USED}
-            continue
-        fact = f"{source} {k} 0" if (several := isinstance(v, list) and v) else f"{source} {k}"
-        if fact in USED:
-            out[fact] = said(v[0] if several else v)
+            out |= {used[name]: said(y) for x, y in v.items() if (name := f"{k}.{x}") in used}
+        elif isinstance(v, list) and v:
+            if (name := f"{k} 0") in used:
+                out[used[name]] = said(v[0])
+        elif k in used:
+            out[used[k]] = said(v)
     return out
 
 
@@ -110,14 +114,16 @@ def picked(facts: dict[str, str], table: dict[str, list[str]]) -> dict[str, str
     out: dict[str, str | None] = dict.fromkeys(table)
     for field, sources in table.items():
         for k in sources:
-            if facts.get(k):
-                out[field] = facts[k]
+            if v := facts.get(k):
+                out[field] = v
                 break
     return out
 
 
 def kinds(node: dict) -> set[str]:
     of = node.get("@type")
+    if isinstance(of, str):
+        return {kind} if (kind := of.strip().lower()) else set()
     return {said(x).lower() for x in (of if isinstance(of, list) else [of])} - {""}
 
 
@@ -128,6 +134,7 @@ def nodes(value: object, wanted: str) -> Iterator[dict]:
     after those of its graph and is not searched further.
     """
     inner, work = INNER[wanted], [(value, False)]
+    graphs, any_kind = inner.get("", [None])[0], wanted == "offer"
     while work:
         now, ready = work.pop()
         if ready:
@@ -136,13 +143,17 @@ def nodes(value: object, wanted: str) -> Iterator[dict]:
             work += [(x, False) for x in reversed(now) if wanted == "product" or isinstance(x, dict)]
         elif isinstance(now, dict):
             own = kinds(now)
-            keys = next((inner[t] for t in inner if t in own and inner[t][0] in now), None)
-            if wanted in own or (wanted == "offer" and keys is None):
+            keys = next((inner[t] for t in own if t in inner and inner[t][0] in now), None)
+            graph = now.get(graphs)
+            if wanted in own or (any_kind and keys is None):
+                if not isinstance(graph, list):
+                    yield now
+                    continue
                 work.append((now, True))
             elif keys is not None:
                 held = now[keys[0]] if isinstance(now[keys[0]], list) else [now[keys[0]]]
                 work.append(([next((x[k] for k in keys[1:] if x.get(k)), x) for x in held if isinstance(x, dict)], False))
-            if isinstance(graph := now.get(inner.get("", [None])[0]), list):
+            if isinstance(graph, list):
                 work.append((graph, False))
 
 
@@ -217,7 +228,7 @@ def extract_products(pages: DataFrame) -> DataFrame:
     """Raw products of pages (store_slug, store_url, url, etag, last_modified, body, rank if planned), pos being the place on the page."""
     rank = F.col("rank") if "rank" in pages.columns else F.lit(None)
     rows = pages.select("store_slug", "store_url", F.col("url").alias("page_url"), "etag", "last_modified", rank.cast("long").alias("rank"), F.coalesce("body", F.lit("")).alias("body"))
-    rows = rows.withColumn("product_like", F.coalesce(is_product_url(F.coalesce(normalize_url(F.col("page_url")), F.col("page_url"))), F.lit(False)))
+    rows = rows.withColumn("product_like", F.coalesce(let(F.coalesce(normalize_url(F.col("page_url")), F.col("page_url")), is_product_url), F.lit(False)))
     keep = ["store_slug", "store_url", "page_url", "etag", "last_modified", "rank"]
     kinds_of = [f"{c} string" for c in TEXTS] + ["tags array<string>", f"variants array<{_VARIANT}>"]
 

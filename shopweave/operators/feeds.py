@@ -45,7 +45,7 @@ def map_feed(feed: DataFrame) -> DataFrame:
     numbers = F.when(F.col("_count") > 0, F.sequence(F.lit(1), "_count")).otherwise(F.array().cast("array<int>"))
     numbered = lambda i: F.coalesce(C.text_or_null(F.try_element_at(given, i)["name"]), F.concat(F.lit("Option "), i.cast("string")))
     rows = rows.withColumn("_names", F.transform(numbers, numbered))
-    names = F.col("_names")
+    names, distinct = F.col("_names"), F.size(F.array_distinct("_names")) == F.size("_names")
 
     def variant(v: Column) -> Column:
         pairs = F.transform(values(v), lambda x, i: F.struct(F.try_element_at(names, i + 1).alias("key"), x.alias("value")))
@@ -53,7 +53,7 @@ def map_feed(feed: DataFrame) -> DataFrame:
         out = [C.text_or_null(v[c]).alias(c) for c in ("id", "title", "sku", "price", "compare_at_price")]
         out += [feed_variant_currency(v).alias("currency"), feed_variant_available(v).cast("string").alias("available")]
         out += [C.text_or_null(v[f"option{i}"]).alias(f"option{i}") for i in (1, 2, 3)]
-        by_name = C.let(pairs, lambda e: F.when(F.size(e) > 0, F.map_from_entries(C.last_by_key(e))))
+        by_name = C.let(pairs, lambda e: F.when(F.size(e) > 0, F.map_from_entries(F.when(distinct, e).otherwise(C.last_by_key(e)))))
         return F.struct(*out, by_name.alias("options"))
 
     rows = rows.withColumn("_variants", F.transform(nodes, variant))
@@ -62,14 +62,15 @@ def map_feed(feed: DataFrame) -> DataFrame:
     def option(name: Column, i: Column) -> Column:
         of_variants = F.transform(nodes, lambda v: F.try_element_at(values(v), i + 1))
         every = F.concat(F.coalesce(F.try_element_at(given, i + 1)["values"], C.no_strings()), of_variants)
-        return F.struct(name.alias("name"), C.clean_list(F.filter(every, lambda x: x.isNotNull())).alias("values"))
+        return F.struct(name.alias("name"), C.clean_list(F.filter(F.array_distinct(every), lambda x: x.isNotNull())).alias("values"))
 
     options = F.filter(F.transform(names, option), lambda o: F.size(o["values"]) > 0)
     flags = F.filter(F.transform(variants, lambda v: v["available"].cast("boolean")), lambda b: b.isNotNull())
-    available = F.when(F.size(flags) > 0, F.exists(flags, lambda b: b)).otherwise(C.to_bool(p["available"], "feed"))
+    available = C.let(flags, lambda known: F.when(F.size(known) > 0, F.exists(known, lambda b: b)).otherwise(C.to_bool(p["available"], "feed")))
     first = lambda xs: F.try_element_at(F.filter(xs, lambda x: x.isNotNull()), F.lit(1))
     images = F.transform(F.coalesce(p["images"], F.array().cast("array<struct<id:string,src:string>>")), lambda i: _image(i["src"], base))
-    of_variants = F.transform(nodes, lambda v: _image(F.get_json_object(v["featured_image"], "$.src"), base))
+    sources = F.filter(F.transform(nodes, lambda v: F.get_json_object(v["featured_image"], "$.src")), lambda src: src.isNotNull())
+    of_variants = F.transform(sources, lambda src: _image(src, base))
     own_image = F.coalesce(F.get_json_object(p["image"], "$.src"), F.when(~F.startswith(F.ltrim(p["image"]), F.lit("{")), p["image"]))
     return rows.select(
         "store_slug", "store_url", (F.col("page") if "page" in feed.columns else F.lit(0)).cast("long").alias("page"), "pos", text("id").alias("id"), url.alias("url"), text("title").alias("title"), handle.alias("handle"), C.html_to_text(p["body_html"]).alias("description"),
@@ -94,6 +95,11 @@ def normalize_products(raw: DataFrame) -> DataFrame:
     Extra columns stay. Prices come from the variants, else from the product; stock from
     the product, else from any variant, else it is assumed.
     """
+    return with_derived(normalize_fields(raw))
+
+
+def normalize_fields(raw: DataFrame) -> DataFrame:
+    """normalize_products without the columns of with_derived: all that dedup asks for."""
     col = F.col
     text = lambda name: C.text_or_null(col(name))
     link = C.product_link(F.coalesce(text("url"), col("store_url")), col("store_url"))
@@ -108,7 +114,7 @@ def normalize_products(raw: DataFrame) -> DataFrame:
         {
             "handle": C.derive_handle(col("_raw_handle"), col("url"), col("title")),
             "price_min": F.coalesce(F.array_min(prices), "_price"), "price_max": F.coalesce(F.array_max(prices), "_price"),
-            "available": F.coalesce("_own", F.when(F.size(flags) > 0, F.exists(flags, lambda x: x)), F.lit(True)),
+            "available": F.coalesce("_own", C.let(flags, lambda known: F.when(F.size(known) > 0, F.exists(known, lambda x: x))), F.lit(True)),
             "currency": F.coalesce(F.upper(text("currency")), F.try_element_at(currencies, F.lit(1))),
             "description": text("description"), "brand": text("brand"), "vendor": F.coalesce(text("vendor"), text("brand")), "product_type": text("product_type"),
             "image_url": _image(text("image_url"), F.regexp_extract("url", "^https?://[^/?#]+", 0)), "tags": C.clean_list(col("tags")),
@@ -117,6 +123,12 @@ def normalize_products(raw: DataFrame) -> DataFrame:
         }
     )
     rows = rows.withColumn("product_id", C.derive_product_id(col("_raw_id"), col("handle"), col("url")))
+    return rows.drop("_raw_handle", "_raw_id", "_own", "_price", "id", "price", "availability")
+
+
+def with_derived(rows: DataFrame) -> DataFrame:
+    """Normalized products with tokens, texts, flag and hash, which their other columns alone decide."""
+    col = F.col
     rows = rows.withColumn("option_tokens", C.option_tokens(col("tags"), col("options"), col("variants"), col("title"), col("product_type")))
     rows = rows.withColumns(
         {
@@ -128,4 +140,4 @@ def normalize_products(raw: DataFrame) -> DataFrame:
     blank = lambda name: F.coalesce(col(name), F.lit("")).alias(name)
     fields = {c: col(c) for c in ("title", "handle", "url")} | {c: blank(c) for c in ("description", "product_type")}
     fields |= {c: col(c) for c in ("tags", "price_min", "price_max", "available", "variants", "options", "option_tokens")}
-    return rows.withColumn("content_hash", C.content_hash(**fields)).drop("_raw_handle", "_raw_id", "_own", "_price", "id", "price", "availability")
+    return rows.withColumn("content_hash", C.content_hash(**fields))

@@ -34,8 +34,11 @@ def _order(from_page: Column, rank: Column | str, page_url: Column, pos: str) ->
 
 
 def refresh_catalog(stored: DataFrame, feed: DataFrame | None = None, pages: DataFrame | None = None, force: bool = False) -> DataFrame:
-    """The catalog after a run: candidates normalized, dedupped, compared by hash, upserted. The stored columns decide the schema."""
-    new = dedup.dedup(feeds.normalize_products(raw_candidates(feed, pages)))
+    """The catalog after a run: candidates normalized, dedupped, compared by hash, upserted. The stored columns decide the schema.
+
+    What only follows from a record's other columns is worked out for the records that are left.
+    """
+    new = feeds.with_derived(dedup.dedup(feeds.normalize_fields(raw_candidates(feed, pages))))
     return merge.upsert_products(stored, merge.changed_products(new, stored, force))
 
 

@@ -40,10 +40,9 @@ FEED_SPAN = 500  # part keys on a page of all stores' feeds, some 20 products of
 def feed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed texts as a platform would serve them, in pages: (store_slug, store_url, page, body)."""
     p = V.products(spark, sf_dir)
-    euros = lambda c: F.format_string("%d.%02d", F.floor(c / 100).cast("long"), (c % 100).cast("long"))
     variant = F.transform(
         "variants",
-        lambda v: F.struct(v["id"].alias("id"), v["title"].alias("title"), euros(v["price_cents"]).alias("price"), v["available"].alias("available"), v["options"]["Size"].alias("option1"), v["options"]["Color"].alias("option2")),
+        lambda v: F.struct(v["id"].alias("id"), v["title"].alias("title"), V.units(v["price_cents"]).alias("price"), v["available"].alias("available"), v["options"]["Size"].alias("option1"), v["options"]["Color"].alias("option2")),
     )
     options = F.array(F.struct(F.lit("Size").alias("name"), F.array(F.lit("XL")).alias("values")), F.struct(F.lit("").alias("name"), F.array().cast("array<string>").alias("values")))
     body = F.struct(

@@ -178,7 +178,7 @@ def d12_fetch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product pages with JSON-LD; every fourth has only meta tags, every ninth says it is missing."""
     p, k = V.products(spark, sf_dir), F.col("p_partkey")
-    offers = F.transform("variants", lambda v: F.struct(F.lit("Offer").alias("@type"), v["id"].alias("sku"), F.format_string("%.2f", v["price_cents"] / 100.0).alias("price"), F.lit("usd").alias("priceCurrency"), F.when(v["available"], "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability")))
+    offers = F.transform("variants", lambda v: F.struct(F.lit("Offer").alias("@type"), v["id"].alias("sku"), V.units(v["price_cents"]).alias("price"), F.lit("usd").alias("priceCurrency"), F.when(v["available"], "https://schema.org/InStock").otherwise("https://schema.org/OutOfStock").alias("availability")))
     offer = F.struct(F.lit("AggregateOffer").alias("@type"), offers.alias("offers"))
     node = F.struct(F.array(F.lit("Thing"), F.lit("Product")).alias("@type"), "product_id", F.col("title").alias("name"), F.col("product_id").alias("sku"), F.struct(F.col("vendor").alias("name")).alias("brand"), F.array_join("tags", ", ").alias("category"), offer.alias("offers"))
     ld = F.concat(F.lit('<html><script type="application/ld+json">{bad</script><script type="application/ld+json">{"@graph":['), F.to_json(node), F.lit("]}</script><h1>other</h1></html>"))

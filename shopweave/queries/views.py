@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import columns as C
 
@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def units(cents: Column) -> Column:
+    """Cents as the text of currency units with two decimals."""
+    return F.concat(F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+
+
 def variant_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per variant of a part: a line's identity, price, stock and options."""
     line = table(spark, sf_dir, "lineitem")

@@ -39,7 +39,7 @@ def refresh_batch(spark: SparkSession, bodies: DataFrame, catalog_path: str, ver
     """
     bucket = F.pmod(F.xxhash64("store_slug"), F.lit(BUCKETS)).cast("int").alias("bucket")
     raw = workloads.raw_candidates(io.explode_feed(bodies), None)
-    found = written(dedup.dedup(feeds.normalize_products(raw)).select(*STORED), "refresh")
+    found = written(feeds.with_derived(dedup.dedup(feeds.normalize_fields(raw))).select(*STORED), "refresh")
     touched = None if version % FULL == 0 else {r.bucket for r in found.select(bucket).distinct().collect()}  # at most BUCKETS rows
     stored = current(spark, catalog_path, version - 1, touched) if version else None
     new = found if stored is None else merge.upsert_products(stored, merge.changed_products(found, stored))
